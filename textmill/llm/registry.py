@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .sharding import shards
+from .simhash import simhash_groups
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary file of a public tokenizer is; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op9_sharding(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op9_sharding": op9_sharding}
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
+    "op9_sharding": op9_sharding,
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
