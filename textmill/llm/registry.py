@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import BREAKS, HIDDEN, HOST, MIN_PAGES, RATIO, dedup_page_lines
 from .packing import pack
 from .sharding import shards
 from .simhash import simhash_groups
@@ -21,6 +22,10 @@ def op2_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op4_line_dedup(spark, sf_dir):
+    return dedup_page_lines(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op9_sharding(spark, sf_dir):
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
@@ -59,6 +65,15 @@ ORACLE_SQL = {
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_line_dedup": rf"""
+        WITH parts AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
+            regexp_split_to_array(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}') AS p FROM pages),
+        rows AS (SELECT page_id, host, list_filter(list_transform(p, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS l FROM parts),
+        seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l)) AS line FROM rows WHERE host IS NOT NULL) GROUP BY host, line),
+        sites AS (SELECT host, count(*) AS n_pages FROM rows WHERE host IS NOT NULL GROUP BY host),
+        bad AS (SELECT host, list(line) AS lines FROM seen JOIN sites USING (host) WHERE n >= {MIN_PAGES} AND n / n_pages > {RATIO} GROUP BY host),
+        kept AS (SELECT page_id, rows.host, l, list_filter(l, lambda x: NOT list_contains(coalesce(bad.lines, []), x)) AS k FROM rows LEFT JOIN bad ON rows.host = bad.host)
+        SELECT page_id, host, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped, array_to_string(k, chr(10)) AS text FROM kept""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
