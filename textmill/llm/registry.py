@@ -7,6 +7,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import BREAKS, HIDDEN, HOST, MIN_PAGES, RATIO, dedup_page_lines
 from .packing import pack
+from .quality import quality
 from .sharding import shards
 from .simhash import simhash_groups
 
@@ -42,6 +43,10 @@ def op9_sharding(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op10_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
@@ -49,6 +54,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
