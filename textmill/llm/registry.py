@@ -10,6 +10,7 @@ from .packing import pack
 from .quality import quality
 from .sharding import shards
 from .simhash import simhash_groups
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +40,10 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
