@@ -10,6 +10,7 @@ from .packing import pack
 from .quality import quality
 from .sharding import shards
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
 
@@ -24,6 +25,10 @@ def op2_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"), width=13)
+
+
 def op4_line_dedup(spark, sf_dir):
     return dedup_page_lines(table(spark, sf_dir, "pages"))
 
@@ -54,6 +59,7 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
@@ -77,6 +83,15 @@ ORACLE_SQL = {
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM places WHERE i + 12 <= len(w)),
+        firsts AS (SELECT g, min(doc_id) AS m FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (g) WHERE m < doc_id),
+        kept AS (SELECT p.doc_id, string_agg(w[p.i], ' ' ORDER BY p.i) AS t, count(*) AS n FROM places p ANTI JOIN gone USING (doc_id, i) GROUP BY p.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_line_dedup": rf"""
         WITH parts AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
             regexp_split_to_array(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}') AS p FROM pages),
