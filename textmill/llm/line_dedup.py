@@ -3,8 +3,9 @@
 A line is boilerplate of a host if the pages that contain it are more than
 ``ratio`` of the host's pages. Lines are counted by host and MD5, so whole
 lines never move; a host has at most (mean different lines a page) / ratio such
-lines, whatever its number of pages, and that short list goes to its pages. A
-host with a third of all pages is split into SALTS parts for that.
+lines, whatever its number of pages, and that short list goes to its pages: by
+broadcast where the lists of all hosts were measured to be small, else by a
+shuffle in which a host with a third of all pages is split into SALTS parts.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ from .common import prepare
 RATIO, MIN_PAGES = 0.1, 10
 #: Parts that a host's pages are dealt to when they meet the host's boilerplate.
 SALTS = 16
+#: Boilerplate marks (of 32 bytes) of all hosts that are broadcast at most.
+BROADCAST_MARKS = 200_000
 
 #: Not text: scripts, styles and comments.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 #: Where a rendered line ends.
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|[\r\n]+"
+#: Other tags, and white space within a line.
+TAGS, BLANKS = r"<[^>\n]*>", r"[\x20\x09\x0B\x0C]+"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
 def page_lines(html):
     """The visible lines of a page, trimmed, white space runs as one space, empty ones left out."""
-    parts = F.split(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " "), BREAKS)
-    text = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"[\x20\x09-\x0D]+", " ")))
-    return F.filter(text, lambda x: x != "")
+    text = F.coalesce(html, F.lit(""))
+    for what, by in ((HIDDEN, " "), (BREAKS, "\n"), (TAGS, ""), (BLANKS, " ")):
+        text = F.regexp_replace(text, what, by)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def url_host(url):
@@ -56,11 +62,13 @@ def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     Rows without a host keep all lines, rows whose lines are null keep null.
     Each repeated row counts as a page. An empty table gives no rows.
     """
-    marks = boilerplate(rows.select("host", "lines"), ratio, min_pages)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    there = marks.select(F.col("host").alias("_host"), "marks", salts.alias("_to"))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
-    out = dealt.join(there, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_to")), "left")
+    marks = boilerplate(rows.select("host", "lines"), ratio, min_pages).checkpoint()
+    if (marks.agg(F.sum(F.size("marks"))).first()[0] or 0) <= BROADCAST_MARKS:
+        out = rows.join(F.broadcast(marks.withColumnRenamed("host", "_host")), F.col("host") == F.col("_host"), "left")
+    else:
+        there = marks.select(F.col("host").alias("_host"), "marks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_to"))
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
+        out = dealt.join(there, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_to")), "left")
     kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("marks"), F.md5(x)))
     return out.select(*rows.columns, F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
 
