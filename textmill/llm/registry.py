@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import BLANKS, BREAKS, HIDDEN, HOST, MIN_PAGES, RATIO, TAGS, dedup_page_lines
 from .packing import pack
 from .quality import quality
+from .quotation import link_quotations
 from .sharding import shards
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
@@ -21,6 +22,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quotation(spark, sf_dir):
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op2_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -58,6 +63,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quotation": op1_quotation,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
