@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare
+from .common import lookup, prepare
 from .fm_index import FMIndex
 from .words import IS_BREAK, LOWER, find_words, text_bytes, word_hashes
 
@@ -113,7 +114,7 @@ def _search(windows: Windows):
             found.setdefault(d, set()).update(windows.items[w])
         n = int(docs[-1])
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(words.astype(np.int64)), pa.array([spans.get(k, []) for k in range(n)], _SPANS), pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"]
+            [ids, pa.array(words.astype(np.int64)), pa.array([spans.get(k, []) for k in range(n)], _SPANS), pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string()))], ["row", "n_words", "spans", "items"]
         )
 
     def run(stream):
@@ -135,7 +136,7 @@ def _search(windows: Windows):
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<begin: bigint, end: bigint>>, items array<string>"
+_FOUND = "n_words bigint, spans array<struct<begin: bigint, end: bigint>>, items array<string>"
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
@@ -152,6 +153,34 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     yield block
 
 
+def _locate(rows: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text_col: str) -> DataFrame:
+    """``rows`` (row, text) with n_words, spans and items instead of the text."""
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(_FOUND).fields])
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first = Windows(next(blocks), width)
+    if next(blocks, None) is None:
+        return rows.mapInArrow(_search(first), schema)
+    # several passes over the different texts, then all rows look theirs up
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = rows.groupBy(key.alias("row")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    every = None
+    for block in _blocks(benchmark, item_col, item_text_col):
+        found = texts.select("row", "text").mapInArrow(_search(Windows(block, width)), "row string, " + _FOUND)
+        every = found if every is None else every.union(found)
+    none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
+
+    def join(spans, s):
+        last = F.element_at(spans, -1)
+        longer = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))))
+        touching = F.when(F.size(spans) > 0, s["begin"] <= last["end"]).otherwise(F.lit(False))
+        return F.when(touching, longer).otherwise(F.concat(spans, F.array(s)))
+
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.withColumn("spans", F.aggregate("spans", none, join)).join(texts.select("row", "copies"), "row").withColumnRenamed("row", "_key")
+    out = lookup(rows.select("row", key.alias("_key")), merged, ["_key"], "copies", rows.count(), "_key")
+    return out.select("row", "n_words", "spans", "items")
+
+
 def removal_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans [begin, end) of hit words, items.
 
@@ -159,35 +188,22 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id
     and characters beyond ASCII. Null has no words, and neither has empty text.
     Items of fewer words than ``width`` are one window; items without words, or
     with a null id, match nothing. ``items`` are different item ids as strings,
-    in order. A benchmark above BLOCK_BYTES is searched in several passes,
-    which are merged by row. Repeated rows stay repeated; other columns are not
+    in order. A benchmark above BLOCK_BYTES is searched in several passes over
+    the different texts. Repeated rows stay repeated; other columns are not
     read; empty tables give no rows or no hits.
     """
     prepare(docs.sparkSession)
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    first = texts.mapInArrow(_search(Windows(next(blocks), width)), SCHEMA)
-    if next(blocks, None) is None:
-        return first
-    # several passes: rows with one doc_id and text are alike, so they are merged once and repeated after
-    keyed = texts.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("_row", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = keyed.withColumn("_key", F.xxhash64(F.to_json("_row"))).checkpoint()
-    passes = [keyed.select("_key", "text").mapInArrow(_search(w), SCHEMA) for w in [Windows(b, width) for b in _blocks(benchmark, item_col, item_text_col)]]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.union(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
+    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id")).alias("row"), F.col(text_col).alias("text"))
+    return _locate(rows, benchmark, width, item_col, item_text_col).select("row.doc_id", "n_words", "spans", "items")
 
-    def join(spans, s):
-        last = F.element_at(spans, -1)
-        touching = (F.size(spans) > 0) & (s["begin"] <= last["end"])
-        longer = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(touching, longer).otherwise(F.concat(spans, F.array(s)))
 
-    merged = merged.withColumn("spans", F.aggregate("spans", none, join))
-    out = keyed.join(merged.withColumnRenamed("doc_id", "_key"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", "n_words", "spans", "items")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs``, all its columns, without the words of the removal spans; a null text stays null."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = _locate(rows, benchmark, width, item_col, item_text_col).select("row", "spans", F.col("row")[text_col].alias("text"))
+    out = found.mapInArrow(_strip, T.StructType([found.schema["row"], T.StructField("text", T.StringType())]))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, **columns) -> DataFrame:
@@ -197,6 +213,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, **
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _strip(batches):
+    for x in batches:
+        spans, texts = x.column(1).to_pylist(), x.column(2)
+        hit = [k for k, p in enumerate(spans) if p]
+        if hit:
+            new = texts.to_pylist()
+            for k in hit:
+                new[k] = removed(new[k], [(p["begin"], p["end"]) for p in spans[k]])
+            texts = pa.array(new, texts.type)
+        yield pa.RecordBatch.from_arrays([x.column(0), texts], ["row", "text"])
+
+
 def removed(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans`` and what stands between them."""
     raw = text.encode()

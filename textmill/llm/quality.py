@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 from .labels import remainder, training_sample
@@ -181,6 +182,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     """The rows of ``docs``, all their columns, whose quality reaches ``threshold``."""
     prepare(docs.sparkSession)
     field = fit(docs, labels)
-    schema = docs.schema.simpleString()[len("struct<") : -1]
     rows = docs.select(F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("row"))
-    return rows.mapInArrow(_score(field), f"row struct<{schema}>, score double").where(F.col("score") >= threshold).select("row.*")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_score(field), schema).where(F.col("score") >= threshold).select("row.*")

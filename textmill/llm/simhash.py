@@ -177,3 +177,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = lookup(classes, least, ["root"], "prints", n, "fp").select("fp", "rows", "component_id")
     out = lookup(prints, known, ["fp"], "rows", docs.count(), "doc_id")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that stay: of each group the one with the smallest doc_id. Rows without doc_id stay."""
+    groups = simhash_groups(docs, id_col, text_col)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    there = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return there.unionByName(docs.where(F.col(id_col).isNull()))
