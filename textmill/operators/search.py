@@ -48,7 +48,7 @@ class Query:
                 found = found.join(self.searcher.index.live.select("path", "mtime"), "path")
             found = found.withColumn("score", F.col("score") * recency.boost(F.col("mtime")))
         best = found.select("path", F.col("score")).orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("path")).limit(k)
-        titles = self.searcher.index.docs.select("path", "title")
+        titles = self.searcher.index.live.select("path", "title")
         out = titles.join(F.broadcast(best), "path")  # k rows
         return out.select("path", "title", "score").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("path"))
 
