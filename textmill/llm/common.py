@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that holds whole texts; long texts make the bytes count.
-BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 2 << 20
 #: A key with this share of all rows, or more, is looked up by broadcast; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 

@@ -24,7 +24,9 @@ from .words import IS_SPACE, U, find_words, text_bytes, word_hashes
 
 CAPACITY = 2048
 #: Different words of which a Python worker keeps the ids; beyond, it starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_500_000
+#: Words that the tokenizer takes at a time.
+ENCODE_WORDS = 20_000
 
 
 class WordIds:
@@ -48,7 +50,9 @@ class WordIds:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self._forget()
-        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = []
+        for k in range(0, len(words), ENCODE_WORDS):
+            ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_WORDS], add_special_tokens=False)]
         sizes = np.array([len(x) for x in ids], np.int64)
         at = np.cumsum(sizes) - sizes + len(self.pool)
         self.pool = np.concatenate([self.pool, *ids])
