@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions.analyzer import slots
 from .rank import FIELD_NAMES, Stats
 
 DOC_COLUMNS = ("path", "title", "body", "ext", "size", "mtime")
+POSTINGS = "field tinyint, term string, path string, tf int, positions array<int>, len int"
 LENGTHS = tuple(f"len_{f}" for f in FIELD_NAMES)
 
 
@@ -20,18 +23,40 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"len_{f}": F.size(F.flatten(slots(F.col(f)))) for f in FIELD_NAMES})
 
 
+def _invert(batches):
+    """Rows (path, field, slots) to postings. A document is whole in a row, so its terms are grouped right here, in numpy."""
+    for x in batches:
+        outer = x.column("slots")
+        at = outer.offsets.to_numpy()
+        inner = outer.values.slice(at[0], at[-1] - at[0])
+        token_at = inner.offsets.to_numpy()
+        terms = inner.values.slice(token_at[0], token_at[-1] - token_at[0]).dictionary_encode()
+        row_of_slot = np.repeat(np.arange(x.num_rows), np.diff(at))
+        slot = np.repeat(np.arange(len(inner)), np.diff(token_at))
+        row, code = row_of_slot[slot], terms.indices.to_numpy().astype(np.int64)
+        order = np.argsort(row * max(len(terms.dictionary), 1) + code, kind="stable")  # positions stay in order
+        row, code, pos = row[order], code[order], (slot - (at[:-1] - at[0])[row_of_slot[slot]])[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
+        length = np.bincount(row, minlength=x.num_rows)
+        tf = np.diff(np.concatenate([first, [len(row)]])) if len(row) else first
+        doc = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays(
+            [
+                x.column("field").take(doc), terms.dictionary.take(pa.array(code[first])), x.column("path").take(doc), pa.array(tf, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]), pa.int32()), pa.array(pos, pa.int32())), pa.array(length[row[first]], pa.int32()),
+            ],
+            ["field", "term", "path", "tf", "positions", "len"],
+        )
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
     """(field, term, path, tf, positions, len): one row for each term of each field of each document.
 
-    One scan, one shuffle, on all three keys, so a word that is in every
-    document is dealt out like any other.
+    Tokens are made by column expressions and grouped by document in the same
+    task: no shuffle, and no row for each token.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("field"), slots(F.col(f)).alias("slots")) for k, f in enumerate(FIELD_NAMES)]))
-    fields = docs.select("path", each.alias("x")).select("path", "x.field", "x.slots", F.size(F.flatten("x.slots")).alias("len"))
-    at = fields.select("path", "field", "len", F.posexplode("slots").alias("pos", "here"))
-    tokens = at.select("path", "field", "len", "pos", F.explode("here.term").alias("term"))
-    grouped = tokens.groupBy("field", "term", "path").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-    return grouped.select("field", "term", "path", "tf", "positions", "len")
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("field"), F.transform(slots(F.col(f)), lambda s: F.transform(s, lambda t: t["term"])).alias("slots")) for k, f in enumerate(FIELD_NAMES)]))
+    return docs.select("path", each.alias("x")).select("path", "x.field", "x.slots").mapInArrow(_invert, POSTINGS)
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.index import LENGTHS, Index, dictionary_of, postings_of, with_lengths
+from ..operators.index import LENGTHS, POSTINGS, Index, dictionary_of, postings_of
 
 #: Bodies above this many bytes are indexed but not stored.
 STORED_BODY = 1 << 20
@@ -28,7 +29,6 @@ STORED_BODY = 1 << 20
 FAN_IN, TIER_BYTES = 8, 8 << 10
 HEARTBEAT_S, STALE_S = 5, 30
 DOCS = "path string, title string, body string, ext string, size bigint, mtime bigint, sha256 string, len_path int, len_title int, len_body int"
-POSTINGS = "field tinyint, term string, path string, tf int, positions array<int>, len int"
 
 
 class Locked(RuntimeError):
@@ -125,12 +125,16 @@ class Store:
     def _write_segment(self, docs: DataFrame, postings: DataFrame | None = None) -> str:
         name = f"seg-{self.manifest.generation + 1:08d}-{uuid.uuid4().hex[:8]}"
         at = f"file://{(self.folder / name).absolute()}"
-        full = docs if postings is not None else with_lengths(docs)
+        # kept on the executors' disks, as the range partitioning below reads them twice; what is lost is made again
+        made = (postings_of(docs) if postings is None else postings).persist(StorageLevel.DISK_ONLY)
+        if postings is None:
+            lengths = made.groupBy("path").agg(*[F.sum(F.when(F.col("field") == k, F.col("tf")).otherwise(0)).cast("int").alias(c) for k, c in enumerate(LENGTHS)])
+            docs = docs.join(lengths, "path", "left").fillna(0, list(LENGTHS))
         stored = F.when(F.octet_length("body") <= STORED_BODY, F.col("body"))
-        full.withColumn("body", stored).select("path", "title", "body", "ext", "size", "mtime", "sha256", *LENGTHS).write.parquet(f"{at}/docs")
-        made = postings_of(docs) if postings is None else postings
+        docs.withColumn("body", stored).select("path", "title", "body", "ext", "size", "mtime", "sha256", *LENGTHS).write.parquet(f"{at}/docs")
         # sorted by term: a query's terms are found by the row groups' least and greatest terms
         made.repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term", "path").write.parquet(f"{at}/postings")
+        made.unpersist()
         kept = self._read([name], "postings", POSTINGS)
         dictionary_of(kept).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/dict")
         return name
@@ -164,7 +168,9 @@ class Store:
             name = f"del-{self.manifest.generation + 1:08d}-{uuid.uuid4().hex[:8]}"
             old = self._docs().where("live").select("path", "segment").join(gone.distinct(), "path", "left_semi")
             old.write.parquet(f"file://{(self.folder / name).absolute()}")
-            if not self._read([name], "", "path string, segment string").isEmpty():
+            if self._read([name], "", "path string, segment string").isEmpty():
+                shutil.rmtree(self.folder / name)
+            else:
                 dead.append(name)
         if docs is not None:
             segments.append(self._write_segment(docs))
