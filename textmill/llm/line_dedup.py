@@ -23,7 +23,7 @@ SALTS = 16
 BROADCAST_MARKS = 200_000
 
 #: Not text: scripts, styles and comments.
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+HIDDEN = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 #: Where a rendered line ends.
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|[\r\n]+"
 #: Other tags, and white space within a line.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
-from .line_dedup import BLANKS, BREAKS, HIDDEN, HOST, MIN_PAGES, RATIO, TAGS, dedup_page_lines
+from .line_dedup import BREAKS, HOST, MIN_PAGES, RATIO, TAGS, dedup_page_lines
 from .packing import pack
 from .quality import quality
 from .quotation import link_quotations
@@ -100,7 +100,7 @@ ORACLE_SQL = {
         FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_line_dedup": rf"""
         WITH parts AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
-            regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g'), '{BLANKS}', ' ', 'g') AS p FROM pages),
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g'), '[\x20\x09\x0B\x0C]+', ' ', 'g') AS p FROM pages),
         rows AS (SELECT page_id, host, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM parts),
         seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l)) AS line FROM rows WHERE host IS NOT NULL) GROUP BY host, line),
         sites AS (SELECT host, count(*) AS n_pages FROM rows WHERE host IS NOT NULL GROUP BY host),
