@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import syntax as ast
-from ..plans.bind import Plan, bind
+from ..plans.bind import Leaf, Plan, bind
 from ..plans.compile import counting, has_filter, match_column, matched, needs_a_leaf, phrase_column, score_column, scored
 from .index import Index
 from .rank import FIELD_NAMES, Params, Recency, field_weight
@@ -106,17 +106,31 @@ class Searcher:
     def search(self, query: str, k: int = 10, recency: Recency | None = None) -> DataFrame:
         return self.query(query).hits(k, recency)
 
+    @staticmethod
+    def leaves(queries: list[Query]) -> list[Leaf]:
+        """The leaves of all queries, each once; leaves that are alike get one number and share their columns."""
+        known: dict[tuple, int] = {}
+        out = {}
+        for x in queries:
+            for leaf in x.plan.leaves:
+                same = (leaf.fields, tuple((t.text, t.weight) for t in leaf.terms), tuple(map(tuple, leaf.groups)), leaf.slop)
+                # a query that repeats a leaf keeps both: each is explained on its own
+                if len(queries) > 1:
+                    leaf.number = known.setdefault(same, len(known))
+                out.setdefault(leaf.number, leaf)
+        return list(out.values())
+
     def term_rows(self, queries: list[Query]) -> DataFrame | None:
-        """Postings of the terms of all queries, with q, leaf, the leaf's factor w, and the share that the posting adds."""
-        table = [(q, leaf.number, t.text, f, t.weight * t.idf) for q, x in enumerate(queries) for leaf in x.plan.leaves for t in leaf.terms for f in leaf.fields]
+        """Postings of the terms of all queries, with leaf, the leaf's factor w, and the share that the posting adds."""
+        table = [(leaf.number, t.text, f, t.weight * t.idf) for leaf in self.leaves(queries) for t in leaf.terms for f in leaf.fields]
         if not table:
             return None
-        terms, fields = sorted({r[2] for r in table}), sorted({r[3] for r in table})
+        terms, fields = sorted({r[1] for r in table}), sorted({r[2] for r in table})
         # a row for each field of each term of a query: EXPANSION_LIMIT and the query's own length bound it
-        leaves = self.index.docs.sparkSession.createDataFrame(table, "q int, leaf int, term string, field tinyint, w double")
+        leaves = self.index.docs.sparkSession.createDataFrame(table, "leaf int, term string, field tinyint, w double")
         found = self.index.postings.where(F.col("field").isin(fields) & F.col("term").isin(terms)).join(F.broadcast(leaves), ["field", "term"])
         part = field_weight(self.params, self.index.stats, F.col("field"), F.col("tf"), F.col("len"))
-        return found.select("path", "q", "leaf", "term", "field", "tf", "len", "w", part.alias("part"))
+        return found.select("path", "leaf", "term", "field", "tf", "len", "w", part.alias("part"))
 
     def term_score(self):
         """Of one term and document, over its fields: saturation comes after their sum."""
@@ -124,19 +138,19 @@ class Searcher:
         return F.first("w") * total / (F.lit(self.params.k1) + total)
 
     def phrase_rows(self, queries: list[Query]) -> DataFrame | None:
-        """(path, q, leaf) of the phrases that match in some field."""
-        leaves = [(q, leaf) for q, x in enumerate(queries) for leaf in x.plan.leaves if leaf.groups]
+        """(path, leaf) of the phrases that match in some field."""
+        leaves = [leaf for leaf in self.leaves(queries) if leaf.groups]
         if not leaves:
             return None
-        terms = sorted({t for _, leaf in leaves for g in leaf.groups for t in g})
-        fields = sorted({f for _, leaf in leaves for f in leaf.fields})
+        terms = sorted({t for leaf in leaves for g in leaf.groups for t in g})
+        fields = sorted({f for leaf in leaves for f in leaf.fields})
         found = self.index.postings.where(F.col("field").isin(fields) & F.col("term").isin(terms)).select("path", "field", "term", "positions")
         places = found.groupBy("path", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-        yes = F.filter(F.array(*[F.when(phrase_column(leaf), F.struct(F.lit(q).alias("q"), F.lit(leaf.number).alias("leaf"))) for q, leaf in leaves]), lambda x: x.isNotNull())
-        return places.select("path", F.explode(yes).alias("x")).select("path", "x.q", "x.leaf").distinct()
+        yes = F.filter(F.array(*[F.when(phrase_column(leaf), F.lit(leaf.number)) for leaf in leaves]), lambda x: x.isNotNull())
+        return places.select("path", F.explode(yes).alias("leaf")).distinct()
 
     def scored(self, queries: list[Query]) -> DataFrame:
-        """A row for each document that may match, with a matched and a score column for each leaf of each query.
+        """A row for each document that may match, with a matched and a score column for each leaf.
 
         All postings of a document meet in one shuffle by path. Documents are
         read only for filters, deletes, or queries that a document without any
@@ -145,16 +159,15 @@ class Searcher:
         roots = [x.plan.root for x in queries]
         columns, parts = [], []
         if (rows := self.term_rows(queries)) is not None:
-            by_term = rows.repartition("path").groupBy("path", "q", "leaf", "term").agg(self.term_score().alias("score"))
-            parts.append(by_term.select("path", "q", "leaf", "score"))
+            by_term = rows.repartition("path").groupBy("path", "leaf", "term").agg(self.term_score().alias("score"))
+            parts.append(by_term.select("path", "leaf", "score"))
         if (rows := self.phrase_rows(queries)) is not None:
-            parts.append(rows.select("path", "q", "leaf", F.lit(0.0).alias("score")))
-        for q, x in enumerate(queries):
-            for leaf in x.plan.leaves:
-                mine = (F.col("q") == q) & (F.col("leaf") == leaf.number)
-                columns.append(F.coalesce(F.max(mine), F.lit(False)).alias(matched(leaf, q)))
-                if leaf.terms:
-                    columns.append(F.sum(F.when(mine, F.col("score")).otherwise(0.0)).alias(scored(leaf, q)))
+            parts.append(rows.select("path", "leaf", F.lit(0.0).alias("score")))
+        for leaf in self.leaves(queries):
+            mine = F.col("leaf") == leaf.number
+            columns.append(F.coalesce(F.max(mine), F.lit(False)).alias(matched(leaf)))
+            if leaf.terms:
+                columns.append(F.sum(F.when(mine, F.col("score")).otherwise(0.0)).alias(scored(leaf)))
         found = None
         if parts:
             both = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
@@ -173,7 +186,7 @@ class Searcher:
         bound = [self.query(q) for q in queries]
         found = self.scored(bound)
         each = F.filter(
-            F.array(*[F.when(match_column(x.plan.root, q), F.struct(F.lit(q).alias("q"), score_column(x.plan.root, q).alias("score"))) for q, x in enumerate(bound)]),
+            F.array(*[F.when(match_column(x.plan.root), F.struct(F.lit(q).alias("q"), score_column(x.plan.root).alias("score"))) for q, x in enumerate(bound)]),
             lambda x: x.isNotNull(),
         )
         rows = found.select("path", F.explode(each).alias("x")).select("path", "x.q", "x.score")

@@ -14,12 +14,12 @@ from .bind import Bound, Leaf, Plan
 _COMPARE = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "=": "__eq__"}
 
 
-def matched(leaf: Leaf, q: int = 0) -> str:
-    return f"m{q}_{leaf.number}"
+def matched(leaf: Leaf) -> str:
+    return f"m{leaf.number}"
 
 
-def scored(leaf: Leaf, q: int = 0) -> str:
-    return f"s{q}_{leaf.number}"
+def scored(leaf: Leaf) -> str:
+    return f"s{leaf.number}"
 
 
 def filter_column(node: ast.Filter) -> Column:
@@ -34,42 +34,42 @@ def filter_column(node: ast.Filter) -> Column:
     return getattr(mtime, _COMPARE[node.op])(start if ">" in node.op else end - 1)
 
 
-def match_column(b: Bound, q: int = 0) -> Column:
+def match_column(b: Bound) -> Column:
     match b.kind:
         case "leaf":
-            return F.coalesce(F.col(matched(b.leaf, q)), F.lit(False))
+            return F.coalesce(F.col(matched(b.leaf)), F.lit(False))
         case "and":
-            return reduce(and_, (match_column(c, q) for c in b.children))
+            return reduce(and_, (match_column(c) for c in b.children))
         case "or":
-            return reduce(or_, (match_column(c, q) for c in b.children))
+            return reduce(or_, (match_column(c) for c in b.children))
         case "not":
-            return ~match_column(b.children[0], q)
+            return ~match_column(b.children[0])
         case "filter":
             return F.coalesce(filter_column(b.filter), F.lit(False))
     return F.lit(b.kind == "all")
 
 
-def score_column(b: Bound, q: int = 0) -> Column:
+def score_column(b: Bound) -> Column:
     """AND adds its children, OR those that match; NOT, phrases and filters are worth nothing."""
     match b.kind:
         case "leaf" if b.leaf.terms:
-            return F.coalesce(F.col(scored(b.leaf, q)), F.lit(0.0))
+            return F.coalesce(F.col(scored(b.leaf)), F.lit(0.0))
         case "and":
-            return reduce(add, (score_column(c, q) for c in b.children))
+            return reduce(add, (score_column(c) for c in b.children))
         case "or":
-            return reduce(add, (F.when(match_column(c, q), score_column(c, q)).otherwise(0.0) for c in b.children))
+            return reduce(add, (F.when(match_column(c), score_column(c)).otherwise(0.0) for c in b.children))
     return F.lit(0.0)
 
 
-def counting(b: Bound, when: Column, q: int = 0) -> list[tuple[Leaf, Column]]:
+def counting(b: Bound, when: Column) -> list[tuple[Leaf, Column]]:
     """The leaves whose scores count, and when they do."""
     match b.kind:
         case "leaf":
             return [(b.leaf, when)] if b.leaf.terms else []
         case "and":
-            return [x for c in b.children for x in counting(c, when, q)]
+            return [x for c in b.children for x in counting(c, when)]
         case "or":
-            return [x for c in b.children for x in counting(c, when & match_column(c, q), q)]
+            return [x for c in b.children for x in counting(c, when & match_column(c))]
     return []
 
 
