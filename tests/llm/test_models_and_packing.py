@@ -110,6 +110,22 @@ def test_held_out_accuracy(spark, name, column, bound, recall, false):
     assert np.mean(one) >= recall and np.mean(zero) <= false
 
 
+def test_toxicity_counts_all_words_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PRUNE", 0.0)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    few = [(i, f"w{i} {'vile' if i % 2 else 'kind'} x{i % 7}") for i in ids]
+    many = few + [(1000 + i, f"new{i} other{i % 50} words words") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    odds, mass = [], []
+    for texts in (few, many):
+        models = toxicity.fit(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), labels)
+        vile = toxicity.words_of(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))[0]
+        odds.append(np.exp(models.words[toxicity.find(models.vocabulary, vile)[0][0]]) - 1)
+        seen = Counter(w for _, t in texts for w in set(t.split()))
+        mass.append(sum(seen.values()) + len(seen) + 1)
+    assert np.isclose(odds[1] / odds[0], mass[1] / mass[0]) and mass[1] > 2 * mass[0]
+
+
 # conversations
 
 MESSAGES = [
