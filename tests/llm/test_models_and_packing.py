@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import DATA
@@ -14,6 +15,7 @@ import corpus_pipeline
 from textmill.llm import packing, quality, registry, toxicity
 from textmill.llm.packing import pack, plan, sequences
 from textmill.llm.quotation import link_quotations, parse
+from textmill.llm.words import text_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -126,6 +128,21 @@ def test_toxicity_counts_all_words_of_the_corpus(spark, monkeypatch):
     assert np.isclose(odds[1] / odds[0], mass[1] / mass[0]) and mass[1] > 2 * mass[0]
 
 
+def test_toxicity_of_a_pruned_bigram_is_its_words(monkeypatch):
+    toxic = [f"a{i} vile" for i in range(40)] + [f"b{i} the vile" for i in range(10)]
+    ordinary = [f"a{i} kind" for i in range(40)] + [f"b{i} the vile" for i in range(10)]
+    parts = [toxicity.words_of(*text_bytes(pa.array(x))) for x in (toxic, ordinary)]
+    vocabulary = np.unique(np.concatenate([x[0] for x in parts]))
+    models = toxicity.Models(vocabulary, *(toxicity.Counts(vocabulary, *x) for x in parts), np.full(len(vocabulary), 0.005), 50)
+    vile = toxicity.words_of(*text_bytes(pa.array(["vile"])))[0]
+    word = models.words[toxicity.find(vocabulary, vile)[0][0]]
+    assert word >= toxicity.PRUNE and np.isclose(models.difference(*text_bytes(pa.array(["unknown the vile"])))[0], word / 3)
+    monkeypatch.setattr(toxicity, "PRUNE", 0.0)
+    unpruned = toxicity.Models(vocabulary, *(toxicity.Counts(vocabulary, *x) for x in parts), np.full(len(vocabulary), 0.005), 50)
+    h, before, _ = toxicity.words_of(*text_bytes(pa.array(["the vile"])))
+    assert unpruned.pairs.tolist() == toxicity.pair(before, h)[1:].tolist()
+
+
 # conversations
 
 MESSAGES = [
