@@ -142,6 +142,14 @@ def test_simhash(docs, rows, nothing):
     assert kept == {min(v) for v in least.values()} | {None}
 
 
+def test_near_deduplicated_keeps_one_of_repeated_rows(spark):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "red green blue black white")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (5, a, "x"), (2, b, "x"), (2, c, "x"), (2, c, "x"), (3, b, "x"), (1, c, "x"), (7, "alone", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    assert collected(near_deduplicated(docs)) == Counter([(1, a, "x"), (2, b, "x"), (1, c, "x"), (7, "alone", "x"), (None, a, "x"), (None, a, "x")])
+    assert near_deduplicated(docs).columns == docs.columns
+
+
 @pytest.mark.parametrize("small", [1 << 14, 1])
 def test_anchors_lose_no_link(small, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL_RUN", small)

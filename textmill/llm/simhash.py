@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import buckets, lookup, prepare
 from .components import connected, label
@@ -59,6 +60,11 @@ def _fingerprint(batches):
         yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fingerprints(*text_bytes(x.column(1))).view(np.int64))], ["doc_id", "fp"])
 
 
+def _fingerprint_rows(batches):
+    for x in batches:
+        yield pa.RecordBatch.from_arrays([*x.columns, pa.array(fingerprints(*text_bytes(x.column(1))).view(np.int64))], [*x.schema.names, "fp"])
+
+
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each 7-bit block: the nearest code word of the [7,4] code, and those at distance 2 that one changed bit can reach."""
     syndrome = np.zeros(128, int)
@@ -155,14 +161,8 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
-
-    Texts without words, empty or null, have fingerprint zero and link like any
-    other; texts of one or two words are one shingle. ``component_id`` is the
-    smallest doc_id reachable over links. Repeated rows stay repeated; other
-    columns are not read; an empty table gives no rows.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id, and root, a fingerprint that tells components with one component_id apart."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     prints = texts.mapInArrow(_fingerprint, "doc_id bigint, fp bigint").checkpoint()
@@ -174,14 +174,41 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected(links)
     classes = different.join(roots.toDF("fp", "_root"), "fp", "left").select("fp", "first", "rows", F.coalesce("_root", "fp").alias("root")).checkpoint()
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
-    known = lookup(classes, least, ["root"], "prints", n, "fp").select("fp", "rows", "component_id")
-    out = lookup(prints, known, ["fp"], "rows", docs.count(), "doc_id")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = lookup(classes, least, ["root"], "prints", n, "fp").select("fp", "rows", "component_id", "root")
+    return lookup(prints, known, ["fp"], "rows", docs.count(), "doc_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+
+    Texts without words, empty or null, have fingerprint zero and link like any
+    other; texts of one or two words are one shingle. ``component_id`` is the
+    smallest doc_id reachable over links. Repeated rows stay repeated; other
+    columns are not read; an empty table gives no rows.
+    """
+    return _components(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that stay: of each group the one with the smallest doc_id. Rows without doc_id stay."""
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    there = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return there.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs``, all their columns, that stay: of each group one with the smallest doc_id. Rows without doc_id stay.
+
+    Where rows repeat that doc_id, one of the least text (and the least of all
+    columns, as JSON) among those in the group stays.
+    """
+    is_least = F.col("doc_id") == F.col("component_id")
+    found = _components(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(is_least).alias("least"))
+    kept = ids.where("least").select(F.col("doc_id").alias("_kept"), "rows").checkpoint()
+    once, again = kept.where("rows = 1"), kept.where("rows > 1")
+    there = docs.join(once, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if again.isEmpty():
+        return there
+    texts = docs.join(again, F.col(id_col) == F.col("_kept"), "left_semi")
+    several = texts.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    prints = several.mapInArrow(_fingerprint_rows, StructType([*several.schema.fields, StructField("fp", LongType())]))
+    ordered = prints.select("doc_id", "fp", "row", F.struct("text", F.to_json("row")).alias("order"))
+    # combined before they meet their groups, so an id that repeats often is no hot key
+    first = ordered.groupBy("doc_id", "fp").agg(F.min_by("row", "order").alias("row"), F.min("order").alias("order"))
+    groups = found.where(is_least).select("doc_id", "fp", "root").distinct()
+    one = first.join(groups, ["doc_id", "fp"]).groupBy("root").agg(F.min_by("row", "order").alias("row"))
+    return there.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
