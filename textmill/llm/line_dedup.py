@@ -1,7 +1,9 @@
 """Line deduplication by site-relative frequency (operator 4), in DataFrame functions only.
 
 A line is boilerplate of a host if the pages that contain it are more than
-``ratio`` of the host's pages. Lines are counted by host and MD5, so whole
+``ratio`` of the host's pages, whatever the host's size. A line on one page
+only repeats nothing and stays: on a host of fewer than 1 / ratio pages it
+would else be over the ratio by itself. Lines are counted by host and MD5, so whole
 lines never move; a host has at most (mean different lines a page) / ratio such
 lines, whatever its number of pages, and that short list goes to its pages: by
 broadcast where the lists of all hosts were measured to be small, else by a
@@ -13,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, saved
 
-#: Share of a host's pages above which a line is boilerplate, and pages that must contain it at least.
-RATIO, MIN_PAGES = 0.1, 10
+#: Share of a host's pages above which a line is boilerplate.
+RATIO = 0.1
+#: Pages that make a line a repeated one.
+REPEATED = 2
 #: Parts that a host's pages are dealt to when they meet the host's boilerplate.
 SALTS = 16
 #: Boilerplate marks (of 32 bytes) of all hosts that are broadcast at most.
@@ -45,7 +49,7 @@ def url_host(url):
     return F.when(host != "", host)
 
 
-def boilerplate(rows: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(rows: DataFrame, ratio: float, min_pages: int = REPEATED) -> DataFrame:
     """(host, lines) rows to one row for each host with boilerplate: host, marks (MD5 of each such line)."""
     pages = rows.where(F.col("host").isNotNull())
     marks = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.md5(x)))
@@ -55,14 +59,16 @@ def boilerplate(rows: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return frequent.groupBy("host").agg(F.collect_set("mark").alias("marks"))
 
 
-def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """``rows`` (any columns besides host and lines) with ``kept``: the lines that are not their host's boilerplate.
 
-    Blank lines are neither counted nor dropped; a line counts once a page.
-    Rows without a host keep all lines, rows whose lines are null keep null.
-    Each repeated row counts as a page. An empty table gives no rows.
+    A line goes if more than ``ratio`` of the host's pages, and ``min_pages`` at
+    least, contain it; a share of just ``ratio`` keeps it. Blank lines are
+    neither counted nor dropped; a line counts once a page. Rows without a host
+    keep all lines, rows whose lines are null keep null. Each repeated row
+    counts as a page. An empty table gives no rows.
     """
-    marks = boilerplate(rows.select("host", "lines"), ratio, min_pages).checkpoint()
+    marks = saved(boilerplate(rows.select("host", "lines"), ratio, min_pages), rows.count())
     if (marks.agg(F.sum(F.size("marks"))).first()[0] or 0) <= BROADCAST_MARKS:
         out = rows.join(F.broadcast(marks.withColumnRenamed("host", "_host")), F.col("host") == F.col("_host"), "left")
     else:
@@ -73,8 +79,18 @@ def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     return out.select(*rows.columns, F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
 
 
-def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, host, n_lines, n_dropped, text (the kept lines). Null html has no lines."""
+def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = REPEATED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: page_id, host, n_lines, n_dropped, text (the kept lines).
+
+    Lines are those that :func:`page_lines` sees; null and empty html have none,
+    and their page counts for its host all the same. Pages whose URL is null or
+    has no host keep all lines. A line goes as in :func:`drop_boilerplate`: on
+    more than ``ratio`` of the host's pages and on two at least, so a host of
+    one page keeps all; a share of just ``ratio`` keeps the line. Repeated rows
+    are pages each; null ids are pages like others. Columns besides the three
+    are not read. A very long page is one row like any other: only its lines'
+    MD5 move. An empty table gives no rows.
+    """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url_host(F.col(url_col)).alias("host"), page_lines(F.col(html_col)).alias("lines"))
     out = drop_boilerplate(rows, ratio, min_pages)
@@ -82,7 +98,7 @@ def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     return out.select("page_id", "host", n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
-def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = REPEATED, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs``, all its columns, without the boilerplate lines of each text's site. Null texts stay null, and a null site loses nothing."""
     prepare(docs.sparkSession)
     row = F.struct(*[F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
-from .line_dedup import BREAKS, HOST, MIN_PAGES, RATIO, TAGS, dedup_page_lines
+from .line_dedup import BREAKS, HOST, RATIO, REPEATED, TAGS, dedup_page_lines
 from .packing import pack
 from .quality import quality
 from .quotation import link_quotations
@@ -104,7 +104,7 @@ ORACLE_SQL = {
         rows AS (SELECT page_id, host, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM parts),
         seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l)) AS line FROM rows WHERE host IS NOT NULL) GROUP BY host, line),
         sites AS (SELECT host, count(*) AS n_pages FROM rows WHERE host IS NOT NULL GROUP BY host),
-        bad AS (SELECT host, list(line) AS lines FROM seen JOIN sites USING (host) WHERE n >= {MIN_PAGES} AND n / n_pages > {RATIO} GROUP BY host),
+        bad AS (SELECT host, list(line) AS lines FROM seen JOIN sites USING (host) WHERE n >= {REPEATED} AND n / n_pages > {RATIO} GROUP BY host),
         kept AS (SELECT page_id, rows.host, l, list_filter(l, lambda x: NOT list_contains(coalesce(bad.lines, []), x)) AS k FROM rows LEFT JOIN bad ON rows.host = bad.host)
         SELECT page_id, host, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped, array_to_string(k, chr(10)) AS text FROM kept""",
     "op5_exact_dedup": r"""
