@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup, prepare
+from .common import lookup, prepare, slices, trimmed
 from .fm_index import FMIndex
-from .words import IS_BREAK, LOWER, find_words, text_bytes, word_hashes
+from .words import IS_BREAK, LOWER, equal_words, find_words, joined, text_bytes, word_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text that are searched in one pass and sent to all tasks; more take further passes.
 BLOCK_BYTES = 4 << 20
-#: Indexed words of a shard, at least, unless the task's rows end before.
-SHARD_WORDS = 1 << 18
+#: Indexed words, or bytes that are held, that end a shard.
+SHARD_WORDS, SHARD_BYTES = 1 << 18, 16 << 20
 
 
 class Windows:
@@ -35,12 +35,11 @@ class Windows:
         starts, ends, first = find_words(data, at, IS_BREAK)
         hashes = word_hashes(data, starts, ends)
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
-        raw = data.tobytes()
-        self.words = [b""] * len(self.vocabulary)
-        for k, s, e in zip(numbers.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            if self.words[k] not in (b"", raw[s:e]):
-                raise ValueError("two benchmark words share a 64-bit hash")
-            self.words[k] = raw[s:e]
+        _, one = np.unique(numbers, return_index=True)
+        # each different word once, to compare the documents' words with
+        self.text, self.starts, self.ends = joined(data, starts[one], ends[one])
+        if not equal_words(data, starts, ends, self.text, self.starts[numbers], self.ends[numbers]).all():
+            raise ValueError("two benchmark words share a 64-bit hash")
         of: dict[tuple, set] = {}
         for k, (item, _) in enumerate(items):
             words = (numbers[first[k] : first[k + 1]] + 1).tolist()
@@ -53,25 +52,37 @@ class Windows:
         for k, w in enumerate(windows):
             self.patterns[k, : len(w)] = w
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's number from 1, or 0 for words that no item has."""
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each word's number from 1, or 0 for words that no item has; hashes find the words, their bytes are compared."""
+        if not len(self.vocabulary):
+            return np.zeros(len(starts), np.int64)
+        hashes = word_hashes(data, starts, ends)
         place = np.searchsorted(self.vocabulary, hashes)
         place[place == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[place] == hashes, place + 1, 0)
+        like = np.flatnonzero(self.vocabulary[place] == hashes)
+        there = place[like]
+        same = equal_words(data, starts[like], ends[like], self.text, self.starts[there], self.ends[there])
+        out = np.zeros(len(starts), np.int64)
+        out[like[same]] = there[same] + 1
+        return out
 
 
-def occurrences(windows: Windows, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and the places where they begin, in words ``numbers`` of documents ``doc``."""
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def eligible(windows: Windows, numbers: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the words in stretches of benchmark words, of one document, that are as long as the shortest window."""
     if not len(numbers) or not len(windows.sizes):
-        return nothing
-    cut = np.concatenate([[True], (doc[1:] != doc[:-1]) | ((numbers[1:] == 0) != (numbers[:-1] == 0))])
-    begin = np.flatnonzero(cut)
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | ((numbers[1:] == 0) != (numbers[:-1] == 0))]))
     size = np.diff(np.concatenate([begin, [len(numbers)]]))
     keep = (numbers[begin] > 0) & (size >= windows.sizes.min())
-    begin, size = begin[keep], size[keep]
-    if not len(begin):
-        return nothing
+    return np.flatnonzero(np.repeat(keep, size))
+
+
+def occurrences(windows: Windows, numbers: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and the indexes of the words where they begin, among eligible words ``numbers`` at places ``at`` of documents ``doc``."""
+    if not len(numbers):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+    size = np.diff(np.concatenate([begin, [len(numbers)]]))
     where = np.repeat(begin - np.concatenate([[0], np.cumsum(size + 1)[:-1]]), size + 1) + np.arange(int((size + 1).sum()))
     text = numbers[np.minimum(where, len(numbers) - 1)] + 1
     text[np.cumsum(size + 1) - 1] = 1  # the separator; windows have symbols from 2
@@ -82,57 +93,84 @@ def occurrences(windows: Windows, numbers: np.ndarray, doc: np.ndarray) -> tuple
     return np.repeat(np.arange(len(n)), n), where[index.locate(rows)]
 
 
-def _search(windows: Windows):
-    def shard(batches):
-        ids = pa.concat_arrays([b.column(0) for b, *_ in batches])
-        docs = np.cumsum([0] + [b.num_rows for b, *_ in batches])
-        words = np.concatenate([np.diff(f) for _, f, *_ in batches])
-        numbers = np.concatenate([n for _, _, n, *_ in batches])
-        base = np.cumsum([0] + [len(n) for _, _, n, *_ in batches])
-        doc = np.repeat(np.arange(len(words)), words)
-        which, place = occurrences(windows, numbers, doc)
-        batch = np.searchsorted(base, place, "right") - 1
-        sure = np.ones(len(which), bool)
-        for k, (w, p, b) in enumerate(zip(which.tolist(), place.tolist(), batch.tolist(), strict=True)):
-            _, _, _, raw, starts, ends = batches[b]
-            for i in range(int(windows.sizes[w])):  # the words themselves, not only their hashes
-                sure[k] &= raw[starts[p - base[b] + i] : ends[p - base[b] + i]] == windows.words[windows.patterns[w, i] - 1]
-        which, place = which[sure], place[sure]
-        edge = np.zeros(len(numbers) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + windows.sizes[which], -1)
-        hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-        firsts = np.concatenate([[0], np.cumsum(words)])
-        hit_ends = np.zeros(len(numbers) + 1, bool)
-        hit_ends[firsts] = True
-        on, off = np.flatnonzero(hit[1:-1] & (~hit[:-2] | hit_ends[:-1])), np.flatnonzero(hit[1:-1] & (~hit[2:] | hit_ends[1:])) + 1
-        spans: dict[int, list] = {}
-        for d, a, b in zip(doc[on].tolist(), on.tolist(), off.tolist(), strict=True):
-            spans.setdefault(d, []).append({"begin": a - int(firsts[d]), "end": b - int(firsts[d])})
-        found: dict[int, set] = {}
-        for d, w in set(zip(doc[place].tolist(), which.tolist(), strict=True)):
-            found.setdefault(d, set()).update(windows.items[w])
-        n = int(docs[-1])
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(words.astype(np.int64)), pa.array([spans.get(k, []) for k in range(n)], _SPANS), pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string()))], ["row", "n_words", "spans", "items"]
-        )
-
-    def run(stream):
-        held, size = [], 0
-        for x in stream:
-            data, at = text_bytes(x.column(1))
-            data = LOWER[data]
-            starts, ends, first = find_words(data, at, IS_BREAK)
-            numbers = windows.numbers(word_hashes(data, starts, ends)) if len(windows.sizes) else np.zeros(len(starts), np.int64)
-            held.append((x, first, numbers, data.tobytes(), starts, ends))
-            size += int((numbers > 0).sum())
-            if size >= SHARD_WORDS:
-                yield from shard(held)
-                held, size = [], 0
+class Held:
+    """A slice of a task's rows, and those stretches of benchmark words in it that a window can lie in."""
+
+    def __init__(self, rows: pa.RecordBatch, windows: Windows):
+        self.rows = rows
+        data, at = text_bytes(rows.column(1))
+        data = LOWER[data]
+        starts, ends, self.first = find_words(data, at, IS_BREAK)
+        numbers = windows.numbers(data, starts, ends)
+        doc = np.repeat(np.arange(rows.num_rows), np.diff(self.first))
+        self.where = eligible(windows, numbers, doc)
+        self.numbers, self.doc = numbers[self.where], doc[self.where]
+        self.size = len(data) + 24 * len(self.where) + 8 * len(self.first)
+
+
+def _hits(windows: Windows, shard: list[Held]) -> list[tuple[list, list]]:
+    """For each held slice, by row: removal spans in words of the text, and items."""
+    numbers = np.concatenate([h.numbers for h in shard])
+    # places are told apart by slice and row, words by their place in the slice
+    base = np.cumsum([0] + [h.first[-1] for h in shard])
+    rows = np.cumsum([0] + [h.rows.num_rows for h in shard])
+    at = np.concatenate([h.where + b for h, b in zip(shard, base, strict=False)])
+    doc = np.concatenate([h.doc + r for h, r in zip(shard, rows, strict=False)])
+    which, place = occurrences(windows, numbers, doc, at)
+    spans: list[list] = [[] for _ in range(rows[-1])]
+    found: list[set] = [set() for _ in range(rows[-1])]
+    begin = at[place]
+    order = np.argsort(begin, kind="stable")
+    begin, end, of = begin[order], (begin + windows.sizes[which])[order], doc[place][order]
+    if len(begin):
+        reach = np.maximum.accumulate(end)
+        first = np.concatenate([[True], (begin[1:] > reach[:-1]) | (of[1:] != of[:-1])])  # spans that touch are one
+        start = np.flatnonzero(first)
+        firsts = np.concatenate([h.first[:-1] + b for h, b in zip(shard, base, strict=False)])
+        for d, lo, hi in zip(of[start].tolist(), begin[start].tolist(), np.maximum.reduceat(end, start).tolist(), strict=True):
+            spans[d].append((lo - int(firsts[d]), hi - int(firsts[d])))
+        pairs = np.unique(doc[place] * len(windows.sizes) + which)
+        for d, w in zip((pairs // len(windows.sizes)).tolist(), (pairs % len(windows.sizes)).tolist(), strict=True):
+            found[d].update(windows.items[w])
+    return [(spans[a:b], [sorted(x) for x in found[a:b]]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+
+
+def _rows_found(h: Held, spans: list, items: list) -> pa.RecordBatch:
+    """(row, n_words, spans, items)."""
+    told = pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], _SPANS)
+    return pa.RecordBatch.from_arrays([h.rows.column(0), pa.array(np.diff(h.first)), told, pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
+
+
+def _rows_stripped(h: Held, spans: list, items: list) -> pa.RecordBatch:
+    """(row, text): the text without the spans' words."""
+    return pa.RecordBatch.from_arrays([h.rows.column(0), _without(h.rows.column(1), spans)], ["row", "text"])
+
+
+def _search(windows: Windows, tell):
+    """Of (row, text) batches: ``tell(slice, spans, items)``. A slice that no window can lie in is told at once."""
+
+    def run(batches):
+        held, words, size = [], 0, 0
+        for x in slices(batches, 1):
+            h = Held(x, windows)
+            if not len(h.where):
+                yield tell(h, *_nothing(x.num_rows))
+                continue
+            held.append(h)
+            words, size = words + len(h.where), size + h.size
+            if words >= SHARD_WORDS or size >= SHARD_BYTES:
+                for h, (spans, items) in zip(held, _hits(windows, held), strict=True):
+                    yield tell(h, spans, items)
+                held, words, size = [], 0, 0
         if held:
-            yield from shard(held)
+            for h, (spans, items) in zip(held, _hits(windows, held), strict=True):
+                yield tell(h, spans, items)
 
-    return run
+    return trimmed(run)
+
+
+def _nothing(n: int) -> tuple[list, list]:
+    return [[]] * n, [[]] * n
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -142,30 +180,34 @@ _FOUND = "n_words bigint, spans array<struct<begin: bigint, end: bigint>>, items
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """Benchmark items in blocks of about BLOCK_BYTES."""
     block, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if r[1] is None or r[0] is None:
-            continue
-        if block and size + 4 * len(r[1]) > BLOCK_BYTES:
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    for r in items.select(F.col(item_col).cast("string"), F.col(text_col), F.octet_length(text_col)).toLocalIterator():
+        if block and size + r[2] > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append((r[0], r[1]))
-        size += 4 * len(r[1])
+        size += r[2]
     yield block
 
 
+def _only_block(benchmark: DataFrame, width: int, item_col: str, item_text_col: str) -> Windows | None:
+    """The windows of a benchmark that is one block; else none."""
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first = next(blocks)
+    return Windows(first, width) if next(blocks, None) is None else None
+
+
 def _locate(rows: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text_col: str) -> DataFrame:
     """``rows`` (row, text) with n_words, spans and items instead of the text."""
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(_FOUND).fields])
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    first = Windows(next(blocks), width)
-    if next(blocks, None) is None:
-        return rows.mapInArrow(_search(first), schema)
+    if (windows := _only_block(benchmark, width, item_col, item_text_col)) is not None:
+        return rows.mapInArrow(_search(windows, _rows_found), schema)
     # several passes over the different texts, then all rows look theirs up
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     texts = rows.groupBy(key.alias("row")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.count(F.lit(1)).alias("copies")).checkpoint()
     every = None
     for block in _blocks(benchmark, item_col, item_text_col):
-        found = texts.select("row", "text").mapInArrow(_search(Windows(block, width)), "row string, " + _FOUND)
+        found = texts.select("row", "text").mapInArrow(_search(Windows(block, width), _rows_found), "row string, " + _FOUND)
         every = found if every is None else every.union(found)
     none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
 
@@ -201,8 +243,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, t
     """``docs``, all its columns, without the words of the removal spans; a null text stays null."""
     prepare(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = _locate(rows, benchmark, width, item_col, item_text_col).select("row", "spans", F.col("row")[text_col].alias("text"))
-    out = found.mapInArrow(_strip, T.StructType([found.schema["row"], T.StructField("text", T.StringType())]))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    if (windows := _only_block(benchmark, width, item_col, item_text_col)) is not None:
+        out = rows.mapInArrow(_search(windows, _rows_stripped), schema)
+    else:
+        found = _locate(rows, benchmark, width, item_col, item_text_col).select("row", F.col("row")[text_col].alias("text"), "spans")
+        out = found.mapInArrow(_strip, schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -214,15 +260,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, **
 
 
 def _strip(batches):
-    for x in batches:
-        spans, texts = x.column(1).to_pylist(), x.column(2)
-        hit = [k for k, p in enumerate(spans) if p]
-        if hit:
-            new = texts.to_pylist()
-            for k in hit:
-                new[k] = removed(new[k], [(p["begin"], p["end"]) for p in spans[k]])
-            texts = pa.array(new, texts.type)
-        yield pa.RecordBatch.from_arrays([x.column(0), texts], ["row", "text"])
+    for x in slices(batches, 1):
+        spans = [[(p["begin"], p["end"]) for p in y] for y in x.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([x.column(0), _without(x.column(1), spans)], ["row", "text"])
+
+
+def _without(texts: pa.Array, spans: list) -> pa.Array:
+    """``texts`` without the words of their spans."""
+    hit = [k for k, s in enumerate(spans) if s]
+    if not hit:
+        return texts
+    new = texts.to_pylist()
+    for k in hit:
+        new[k] = removed(new[k], spans[k])
+    return pa.array(new, texts.type)
 
 
 def removed(text: str, spans: list[tuple[int, int]]) -> str:

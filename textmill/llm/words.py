@@ -74,6 +74,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+def equal_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each word of ``data`` has the bytes of its counterpart in ``others``."""
+    left = ends - starts
+    same = left == other_ends - other_starts
+    a, b = lanes(data), lanes(others)
+    which = np.flatnonzero(same & (left > 0))
+    done = 0
+    while len(which):
+        part = _LEFT[np.minimum(left[which] - done, 8)]
+        differs = (a[starts[which] + done] ^ b[other_starts[which] + done]) & part != 0
+        same[which[differs]] = False
+        done += 8
+        which = which[~differs & (left[which] > done)]
+    return same
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words with exactly one space after each: bytes, and each word's new start and end."""
     sizes = ends - starts
