@@ -7,14 +7,24 @@ rows is bounded by arithmetic.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that holds whole texts; long texts make the bytes count.
 BATCH_ROWS, BATCH_BYTES = 10_000, 2 << 20
+#: Bytes of text that numpy works on at a time; its arrays take some ten times as much. A longer text is a slice of its own.
+SLICE_BYTES = 256 << 10
+#: Short rows of a checkpoint's file, and bytes of text tables that make an output's file, in about.
+FILE_ROWS, FILE_BYTES = 1_000_000, 16 << 20
 #: A key with this share of all rows, or more, is looked up by broadcast; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
@@ -23,21 +33,74 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches of ``spark`` and make sure that checkpoint() has a folder.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where none is named, as in tests, a local one is set.
+    only where none is named and the master is local, as in tests, a local one
+    is set. Executors elsewhere could not read that one, so there it is an error.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "textmill-checkpoints"))
     return spark
 
 
+def slices(batches, column: int = 0, size: int = SLICE_BYTES):
+    """The rows of Arrow batches in their order, as batches of ``size`` bytes of text in ``column`` at most."""
+    for x in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(x.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        done = 0
+        while done < x.num_rows:
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + size, "right")))
+            yield x.slice(done, upto - done)
+            done = upto
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: Spark reuses workers, and what one stage took would count in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """``run``, a function of a task's batches, which leaves no freed memory with the worker when the task ends."""
+
+    @functools.wraps(run)
+    def wrapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tasks(spark: SparkSession, enough: int) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, enough)
+
+
+def saved(rows: DataFrame, at_most: int | None) -> DataFrame:
+    """A checkpoint of short rows, ``at_most`` so many where that is known, in files by their number and not by the shuffle's partitions."""
+    if at_most is None:
+        return rows.checkpoint()
+    return rows.coalesce(_tasks(rows.sparkSession, -(-at_most // FILE_ROWS))).checkpoint()
+
+
+def compact(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows``, made of ``source``, in partitions of about FILE_BYTES of it, so that many small ones don't leave as many small files."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of files, by their length; else an upper bound
+    return rows.coalesce(min(_tasks(rows.sparkSession, -(-size // FILE_BYTES)), 1 << 30))
+
+
 def buckets(n_rows: int, per_bucket: int, least: int = 64) -> int:
     """How many buckets hold ``n_rows`` at about ``per_bucket`` each; the work is dealt by bucket."""
     return max(least, -(-n_rows // per_bucket))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Links that one executor task may solve at once (16 bytes each); more are contracted first.
 LOCAL_LINKS = 200_000
 
@@ -35,7 +37,7 @@ def _solve(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, n_nodes: int | None = None) -> DataFrame:
     """(a, b) links of bigints to (node, root): a root for every node that has a link.
 
     While there are more links than one task may hold, a round sends every node
@@ -43,17 +45,19 @@ def connected(links: DataFrame) -> DataFrame:
     what is left, and checkpoints; hashes make a round shrink long chains as
     well as stars. Each node sends one combined row a task, so a node with most
     of the links is no hot spot. What a round maps is joined back at the end.
+    ``n_nodes``, if known, says in how many files links and maps are kept.
     """
-    links, maps, turn = links.where("a <> b").select("a", "b").distinct().checkpoint(), [], 0
+    links, maps, turn = saved(links.where("a <> b").select("a", "b").distinct(), n_nodes), [], 0
     while links.count() > LOCAL_LINKS:
         turn += 1
         both = links.union(links.select("b", "a")).union(links.select("a", "a"))
         both = both.union(links.select("b", "b")).toDF("node", "near")
         order = F.struct(F.xxhash64("near", F.lit(turn)).alias("h"), F.col("near"))
-        step = both.groupBy("node").agg(F.min(order)["near"].alias("to")).checkpoint()
+        step = saved(both.groupBy("node").agg(F.min(order)["near"].alias("to")), n_nodes)
         maps.append(step)
         moved = links.join(step.toDF("a", "ta"), "a").join(step.toDF("b", "tb"), "b")
-        links = moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().checkpoint()
+        links = moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        links = saved(links, n_nodes)
     roots = links.repartition(1).mapInArrow(_solve, "node bigint, root bigint")
     for step in reversed(maps):
         there = step.join(roots.toDF("to", "r"), "to", "left")

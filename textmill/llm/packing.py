@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, numbered, prepare
+from .common import buckets, numbered, prepare, slices, trimmed
 from .words import IS_SPACE, U, find_words, text_bytes, word_hashes
 
 CAPACITY = 2048
-#: Different words of which a Python worker keeps the ids; beyond, it starts anew.
-CACHE_WORDS = 1_500_000
+#: Different words of which a Python worker keeps the ids, and ids that it keeps (some 40 MB in all); beyond, it starts anew.
+CACHE_WORDS, CACHE_IDS = 1_200_000, 6_000_000
 #: Words that the tokenizer takes at a time.
-ENCODE_WORDS = 20_000
+ENCODE_WORDS = 4_000
+#: Bytes of text that are cut at a time; the cache is copied once for each.
+SLICE = 1 << 20
 
 
 class WordIds:
@@ -44,21 +46,24 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at = np.zeros(0, U), np.zeros(0, np.int64)
-        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.at, self.size = np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.pool, self.used = np.zeros(0, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self._forget()
-        ids = []
+        """Keep the ids of ``words``, whose hashes are in order."""
+        sizes = np.empty(len(words), np.int64)
         for k in range(0, len(words), ENCODE_WORDS):
-            ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_WORDS], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        at = np.cumsum(sizes) - sizes + len(self.pool)
-        self.pool = np.concatenate([self.pool, *ids])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_WORDS], add_special_tokens=False)]
+            sizes[k : k + len(ids)] = [len(x) for x in ids]
+            flat = np.fromiter((i for x in ids for i in x), np.uint32)
+            if self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(flat), self.used // 2), np.uint32)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        at = np.cumsum(sizes) - sizes + (self.used - int(sizes.sum()))
+        place = np.searchsorted(self.known, hashes)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, sizes)
+        self.known = np.insert(self.known, place, hashes)
 
     def _missing(self, hashes: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
@@ -69,14 +74,14 @@ class WordIds:
         starts, ends, first = find_words(data, at, IS_SPACE)
         different, one, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         new = np.flatnonzero(self._missing(different))
-        if len(new) and len(self.known) + len(new) > CACHE_WORDS:
+        if len(new) and (len(self.known) + len(new) > CACHE_WORDS or self.used > CACHE_IDS):
             self._forget()
             new = np.arange(len(different))
         if len(new):
             raw = data.tobytes()
             self._learn(different[new], [raw[starts[k] : ends[k]].decode() for k in one[new]])
         place = np.searchsorted(self.known, different)
-        size, begin = self.size[place][which], self.at[place][which]
+        size, begin = self.size[place][which].astype(np.int64), self.at[place][which].astype(np.int64)
         words = np.diff(first)
         # one id more after each text's last word: the id 0
         total = np.concatenate([[0], np.cumsum(size)])
@@ -99,7 +104,7 @@ def word_ids(path: str) -> WordIds:
 
 def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches):
-        for x in batches:
+        for x in slices(batches, 1, SLICE):
             ids, at = word_ids(path)(*text_bytes(x.column(1)))
             pieces = np.maximum(1, -(-np.diff(at) // capacity))
             doc = np.repeat(np.arange(len(pieces)), pieces)
@@ -114,7 +119,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(where), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return run
+    return trimmed(run)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, slices, trimmed
 from .labels import remainder, training_sample
 from .words import IS_SPACE, LOWER, find_words, text_bytes, word_hashes
 
@@ -57,11 +57,14 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops[first[1:] - 1] = at[1:]
     stops[~is_last] = ends
     n, size = len(starts), stops - starts
-    line_of_byte = np.repeat(np.arange(n), np.diff(np.concatenate([starts, at[-1:]])))
     kind = _CLASS[data]
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
     kind[lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E)]] = _UPPER  # Latin-1 capitals
-    c = np.bincount(line_of_byte * 8 + kind, minlength=8 * n).reshape(n, 8).astype(float)
+    # class by class: a byte costs a byte or two here, not the eight of a number for each
+    c = np.zeros((n, 8))
+    filled = np.diff(starts_and_end(starts, at)) > 0
+    for k in range(8 if filled.any() else 0):
+        c[filled, k] = np.add.reduceat(kind == k, starts[filled], dtype=np.int64)
     w_start, w_end, w_first = find_words(data, starts_and_end(starts, at), IS_SPACE)
     words = np.diff(w_first)
     hashes = word_hashes(LOWER[data], w_start, w_end)
@@ -152,10 +155,10 @@ class Field:
 
 def _score(field: Field):
     def run(batches):
-        for x in batches:
+        for x in slices(batches):
             yield pa.RecordBatch.from_arrays([*x.columns[1:], pa.array(field.score(*text_bytes(x.column(0))))], [*x.schema.names[1:], "score"])
 
-    return run
+    return trimmed(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:

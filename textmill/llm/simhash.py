@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import buckets, lookup, prepare
+from .common import buckets, lookup, prepare, saved, slices, trimmed
 from .components import connected, label
 from .words import IS_SPACE, LOWER, U, find_words, joined, text_bytes, xxh64
 
@@ -55,13 +55,15 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+@trimmed
 def _fingerprint(batches):
-    for x in batches:
+    for x in slices(batches, 1):
         yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fingerprints(*text_bytes(x.column(1))).view(np.int64))], ["doc_id", "fp"])
 
 
+@trimmed
 def _fingerprint_rows(batches):
-    for x in batches:
+    for x in slices(batches, 1):
         yield pa.RecordBatch.from_arrays([*x.columns, pa.array(fingerprints(*text_bytes(x.column(1))).view(np.int64))], [*x.schema.names, "fp"])
 
 
@@ -164,18 +166,19 @@ def _compare(group: pa.Table) -> pa.Table:
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id, and root, a fingerprint that tells components with one component_id apart."""
     prepare(docs.sparkSession)
+    total = docs.count()
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     prints = texts.mapInArrow(_fingerprint, "doc_id bigint, fp bigint").checkpoint()
-    different = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).checkpoint()
+    different = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), total)
     n = different.count()
     spread = different.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint, home boolean")
     dealt = spread.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets(32 * n, 1_000_000))))
     links = dealt.groupBy("bucket").applyInArrow(_compare, "a bigint, b bigint")
-    roots = connected(links)
-    classes = different.join(roots.toDF("fp", "_root"), "fp", "left").select("fp", "first", "rows", F.coalesce("_root", "fp").alias("root")).checkpoint()
+    roots = connected(links, n)
+    classes = saved(different.join(roots.toDF("fp", "_root"), "fp", "left").select("fp", "first", "rows", F.coalesce("_root", "fp").alias("root")), n)
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     known = lookup(classes, least, ["root"], "prints", n, "fp").select("fp", "rows", "component_id", "root")
-    return lookup(prints, known, ["fp"], "rows", docs.count(), "doc_id")
+    return lookup(prints, known, ["fp"], "rows", total, "doc_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +201,7 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is_least = F.col("doc_id") == F.col("component_id")
     found = _components(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(is_least).alias("least"))
-    kept = ids.where("least").select(F.col("doc_id").alias("_kept"), "rows").checkpoint()
+    kept = saved(ids.where("least").select(F.col("doc_id").alias("_kept"), "rows"), docs.count())
     once, again = kept.where("rows = 1"), kept.where("rows > 1")
     there = docs.join(once, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if again.isEmpty():
