@@ -232,6 +232,48 @@ def test_decontamination(spark, docs, rows, nothing, block, monkeypatch):
     assert all(a.end < b.begin for r in spans for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("items", [[], [(1, "no word of these occurs anywhere here at all")]])
+def test_decontamination_holds_little(items):
+    windows = decontamination.Windows([(str(i), t) for i, t in items], 10)
+    read = []
+
+    def batches():
+        for _ in range(60):
+            read.append(1)
+            text = " ".join(f"w{k}" for k in range(50_000))
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["row", "text"])
+
+    out = decontamination._search(windows, decontamination._rows_found)(batches())
+    next(out)
+    assert len(read) == 1
+    assert sum(x.num_rows for x in out) == 59
+
+
+def test_decontamination_shards_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 1 << 40)
+    words = " ".join(f"v{k}" for k in range(12))
+    windows = decontamination.Windows([("1", words)], 10)
+    read = []
+
+    def batches():
+        for _ in range(80):
+            read.append(1)
+            yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x " * 200_000 + words])], ["row", "text"])
+
+    out = decontamination._search(windows, decontamination._rows_found)(batches())
+    assert next(out).column("spans").to_pylist() == [[{"begin": 200_000, "end": 200_012}]] and 1 < len(read) < 45
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontamination, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    windows = decontamination.Windows([("1", "a bb ccc")], 10)
+    data = np.frombuffer(b"a bb ccc x bb ccc a bc ccc", np.uint8)
+    starts, ends, _ = decontamination.find_words(data, np.array([0, len(data)]), decontamination.IS_BREAK)
+    assert windows.numbers(data, starts, ends).tolist() == [1, 2, 3, 0, 2, 3, 1, 0, 3]
+    with pytest.raises(ValueError):
+        decontamination.Windows([("1", "a b")], 10)
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     for n, s in ((1, 1), (5, 2), (200, 3), (2000, 40), (900, 1)):
@@ -273,6 +315,36 @@ def test_line_dedup_of_pages(spark):
     assert got[20].text == "Home" and got[20].host is None and got[21].text == ""
 
 
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 11])
+def test_line_dedup_of_small_hosts(spark, n):
+    rows = [(k, f"http://h{n}.example/{k}", f"<p>all</p><p>own {k}</p>" + "<p>pair</p>" * (k < 2) + "<p>one</p>" * (k == 0)) for k in range(n)]
+    got = {r.page_id: r.text.split("\n") for r in dedup_page_lines(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(n):
+        on = {"all": n, f"own {k}": 1, **({"pair": min(n, 2)} if k < 2 else {}), **({"one": 1} if k == 0 else {})}
+        assert got[k] == [line for line, m in on.items() if not (m >= 2 and m / n > 0.1)]
+
+
+def brute_pages(rows, ratio=0.1):
+    lines = [[x for x in re.split(r"</?p>", h or "") if x] for _, _, h in rows]
+    hosts = [re.match(r"http://([^/]+)/", u or "") for _, u, _ in rows]
+    hosts = [h and h.group(1) for h in hosts]
+    total, seen = Counter(hosts), Counter((h, x) for h, ls in zip(hosts, lines, strict=True) for x in set(ls))
+    out = Counter()
+    for (i, _, _), h, ls in zip(rows, hosts, lines, strict=True):
+        kept = [x for x in ls if h is None or seen[h, x] < 2 or seen[h, x] / total[h] <= ratio]
+        out[(i, h, len(ls), len(ls) - len(kept), "\n".join(kept))] += 1
+    return out
+
+
+def test_line_dedup_of_pages_of_all_kinds(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, f"http://h{rng.integers(0, 6)}.example/x", "".join(f"<p>line {int(x)}</p>" for x in rng.geometric(0.08, 8))) for k in range(150)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "<p>line 1</p>"), (900, None, "<p>line 1</p>"), (901, "http://h1.example/", None), (902, "http://h1.example/", ""), (903, "http://h2.example/", "".join(f"<p>long {k}</p>" for k in range(20000)))]
+    pages = spark.createDataFrame([(*r, 1, "m", 2, "k") for r in rows], "page_id bigint, url string, html string, host int, marks string, n int, lines string")
+    assert collected(dedup_page_lines(pages.repartition(7))) == brute_pages(rows)
+    assert dedup_page_lines(pages.limit(0)).count() == 0
+
+
 # sharding
 
 
