@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, table
+from textmill.llm.common import compact, prepare, table
 from textmill.llm.decontamination import decontaminated
 from textmill.llm.line_dedup import dedup_document_lines
 from textmill.llm.packing import pack
@@ -21,7 +21,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field rejects go."""
-    return accepted(docs, table(spark, sf_dir, "labels"))
+    return compact(accepted(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
-    return near_deduplicated(docs)
+    return compact(near_deduplicated(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
