@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 from pathlib import Path
 
@@ -8,6 +9,20 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 DATA = Path("/root/testdata")
+#: Seconds that one test may take.
+LIMIT_S = 400
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    def over(*_):
+        raise TimeoutError(f"the test took more than {LIMIT_S} s")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.alarm(LIMIT_S)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
 
 
 @pytest.fixture(scope="session")

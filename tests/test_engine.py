@@ -2,12 +2,14 @@
 
 import json
 import os
+import threading
 import time
 import urllib.request
 import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from textmill import cli, server
 from textmill.engine import Engine
@@ -17,7 +19,7 @@ from textmill.plans.syntax import parse
 from textmill.sources.extract import docx_text, extract, html_text, sniff
 from textmill.sources.ignore import Levels, parse_rules
 from textmill.sources.scan import ScanError, listing, scan
-from textmill.sources.store import Locked, Store, WriterLock
+from textmill.sources.store import Conflict, Locked, Manifest, Store, WriterLock
 
 SCHEMA = "path string, title string, body string, ext string, size bigint, mtime bigint"
 
@@ -159,6 +161,50 @@ def test_lock(tmp_path):
     assert not file.exists()
 
 
+def test_a_held_lock_does_not_go_stale(tmp_path, monkeypatch):
+    from textmill.sources import store as module
+
+    monkeypatch.setattr(module, "STALE_S", 0.6)
+    monkeypatch.setattr(module, "HEARTBEAT_S", 0.1)
+    file = tmp_path / "lock"
+    with WriterLock(file) as mine:
+        time.sleep(1.5)  # a commit that takes longer than a lock stays fresh by itself
+        with pytest.raises(Locked), WriterLock(file):
+            pass
+        assert mine.held()
+    assert not file.exists()
+
+
+def test_a_writer_that_lost_its_lock_commits_nothing(spark, tmp_path):
+    one, two = Store(spark, tmp_path / "i"), Store(spark, tmp_path / "i")
+    one.commit(spark.createDataFrame(rows(("a", "alpha")), SCHEMA))
+    with one.lock() as lock:
+        one._write_segment(spark.createDataFrame(rows(("b", "beta")), SCHEMA).withColumn("sha256", F.lit("")))
+        lock.file.write_text("of another")
+        with pytest.raises(Conflict):
+            one._commit(Manifest())
+    lock.file.unlink()
+    one.refresh(), two.refresh()
+    two.commit(spark.createDataFrame(rows(("c", "gamma")), SCHEMA))
+    with pytest.raises(Conflict):  # without a lock: the generation has moved on
+        one._commit(Manifest())
+    assert Store(spark, tmp_path / "i").manifest.generation == 2
+
+
+def test_the_next_writer_removes_what_a_failed_commit_left(spark, tmp_path):
+    store = Store(spark, tmp_path / "i")
+    store.commit(spark.createDataFrame(rows(("a", "alpha")), SCHEMA))
+    (store.folder / "seg-00000002-dead").mkdir()
+    (store.folder / "manifest.2.tmp").write_text("{")
+    store.commit(spark.createDataFrame(rows(("b", "beta")), SCHEMA))
+    assert not store.orphans() and store.stats()["docs"] == 2
+
+
+def test_repeated_paths_need_an_order(spark, tmp_path):
+    with pytest.raises(ValueError, match="seq"):
+        Store(spark, tmp_path / "i").commit(spark.createDataFrame(rows(("a", "x"), ("a", "y")), SCHEMA))
+
+
 def test_snippets():
     text = "x " * 200 + "needle and hay " + "y " * 200 + "needle"
     s = build(text, Matcher.of(parse("needle")), 60)
@@ -206,7 +252,6 @@ def test_results_and_http(engine):
     assert found["total"] == 2 and found["hits"][0]["explain"]["terms"] and not found["truncated"]
     assert server.answer(engine, "/api/search?q=release&n=5")[1]["hits"][0]["path"] == "normal.md"
     assert [server.answer(engine, t)[0] for t in ("/healthz", "/api/search", "/api/search?q=a&n=0", "/api/search?q=(", "/api/doc?path=normal.md", "/api/doc?path=no", "/api/why-not?q=a&path=b", "/x", "/api/stats")] == [200, 400, 400, 400, 200, 404, 200, 404, 200]
-    import threading
     from http.server import ThreadingHTTPServer
 
     with ThreadingHTTPServer(("127.0.0.1", 0), server.handler(engine)) as s:
@@ -237,12 +282,40 @@ def test_command_line(spark, tmp_path):
     assert json.loads(next(x for x in out if x.startswith("{")))["hits"][0]["path"] == "a.md" and cli.main(["help"], spark, out.append) == 0
 
 
+def wait_for(what, seconds=60):
+    until = time.time() + seconds
+    while not what() and time.time() < until:
+        time.sleep(0.1)
+    return what()
+
+
 def test_watch(spark, tmp_path):
     (tmp_path / "a.md").write_text("hello")
     engine, seen = Engine(spark, tmp_path / ".searchindex"), []
     running = engine.watch([tmp_path], 0.2, on_commit=seen.append)
-    until = time.time() + 60
-    while not seen and time.time() < until:
-        time.sleep(0.2)
+    assert wait_for(lambda: seen)
+    running.stop()
+    assert seen[0] == {"add": 1} and [r.path for r in engine.search("hello").collect()] == ["a.md"]
+    assert not running.query.isActive and not list(engine.store.folder.glob("watch-*"))
+
+
+def test_a_batch_that_begins_while_watch_stops(spark, tmp_path):
+    engine = Engine(spark, tmp_path / ".searchindex")
+    running = engine.watch([tmp_path], 0.05)
+    running.busy.acquire()  # the next batch waits here, as it would in a long one
+    threading.Timer(1.0, running.busy.release).start()
+    began = time.time()
+    running.stop()
+    assert time.time() - began < 50 and not running.query.isActive
+
+
+def test_watch_goes_on_after_a_failed_scan(spark, tmp_path):
+    folder, seen = tmp_path / "files", []
+    engine = Engine(spark, tmp_path / ".searchindex")
+    running = engine.watch([folder], 0.2, on_commit=seen.append)
+    assert wait_for(lambda: running.failures)
+    folder.mkdir()
+    (folder / "a.md").write_text("late")
+    assert wait_for(lambda: seen)
     running.stop()
-    assert seen and seen[0] == {"add": 1} and [r.path for r in engine.search("hello").collect()] == ["a.md"]
+    assert seen[0] == {"add": 1}

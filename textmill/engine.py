@@ -38,10 +38,14 @@ class Engine:
         if isinstance(what, DataFrame):
             with self.store.lock():
                 self.store.commit(what)
+                self.store.maybe_merge()
             return {"generation": self.store.manifest.generation}
         found = scan(self.spark, what, self.base, self.max_size)
-        counts = apply_changes(self.store, found)
-        return counts | {f"skipped_{r['skip']}": r["files"] for r in found.skip_counts().collect()}
+        try:
+            counts = apply_changes(self.store, found)
+            return counts | {f"skipped_{r['skip']}": r["files"] for r in found.skip_counts().collect()}
+        finally:
+            found.release()
 
     def delete(self, paths: DataFrame) -> None:
         with self.store.lock():

@@ -36,6 +36,12 @@ class Scan:
     docs: DataFrame
     skipped: DataFrame
     roots: list[str] = field(default_factory=list)
+    contents: DataFrame | None = None
+
+    def release(self) -> None:
+        """Forget the contents that the executors keep for the two results; read again, they are made again."""
+        if self.contents is not None:
+            self.contents.unpersist()
 
     def skip_counts(self) -> DataFrame:
         return self.skipped.groupBy("skip").agg(F.count(F.lit(1)).alias("files"))
@@ -151,4 +157,4 @@ def scan(spark: SparkSession, roots: list[str | Path], base: str | Path, max_siz
     contents = wanted.repartition(n, "path").mapInArrow(_read, "path string, ext string, size bigint, mtime bigint, sha256 string, text string, skip string").persist()
     docs = extract(contents.where(F.col("skip").isNull()).drop("skip")).select("path", "title", "body", "ext", "size", "mtime", "sha256")
     skipped = files.where(F.col("skip").isNotNull()).select("path", "skip").unionByName(contents.where(F.col("skip").isNotNull()).select("path", "skip"))
-    return Scan(docs, skipped, read)
+    return Scan(docs, skipped, read, contents)

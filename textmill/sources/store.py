@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import shutil
 import socket
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -42,33 +44,67 @@ class Manifest:
     deletes: list[str] = field(default_factory=list)
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed, or taken the lock, since this one read the manifest."""
+
+
 class WriterLock:
-    """One writer at a time: a file made exclusively, kept fresh by its holder, taken over when stale."""
+    """One writer at a time: a file made exclusively, kept fresh by a thread of its holder, taken over when stale."""
 
     def __init__(self, file: Path):
         self.file, self.token = file, f"{socket.gethostname()}:{os.getpid()}:{uuid.uuid4().hex}"
+        self._ended = threading.Event()
 
     def __enter__(self):
         for _ in range(2):
             try:
                 with open(self.file, "x") as f:
                     f.write(self.token)
-                return self
             except FileExistsError:
-                try:
-                    if time.time() - self.file.stat().st_mtime <= STALE_S:
-                        break
-                    self.file.unlink(missing_ok=True)
-                except FileNotFoundError:
-                    continue
+                if not self._take_away():
+                    break
+                continue
+            self._ended.clear()
+            threading.Thread(target=self._keep_fresh, args=(self._ended,), daemon=True).start()
+            return self
         raise Locked(f"another writer holds {self.file}")
 
+    def _take_away(self) -> bool:
+        """Remove the lock if it is stale; it is renamed first, so of several takers one gets it."""
+        aside = self.file.with_name(f"{self.file.name}.{uuid.uuid4().hex}")
+        try:
+            token = self.file.read_text()
+            if time.time() - self.file.stat().st_mtime <= STALE_S:
+                return False
+            os.rename(self.file, aside)
+        except FileNotFoundError:
+            return True
+        taken = aside.read_text()
+        if taken != token:  # not the stale one: another taker's, made meanwhile
+            try:
+                os.link(aside, self.file)
+            except FileExistsError:
+                pass
+        aside.unlink()
+        return taken == token
+
+    def _keep_fresh(self, ended: threading.Event) -> None:
+        while not ended.wait(HEARTBEAT_S) and self.held():
+            self.beat()
+
+    def held(self) -> bool:
+        try:
+            return self.file.read_text() == self.token
+        except FileNotFoundError:
+            return False
+
     def beat(self) -> None:
-        if self.file.exists() and self.file.read_text() == self.token:
+        if self.held():
             os.utime(self.file)
 
     def __exit__(self, *_):
-        if self.file.exists() and self.file.read_text() == self.token:
+        self._ended.set()
+        if self.held():
             self.file.unlink(missing_ok=True)
 
 
@@ -76,7 +112,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str | Path):
         self.spark, self.folder = spark, Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
-        self.manifest = self._load()
+        self.manifest, self._lock = self._load(), None
 
     def _load(self) -> Manifest:
         file = self.folder / "manifest.json"
@@ -87,7 +123,8 @@ class Store:
         return self
 
     def lock(self) -> WriterLock:
-        return WriterLock(self.folder / "write.lock")
+        self._lock = WriterLock(self.folder / "write.lock")
+        return self._lock
 
     def _read(self, names: list[str], part: str, schema: str) -> DataFrame:
         paths = [f"file://{(self.folder / n / part).absolute()}" for n in names]
@@ -146,21 +183,47 @@ class Store:
             json.dump(new.__dict__, f)
             f.flush()
             os.fsync(f.fileno())
+        if self._lock is not None and not self._lock._ended.is_set() and not self._lock.held():
+            raise Conflict(f"another writer took over {self._lock.file}")
+        if self._load().generation != self.manifest.generation:
+            raise Conflict(f"generation {self.manifest.generation} is not the newest any more")
         os.replace(temp, self.folder / "manifest.json")
         self.manifest = new
 
+    def recover(self) -> list[str]:
+        """Remove what commits that never came to their rename have left: parts of generations beyond the manifest's.
+
+        For the one writer. Segments that a merge replaced stay, as readers may
+        have them open; :meth:`vacuum` removes these.
+        """
+        gone = []
+        for name in self.refresh().orphans():
+            at = re.match(r"(?:seg-|del-|manifest\.)(\d+)", name)
+            if at and int(at[1]) > self.manifest.generation:
+                p = self.folder / name
+                shutil.rmtree(p) if p.is_dir() else p.unlink()
+                gone.append(name)
+        return gone
+
+    @staticmethod
+    def _last(docs: DataFrame) -> DataFrame:
+        """One row a path: the last by ``seq``. Repeated paths without it are refused, as which row is the last would be chance."""
+        again = docs.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if again.isEmpty():
+            return docs.drop("seq")
+        if "seq" not in docs.columns:
+            raise ValueError("paths repeat; a column seq must say which row of a path is the last")
+        order = Window.partitionBy("path").orderBy(F.col("seq").desc())
+        return docs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "seq")
+
     def commit(self, docs: DataFrame | None = None, deletes: DataFrame | None = None) -> int:
-        """Add or replace ``docs`` (the last of rows with one path counts, by ``seq`` if there is one) and delete paths, in one generation."""
-        self.refresh()
+        """Add or replace ``docs`` (of rows with one path the last by ``seq`` counts) and delete paths, in one generation."""
+        self.recover()
         segments, dead = list(self.manifest.segments), list(self.manifest.deletes)
         gone = deletes.select("path") if deletes is not None else None
         if docs is not None:
             docs = docs.where(F.col("path") != "")
-            if "seq" in docs.columns:
-                order = Window.partitionBy("path").orderBy(F.col("seq").desc())
-                docs = docs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "seq")
-            else:
-                docs = docs.dropDuplicates(["path"])
+            docs = self._last(docs)
             if "sha256" not in docs.columns:
                 docs = docs.withColumn("sha256", F.sha2(F.coalesce("body", F.lit("")), 256))
             gone = docs.select("path") if gone is None else gone.union(docs.select("path"))
@@ -191,7 +254,7 @@ class Store:
 
     def compact(self) -> int:
         """All segments to one, without deleted documents; the statistics are then those of live documents."""
-        self.refresh()
+        self.recover()
         if self.manifest.segments:
             self._merge(list(self.manifest.segments))
         return self.manifest.generation
@@ -211,7 +274,7 @@ class Store:
         return [n for _, n in sizes[:FAN_IN]] if len(sizes) >= FAN_IN else []
 
     def maybe_merge(self) -> bool:
-        self.refresh()
+        self.recover()
         names = self.merge_candidates()
         if names:
             self._merge(names)
