@@ -112,35 +112,78 @@ def test_held_out_accuracy(spark, name, column, bound, recall, false):
     assert np.mean(one) >= recall and np.mean(zero) <= false
 
 
-def test_toxicity_counts_all_words_of_the_corpus(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "PRUNE", 0.0)
-    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
-    few = [(i, f"w{i} {'vile' if i % 2 else 'kind'} x{i % 7}") for i in ids]
-    many = few + [(1000 + i, f"new{i} other{i % 50} words words") for i in range(300)]
-    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
-    odds, mass = [], []
-    for texts in (few, many):
-        models = toxicity.fit(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), labels)
-        vile = toxicity.words_of(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))[0]
-        odds.append(np.exp(models.words[toxicity.find(models.vocabulary, vile)[0][0]]) - 1)
-        seen = Counter(w for _, t in texts for w in set(t.split()))
-        mass.append(sum(seen.values()) + len(seen) + 1)
-    assert np.isclose(odds[1] / odds[0], mass[1] / mass[0]) and mass[1] > 2 * mass[0]
-
-
-def test_toxicity_of_a_pruned_bigram_is_its_words(monkeypatch):
-    toxic = [f"a{i} vile" for i in range(40)] + [f"b{i} the vile" for i in range(10)]
-    ordinary = [f"a{i} kind" for i in range(40)] + [f"b{i} the vile" for i in range(10)]
-    parts = [toxicity.words_of(*text_bytes(pa.array(x))) for x in (toxic, ordinary)]
-    vocabulary = np.unique(np.concatenate([x[0] for x in parts]))
-    models = toxicity.Models(vocabulary, *(toxicity.Counts(vocabulary, *x) for x in parts), np.full(len(vocabulary), 0.005), 50)
-    vile = toxicity.words_of(*text_bytes(pa.array(["vile"])))[0]
-    word = models.words[toxicity.find(vocabulary, vile)[0][0]]
-    assert word >= toxicity.PRUNE and np.isclose(models.difference(*text_bytes(pa.array(["unknown the vile"])))[0], word / 3)
-    monkeypatch.setattr(toxicity, "PRUNE", 0.0)
-    unpruned = toxicity.Models(vocabulary, *(toxicity.Counts(vocabulary, *x) for x in parts), np.full(len(vocabulary), 0.005), 50)
-    h, before, _ = toxicity.words_of(*text_bytes(pa.array(["the vile"])))
-    assert unpruned.pairs.tolist() == toxicity.pair(before, h)[1:].tolist()
+class BruteKneserNey:
+    """One class's model in plain Python: modified Kneser-Ney of documents as contexts, over a shared distribution."""
+
+    def __init__(self, texts, shared):
+        self.shared = shared
+        docs = [t.split() for t in dict.fromkeys(texts)]
+        self.words = Counter(w for d in docs for w in set(d))
+        self.pairs = Counter(p for d in docs for p in set(zip(["<>", *d], d)))
+        self.word_loss, self.pair_loss = self.losses(self.words), self.losses(self.pairs)
+
+    @staticmethod
+    def losses(counts):
+        n = Counter(counts.values())
+        out = {k: 0.75 * k for k in (1, 2, 3)}
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            for k in (1, 2, 3):
+                d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0
+                if 0 < d < k:
+                    out[k] = d
+        return out
+
+    def word(self, w):
+        total = sum(self.words.values())
+        left = sum(self.word_loss[min(c, 3)] for c in self.words.values()) / total
+        c = self.words[w]
+        return (c - self.word_loss[min(c, 3)] if c else 0) / total + left * self.shared(w)
+
+    def pair(self, v, w):
+        of = {p: c for p, c in self.pairs.items() if p[0] == v}
+        if not of:
+            return self.word(w)
+        total, c = sum(of.values()), self.pairs[v, w]
+        left = sum(self.pair_loss[min(x, 3)] for x in of.values()) / total
+        return (c - self.pair_loss[min(c, 3)] if c else 0) / total + left * self.word(w)
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n, extra=(): " ".join([*(f"w{int(x)}" for x in rng.zipf(1.6, n) % 60), *extra])
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, text(rng.integers(2, 30), ["vile", f"w{i % 9}", "scum"][: i % 4] if i % 2 else ())) for i in learn]
+    rows[10], rows[14] = (rows[10][0], rows[12][1]), (rows[14][0], rows[12][1])  # copies count once
+    rows += [(1000 + i, f"new{i} other{i % 50} w1 w1") for i in range(200)] + [(None, "w2 lone"), (2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in learn], "doc_id bigint, toxic int")
+    models = toxicity.fit(docs, labels)
+    seen = Counter(w for _, t in rows for w in set((t or "").split()))
+    mass = sum(seen.values()) + len(seen) + 1
+    sample = toxicity.training_sample(docs, labels, "toxic", F.lit(True), toxicity.PER_CLASS).to_pydict()
+    number, counted = Counter(), {0: [], 1: []}
+    for t, k in zip(sample["text"], sample["label"], strict=True):
+        if number[k] % 3 < 2:
+            counted[k].append(t)
+        number[k] += 1
+    toxic, ordinary = (BruteKneserNey(counted[k], lambda w: (seen[w] + 1) / mass) for k in (1, 0))
+    for words in ["vile scum w1 w2", "w1 w1 w3 unheard w5 vile", "scum", "other3 new4 w1"]:
+        d = words.split()
+        alone, after, first = models.differences(*text_bytes(pa.array([words])))
+        assert first.tolist() == [0, len(d)]
+        # words that neither class has: only the classes' backoffs differ, whatever the word
+        assert np.allclose(alone, [np.log(toxic.word(w) / ordinary.word(w)) for w in d], atol=1e-9, rtol=0)
+        assert np.allclose(after, [np.log(toxic.pair(v, w) / ordinary.pair(v, w)) for v, w in zip(["<>", *d], d, strict=False)], atol=1e-9, rtol=0)
+    for model in (toxic, ordinary):  # probabilities: all words of the corpus, and one share of 1 / mass for the unheard
+        assert np.isclose(sum(model.word(w) for w in seen) + model.word("unheard"), 1)
+
+
+def test_margin_and_length():
+    each, first = np.array([3.0, -1, 0.5, 2, 2]), np.array([0, 3, 3, 5])
+    assert np.allclose(toxicity.Models.beyond(each, first, 1.0), [2 / np.sqrt(3), 0, 2 / np.sqrt(2)])
+    assert toxicity.discounts(np.repeat([1, 2, 3, 4], [8, 4, 2, 1])).tolist() == [1 - 2 * 0.5 * 4 / 8, 2 - 3 * 0.5 * 2 / 4, 3 - 4 * 0.5 * 1 / 2]
+    assert toxicity.discounts(np.ones(5)).tolist() == [0.75, 1.5, 2.25]
 
 
 # conversations
