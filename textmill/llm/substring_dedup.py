@@ -1,20 +1,30 @@
 """Substring deduplication by recompression (operator 3).
 
-Documents are dealt to chunks once; the passes below read that one shuffle.
-
-1. Each chunk recompresses its documents (:mod:`.recompression`) and sends the
-   names of all symbols whose context fits a window, once a chunk.
-2. Names that meet from two chunks are shared; a bit for each name goes back.
-3. A window in which some symbol is whole, context included, but not shared
-   cannot recur in another document. The others are candidates; each chunk
-   sends a candidate's hash with the smallest doc_id that it has there.
-4. The smallest doc_id of all chunks decides; a bit for each hash goes back.
-5. Chunks remove the words that decided windows cover.
-
-What a name or hash costs is one entry a chunk, so a passage that a third of
-all documents share is no hot group. Names only ever add candidates when they
-collide. Windows are equal when their 64-bit hashes and the bucket, taken from
-a second hash, are.
+Documents are dealt to chunks once, by their bytes; all passes read that one
+shuffle. Names are agreed on in Spark rounds. In a round each chunk asks for the
+keys that it has, each once; a bucket of keys finds those that two documents
+have and numbers them; these numbers, the same for all chunks, are the names,
+and come back. A key of one document gets none.
+
+1. The first round names words, by their bytes.
+2. Further rounds (:mod:`.recompression`) name runs and pairs of symbols. A
+   window cannot recur where the whole context of some nameless symbol lies in
+   it, since that symbol would recur too; such windows are given up, and what no
+   remaining window needs is not asked for. There are as many rounds as new
+   symbols' contexts fit a window.
+3. What is left shares all its high-level symbols with another document and
+   has to be verified. Each window goes to the bucket of one of its symbols,
+   the least by a hash of those of the highest level; as a symbol is the same
+   wherever its context recurs, equal windows meet. Neighbouring windows go
+   together, as the names of their words, equal stretches of a chunk once, with
+   the least doc_id.
+4. A bucket finds equal windows by hash and compares all their words. Which
+   windows an earlier document has goes back, a bit for each.
+5. Chunks remove the words that such windows cover.
+
+What is sent for a key is one entry a chunk, so a passage that a third of all
+documents share is no hot group. Rows of a chunk and bucket are never more than
+the chunk's keys, so all that is sent grows with the text.
 """
 
 from __future__ import annotations
@@ -25,48 +35,185 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, prepare
-from .recompression import recompress
+from .common import prepare
+from .recompression import Parse, one_round
 from .words import IS_SPACE, U, find_words, joined, mix, text_bytes, word_hashes
 
 WINDOW = 13
-#: Rounds of recompression: after two, most windows have whole symbols of two to four words.
-ROUNDS = 2
-#: Documents of a chunk, and of a bucket of names.
-CHUNK_DOCS, BUCKET_DOCS = 1500, 8000
-#: Bytes of a name that are sent; with the bucket they tell symbols apart well enough to find candidates.
-NAME_BYTES = 6
+#: Bytes of text in a chunk, and for each bucket of keys; chunks and buckets at least.
+CHUNK_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 32
+#: Bytes of a key of a run or pair, of which equal ones in a bucket count as the same: that can only leave windows to verify. Bytes of a name.
+KEY_BYTES, NAME_BYTES = 6, 6
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
-ASKED = "bucket int, chunk int, names binary, docs binary, ids binary"
-TOLD = "chunk int, bucket int, bits binary"
+ASKED = "bucket int, chunk int, level int, keys binary, several binary"
+NAMED = "chunk int, bucket int, level int, answer binary"
+SOUGHT = "bucket int, chunk int, words binary, sizes binary, docs binary"
+
+
+def rounds_for(width: int) -> int:
+    """Rounds after which new symbols, of some 1.3 words more a round and as much context at either side, still fit a window."""
+    return max(1, width.bit_length() - 2)
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(raw: list[bytes], width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :width] = flat
+    return out.view("<u8")[:, 0]
+
+
+class Dealt:
+    """Which bucket each of a chunk's entries goes to; entries keep their order in it."""
+
+    def __init__(self, bucket: np.ndarray, n_buckets: int):
+        self.order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[self.order], np.arange(n_buckets + 1))
+        self.parts = [(b, self.order[i:j]) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
+
+    def answers(self, told: pa.Table, level: int) -> list[bytes]:
+        """What the buckets of ``level`` answered, in the order of ``parts``."""
+        mine = told.filter(pc.equal(told["level"], level)).sort_by("bucket")
+        if mine["bucket"].to_pylist() != [b for b, _ in self.parts]:
+            raise ValueError("a bucket has not answered")
+        return mine["answer"].to_pylist()
 
 
 class Chunk:
-    """The documents of a chunk in the order of doc_id, then text, with their words' hashes."""
+    """The documents of a chunk in the order of doc_id, then text, and their parse as far as names are known."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, width: int, n_buckets: int):
         rows = rows.select(["doc_id", "text"]).set_column(0, "doc_id", pc.fill_null(rows["doc_id"], LAST)).set_column(1, "text", pc.fill_null(rows["text"], ""))
-        self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.ids = self.rows["doc_id"].to_numpy()
-        self.data, at = text_bytes(self.rows["text"])
-        self.starts, self.ends, self.first = find_words(self.data, at, IS_SPACE)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        self.width, self.n_buckets, self.ids = width, n_buckets, rows["doc_id"].to_numpy()
+        data, at = text_bytes(rows["text"])
+        starts, ends, self.first = find_words(data, at, IS_SPACE)
+        # the words with one space after each, and as entries of the chunk's dictionary
+        self.text, self.starts, self.ends = joined(data, starts, ends)
+        self.n = len(starts)
+        offsets = pa.py_buffer(np.append(self.starts, len(self.text)).astype(np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), self.n, [None, offsets, pa.py_buffer(self.text)]).dictionary_encode()
+        self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
-    def symbols(self, width: int):
-        """Names, first and last word after the context, and documents of the symbols whose context fits a window."""
-        p = recompress(self.hashes, self.doc, ROUNDS)
-        fits = (p.high - p.low <= width) & (p.low >= self.first[p.doc]) & (p.high <= self.first[p.doc + 1])
-        return p.names[fits], p.low[fits], p.high[fits], p.doc[fits]
-
-    def whole_windows(self, width: int) -> np.ndarray:
-        """For each word, whether a window begins there."""
-        out = np.zeros(len(self.doc), bool)
-        if len(out) >= width:
-            out[: len(out) - width + 1] = self.doc[: len(out) - width + 1] == self.doc[width - 1 :]
-        return out
+    def several(self, entry: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Of n entries, which occur in two documents."""
+        least, most = np.full(n, len(self.ids)), np.full(n, -1)
+        np.minimum.at(least, entry, doc)
+        np.maximum.at(most, entry, doc)
+        return least < most
+
+    def ask_words(self) -> tuple[Dealt, list[bytes], np.ndarray]:
+        data, at = text_bytes(self.words.cast(pa.large_binary()))
+        dealt = Dealt((word_hashes(data, at[:-1], at[1:] - 1) % U(self.n_buckets)).astype(np.int64), self.n_buckets)
+        return dealt, [b"".join(self.words.take(pa.array(o)).to_pylist()) for _, o in dealt.parts], self.several(self.code, self.doc, len(self.words))
+
+    def ask_symbols(self, p: Parse, asked: np.ndarray) -> tuple[Dealt, list[bytes], np.ndarray, np.ndarray]:
+        """What to ask for the new symbols, and where in it each of them is."""
+        keys, entry = np.unique(p.names[asked], return_inverse=True)
+        dealt = Dealt(((keys >> U(48)) % U(self.n_buckets)).astype(np.int64), self.n_buckets)
+        return dealt, [_packed(keys[o], KEY_BYTES) for _, o in dealt.parts], self.several(entry, p.doc[asked], len(keys)), entry
+
+    def parse(self, told: pa.Table | None, known: int, rounds: int):
+        """Replay the rounds whose names are ``told``, levels up to ``known``; ends with what to ask next, if there is a next round."""
+        dealt, keys, several = self.ask_words()
+        if known < 0:
+            return dealt, keys, several
+        names = np.zeros(len(self.words), U)
+        names[dealt.order] = _unpacked(dealt.answers(told, 0), NAME_BYTES)
+        self.names = names[self.code]
+        self.alive = np.zeros(self.n, bool)
+        if self.n >= self.width:
+            self.alive[: self.n - self.width + 1] = self.doc[: self.n - self.width + 1] == self.doc[self.width - 1 :]
+        nameless = np.flatnonzero(self.names == 0)
+        self._give_up(nameless, nameless + 1)
+        p = self._needed(Parse.of_words(self.names, self.doc))
+        self.levels = [p]
+        for level in range(1, rounds + 1):
+            p = one_round(p, level)
+            asked = p.fresh & self._fits(p)
+            dealt, keys, several, entry = self.ask_symbols(p, asked)
+            if level > known:
+                return dealt, keys, several
+            names = np.zeros(len(several), U)
+            names[dealt.order] = _unpacked(dealt.answers(told, level), NAME_BYTES)
+            found = names[entry]
+            p.names[p.fresh] = 0
+            p.names[asked] = found
+            nameless = np.flatnonzero(asked)[found == 0]
+            self._give_up(p.low[nameless], p.high[nameless])
+            p = self._needed(p)
+            self.levels.append(p)
+        return None
+
+    def _give_up(self, low: np.ndarray, high: np.ndarray) -> None:
+        """The windows that some [low, high) lies in."""
+        fit = high - low <= self.width
+        self.alive &= ~_covered(np.maximum(high[fit] - self.width, 0), low[fit] + 1, self.n)
+
+    def _fits(self, p: Parse) -> np.ndarray:
+        """Which symbols' contexts lie in a window that is left."""
+        inside = (p.low >= self.first[p.doc]) & (p.high <= self.first[p.doc + 1]) & (p.high - p.low <= self.width)
+        before = np.concatenate([[0], np.cumsum(self.alive)])
+        return inside & (before[np.clip(p.low + 1, 0, self.n)] > before[np.clip(p.high - self.width, 0, self.n)])
+
+    def _needed(self, p: Parse) -> Parse:
+        """The symbols that reach into a window that is left."""
+        start = np.flatnonzero(self.alive)
+        before = np.concatenate([[0], np.cumsum(_covered(start, start + self.width, self.n))])
+        return p.take(before[p.end] > before[p.begin])
+
+    def sought(self):
+        """The windows that are left, as stretches: bucket, first window and number of windows of each."""
+        anchor = np.zeros(self.n, U)
+        for p in reversed(self.levels):
+            use = np.flatnonzero(self._fits(p) & (p.names != 0))
+            low, high, order = p.low[use], p.high[use], mix(p.names[use]) | U(1)
+            best = np.zeros(self.n, U)
+            for k in range(self.width):
+                at = low - k
+                ok = (at >= 0) & (at >= high - self.width)
+                np.maximum.at(best, at[ok], order[ok])
+            anchor = np.where(anchor == 0, best, anchor)
+        start = np.flatnonzero(self.alive)
+        first = np.ones(len(start), bool)
+        first[1:] = (start[1:] != start[:-1] + 1) | (anchor[start[1:]] != anchor[start[:-1]]) | (self.doc[start[1:]] != self.doc[start[:-1]])
+        begin = np.flatnonzero(first)
+        return (anchor[start[begin]] % U(self.n_buckets)).astype(np.int64), start[begin], np.diff(np.append(begin, len(start)))
+
+    def stretches(self):
+        """The different stretches: where they are dealt, first window and windows of each, least document; and of all stretches the windows, and which one each is like."""
+        bucket, start, size = self.sought()
+        words = size + self.width - 1
+        spelt = _spans(start, words)
+        at = np.cumsum(words) - words
+        h = np.zeros(len(start), U)
+        if len(start):
+            place = spelt - np.repeat(start, words)
+            h = np.add.reduceat(mix(self.names[spelt] * U(0x9FB21C651E98DF25) + place.astype(U)), at) + words.astype(U)
+        _, one, like = np.unique(h, return_index=True, return_inverse=True)
+        # a stretch is like another if all its words are
+        same = words == words[one][like]
+        check = np.flatnonzero(same)
+        a, b = _spans(start[check], words[check]), _spans(start[one][like[check]], words[check])
+        if len(a):
+            same[check] = np.logical_and.reduceat(self.names[a] == self.names[b], np.cumsum(words[check]) - words[check])
+        odd = np.flatnonzero(~same)
+        like[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, odd])
+        least = np.full(len(one), len(self.ids))
+        np.minimum.at(least, like, self.doc[start])
+        return Dealt(bucket[one], self.n_buckets), start[one], size[one], least, start, size, like
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the spans in turn."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -75,143 +222,134 @@ def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _windows(hashes: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
-    h = np.full(len(at), seed, U)
-    for k in range(width):
-        h = (h ^ hashes[at + k]) * U(0x9FB21C651E98DF25)
-        h ^= h >> U(29)
-    return mix(h)
+_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
 
 
-def _deal(chunk: int, bucket: np.ndarray, n_buckets: int, names: np.ndarray, docs: np.ndarray | None, ids: np.ndarray) -> pa.Table:
-    """A row for each bucket that has names; ``names`` keep their order in it."""
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-    raw = [(names[o] if docs is not None else names[o].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes() for _, o in rows]
-    sent = [b"" if docs is None else docs[o].astype(np.int32).tobytes() for _, o in rows]
-    known = [b"" if docs is None else ids.tobytes()] * len(rows)
-    return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array(raw, pa.binary()), pa.array(sent, pa.binary()), pa.array(known, pa.binary())], ["bucket", "chunk", "names", "docs", "ids"])
-
-
-def _answers(told: pa.Table, bucket: np.ndarray) -> np.ndarray:
-    """The bits that came back, in the order in which the names were dealt."""
-    out = np.zeros(len(bucket), bool)
-    for b, bits in zip(told["bucket"].to_pylist(), told["bits"].to_pylist(), strict=True):
-        mine = np.flatnonzero(bucket == b)
-        out[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
-    return out
-
-
-def _names(found: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different names in order, and their buckets."""
-    names = np.unique(found)
-    return names, ((names >> U(48)) % U(n_buckets)).astype(np.int64)
-
-
-def _candidates(chunk: Chunk, told: pa.Table, width: int, n_buckets: int):
-    """Places of the candidate windows, their different hashes in order, each place's hash, and the hashes' buckets."""
-    found, low, high, doc = chunk.symbols(width)
-    names, bucket = _names(found, n_buckets)
-    at = np.searchsorted(names, found)
-    least, most = np.full(len(names), len(chunk.ids)), np.full(len(names), -1)
-    np.minimum.at(least, at, doc)
-    np.maximum.at(most, at, doc)
-    alone = ~(_answers(told, bucket) | (least < most))[at]
-    n = len(chunk.doc)
-    never = _covered(np.maximum(high[alone] - width, 0), low[alone] + 1, n)
-    places = np.flatnonzero(chunk.whole_windows(width) & ~never)
-    hashes, which = np.unique(_windows(chunk.hashes, places, width, 1), return_inverse=True)
-    some = np.empty(len(hashes), np.int64)
-    some[which] = places
-    second = (_windows(chunk.hashes, some, width, 2) % U(n_buckets)).astype(np.int64)
-    return places, hashes, which, second
-
-
-def _first_doc(chunk: Chunk, places: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    first = np.full(n, len(chunk.ids), np.int64)
-    np.minimum.at(first, which, chunk.doc[places])
-    return first
-
-
-def _ask_names(width: int, n_buckets: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        chunk = Chunk(rows)
-        names, bucket = _names(chunk.symbols(width)[0], n_buckets)
-        return _deal(key[0].as_py(), bucket, n_buckets, names, None, chunk.ids)
+def _ask(level: int, width: int, rounds: int, n_buckets: int):
+    """What a chunk asks at ``level``, given the names of the levels before."""
 
-    return run
+    def asked(chunk: int, rows: pa.Table, told: pa.Table | None) -> pa.Table:
+        dealt, keys, several = Chunk(rows, width, n_buckets).parse(told, level - 1, rounds)
+        n = len(keys)
+        return pa.table([[b for b, _ in dealt.parts], [chunk] * n, [level] * n, keys, [np.packbits(several[o]).tobytes() for _, o in dealt.parts]], schema=_ASK)
 
+    def first(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return asked(key[0].as_py(), rows, None)
+
+    def later(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        return asked(key[0].as_py(), rows, told) if rows.num_rows else _ASK.empty_table()
+
+    return later if level else first
 
-def _ask_windows(width: int, n_buckets: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 3], ["bucket", "chunk", "names", "docs", "ids"])
-        chunk = Chunk(rows)
-        places, hashes, which, bucket = _candidates(chunk, told, width, n_buckets)
-        return _deal(key[0].as_py(), bucket, n_buckets, hashes, _first_doc(chunk, places, which, len(hashes)), chunk.ids)
+
+def _tell_names(n_buckets: int):
+    """Name the keys of a bucket that two documents have; numbers follow the keys' order, whatever order the chunks come in."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bucket, level = key[0].as_py(), key[1].as_py()
+        raw = rows["keys"].to_pylist()
+        if level:
+            each = [len(x) // KEY_BYTES for x in raw]
+            found, which = np.unique(_unpacked(raw, KEY_BYTES), return_inverse=True)
+            rank = np.arange(len(found))
+        else:
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            stop = np.flatnonzero(data == 0x20) + 1
+            cut = np.cumsum([len(x) for x in raw])
+            each = np.diff(np.searchsorted(stop, cut, "right"), prepend=0).tolist()
+            offsets = pa.py_buffer(np.concatenate([[0], stop]).astype(np.int64))
+            words = pa.Array.from_buffers(pa.large_binary(), len(stop), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+            found, which = words.dictionary, words.indices.to_numpy()
+            rank = np.empty(len(found), np.int64)
+            rank[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
+        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(rows["several"].to_pylist(), each, strict=True)])
+        times = np.bincount(which, weights=1 + several, minlength=len(found))  # a chunk asks a key once
+        names = np.where(times > 1, (rank * n_buckets + bucket) * 16 + level + 1, 0).astype(U)
+        if len(names) and int(names.max()) >> 8 * NAME_BYTES:
+            raise OverflowError("more names than NAME_BYTES can tell apart")
+        cut = np.concatenate([[0], np.cumsum(each)])
+        answer = [_packed(names[which[i:j]], NAME_BYTES) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), rows["level"].combine_chunks(), pa.array(answer, pa.binary())], ["chunk", "bucket", "level", "answer"])
 
     return run
 
 
-def _tell(rows: pa.Table, decide, width: int) -> pa.Table:
-    """What ``decide`` says of all names of a bucket, as bits for each chunk."""
-    raw = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in rows["names"].to_pylist()]
-    names = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    names[:, :width] = np.concatenate(raw)
-    yes = decide(names.view("<u8")[:, 0], [len(x) for x in raw])
-    bits, at = [], 0
-    for x in raw:
-        bits.append(np.packbits(yes[at : at + len(x)]).tobytes())
-        at += len(x)
-    return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
+_SEEK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
 
 
-def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the names, where each different one begins in it, and how often it is there."""
-    order = np.argsort(names, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
-    return order, begin, np.diff(np.concatenate([begin, [len(names)]]))
+def _seek(width: int, rounds: int, n_buckets: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _SEEK.empty_table()
+        chunk = Chunk(rows, width, n_buckets)
+        chunk.parse(told, rounds, rounds)
+        dealt, start, size, least, *_ = chunk.stretches()
+        words = [_packed(chunk.names[_spans(start[o], size[o] + width - 1)], NAME_BYTES) for _, o in dealt.parts]
+        sizes, docs = [size[o].astype("<i4").tobytes() for _, o in dealt.parts], [chunk.ids[least[o]].astype("<i8").tobytes() for _, o in dealt.parts]
+        return pa.table([[b for b, _ in dealt.parts], [key[0].as_py()] * len(words), words, sizes, docs], schema=_SEEK)
 
+    return run
 
-def _tell_names(rows: pa.Table) -> pa.Table:
-    def shared(names, sizes):
-        order, _, size = _runs(names)
-        yes = np.empty(len(names), bool)
-        yes[order] = np.repeat(size > 1, size)  # a chunk sends a name once
-        return yes
 
-    return _tell(rows, shared, NAME_BYTES)
+def window_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    h = np.full(len(at), 1, U)
+    for k in range(width):
+        h = (h ^ words[at + k]) * U(0x9FB21C651E98DF25)
+        h ^= h >> U(29)
+    return mix(h)
 
 
-def _tell_windows(rows: pa.Table) -> pa.Table:
-    def earlier(names, sizes):
-        docs = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.int32)] for d, i in zip(rows["docs"].to_pylist(), rows["ids"].to_pylist(), strict=True)])
-        order, begin, size = _runs(names)
-        yes = np.empty(len(names), bool)
-        yes[order] = docs[order] > np.repeat(np.minimum.reduceat(docs[order], begin), size)
-        return yes
+def alike(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window, the same for those whose words are the same: found by hash, then compared word by word."""
+    _, one, group = np.unique(window_hashes(words, at, width), return_index=True, return_inverse=True)
+    same = np.ones(len(at), bool)
+    for k in range(width):
+        same &= words[at + k] == words[at[one][group] + k]
+    if not same.all():  # hashes clash: these windows among themselves, in full
+        odd = np.flatnonzero(~same)
+        _, again = np.unique(words[at[odd][:, None] + np.arange(width)], axis=0, return_inverse=True)
+        group[odd] = len(one) + again.ravel()
+    return group
+
+
+def _tell_windows(width: int, level: int):
+    def run(rows: pa.Table) -> pa.Table:
+        words = _unpacked(rows["words"].to_pylist(), NAME_BYTES)
+        sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows["sizes"].to_pylist()]
+        size, doc = np.concatenate(sizes), np.frombuffer(b"".join(rows["docs"].to_pylist()), "<i8")
+        long = size + width - 1
+        at, doc = _spans(np.cumsum(long) - long, size), np.repeat(doc, size)
+        group = alike(words, at, width)
+        least = np.full(int(group.max(initial=-1)) + 1, LAST)
+        np.minimum.at(least, group, doc)
+        earlier, cut = least[group] < doc, np.concatenate([[0], np.cumsum([x.sum() for x in sizes])])
+        answer = [np.packbits(earlier[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), pa.array([level] * len(answer), pa.int32()), pa.array(answer, pa.binary())], ["chunk", "bucket", "level", "answer"])
 
-    return _tell(rows, earlier, 8)
+    return run
 
 
-def _remove(width: int, n_buckets: int):
+def _remove(width: int, rounds: int, n_buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        chunk = Chunk(rows)
-        kind = told["kind"].to_numpy()
-        places, hashes, which, bucket = _candidates(chunk, told.filter(pa.array(kind == 0)), width, n_buckets)
-        first = _first_doc(chunk, places, which, len(hashes))
-        elsewhere = _answers(told.filter(pa.array(kind == 1)), bucket)
-        gone = elsewhere[which] | (chunk.ids[chunk.doc[places]] > chunk.ids[first[which]])
-        removed = _covered(places[gone], places[gone] + width, len(chunk.doc))
-        words, kept = np.diff(chunk.first), np.flatnonzero(~removed)
-        text, begin, _ = joined(chunk.data, chunk.starts[kept], chunk.ends[kept])
+        chunk = Chunk(rows, width, n_buckets)
+        chunk.parse(told, rounds, rounds)
+        dealt, _, sent, least, start, size, like = chunk.stretches()
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(sent[o].sum())) for (_, o), x in zip(dealt.parts, dealt.answers(told, rounds + 1), strict=True)]
+        # the answers are in the order of the buckets; where each stretch's begin
+        at = np.zeros(len(sent), np.int64)
+        at[dealt.order] = np.cumsum(sent[dealt.order]) - sent[dealt.order]
+        earlier = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+        window, here = _spans(start, size), chunk.ids[np.repeat(chunk.doc[start], size)]
+        gone = window[earlier[_spans(at[like], size)] | (here > chunk.ids[np.repeat(least[like], size)])]
+        kept = np.flatnonzero(~_covered(gone, gone + width, chunk.n))
+        words = np.diff(chunk.first)
+        text, begin, _ = joined(chunk.text, chunk.starts[kept], chunk.ends[kept])
         cut = np.searchsorted(kept, chunk.first)
-        begin = np.concatenate([begin, [len(text)]])
+        begin = np.append(begin, len(text))
         raw = text.tobytes()
         out = [raw[begin[i] : begin[j] - 1] if j > i else b"" for i, j in zip(cut[:-1], cut[1:], strict=True)]
         ids = pa.array(chunk.ids, mask=chunk.ids == LAST)
@@ -225,21 +363,26 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
 
     A word is removed if a window of ``width`` words of its document covers it
     whose words also begin a window in a document with a smaller doc_id. Null
-    texts have no words. A null doc_id is greater than all others; rows with
-    equal doc_ids take nothing from each other. Other columns are not read; an
-    empty table gives no rows.
+    texts have no words, like empty ones. A null doc_id is greater than all
+    others; rows with equal doc_ids take nothing from each other. Repeated rows
+    stay, and are dealt to chunks by the partition that they are read in, so
+    they make no chunk a hot one; a very long text makes its chunk as long.
+    Other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    n = docs.count()
-    n_chunks, n_buckets = buckets(n, CHUNK_DOCS, 32), buckets(n, BUCKET_DOCS, 32)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text")
-    chunks = texts.groupBy("chunk")
-    shared = chunks.applyInArrow(_ask_names(width, n_buckets), ASKED).groupBy("bucket").applyInArrow(_tell_names, TOLD)
-    asked = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(_ask_windows(width, n_buckets), ASKED)
-    earlier = asked.groupBy("bucket").applyInArrow(_tell_windows, TOLD)
-    told = shared.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
-    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(_remove(width, n_buckets), "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_chunks, n_buckets, rounds = max(LEAST, -(-size // CHUNK_BYTES)), max(LEAST, -(-size // BUCKET_BYTES)), rounds_for(width)
+    chunks = texts.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text").groupBy("chunk")
+    told = None
+    for level in range(rounds + 1):
+        having = chunks if told is None else chunks.cogroup(told.groupBy("chunk"))
+        asked = having.applyInArrow(_ask(level, width, rounds, n_buckets), ASKED)
+        named = asked.groupBy("bucket", "level").applyInArrow(_tell_names(n_buckets), NAMED)
+        told = named if told is None else told.unionByName(named)
+    sought = chunks.cogroup(told.groupBy("chunk")).applyInArrow(_seek(width, rounds, n_buckets), SOUGHT)
+    told = told.unionByName(sought.groupBy("bucket").applyInArrow(_tell_windows(width, rounds + 1), NAMED))
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(_remove(width, rounds, n_buckets), "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW, **columns) -> DataFrame:
