@@ -13,9 +13,9 @@ and come back. A key of one document gets none.
    remaining window needs is not asked for. There are as many rounds as new
    symbols' contexts fit a window.
 3. What is left shares all its high-level symbols with another document and
-   has to be verified. Each window goes to the bucket of one of its symbols,
-   the least by a hash of those of the highest level; as a symbol is the same
-   wherever its context recurs, equal windows meet. Neighbouring windows go
+   has to be verified. Each window goes to the bucket of one of its symbols, of
+   any level, that fewest chunks have; as a symbol is the same wherever its
+   context recurs, equal windows meet. Neighbouring windows of one symbol go
    together, as the names of their words, equal stretches of a chunk once, with
    the least doc_id.
 4. A bucket finds equal windows by hash and compares all their words. Which
@@ -42,14 +42,14 @@ from .words import IS_SPACE, U, find_words, joined, mix, text_bytes, word_hashes
 WINDOW = 13
 #: Bytes of text in a chunk, and for each bucket of keys; chunks and buckets at least.
 CHUNK_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 32
-#: Bytes of a key of a run or pair, of which equal ones in a bucket count as the same: that can only leave windows to verify. Bytes of a name.
-KEY_BYTES, NAME_BYTES = 6, 6
+#: Bytes of a key of a run or pair; equal ones in a bucket count as the same, which can only leave more windows to verify.
+KEY_BYTES = 6
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
 ASKED = "bucket int, chunk int, level int, keys binary, several binary"
 NAMED = "chunk int, bucket int, level int, answer binary"
-SOUGHT = "bucket int, chunk int, words binary, sizes binary, docs binary"
+SOUGHT = "bucket int, chunk int, width int, words binary, sizes binary, docs binary"
 
 
 def rounds_for(width: int) -> int:
@@ -61,6 +61,10 @@ def _packed(numbers: np.ndarray, width: int) -> bytes:
     return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _bytes_for(numbers: np.ndarray) -> int:
+    return max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+
+
 def _unpacked(raw: list[bytes], width: int) -> np.ndarray:
     flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
     out = np.zeros((len(flat), 8), np.uint8)
@@ -84,22 +88,35 @@ class Dealt:
         return mine["answer"].to_pylist()
 
 
-class Chunk:
-    """The documents of a chunk in the order of doc_id, then text, and their parse as far as names are known."""
+def _names(dealt: Dealt, told: pa.Table, level: int) -> np.ndarray:
+    """The names that came back, in the order in which the keys were dealt."""
+    parts = [_unpacked([x], len(x) // len(o)) for (_, o), x in zip(dealt.parts, dealt.answers(told, level), strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, U)
 
-    def __init__(self, rows: pa.Table, width: int, n_buckets: int):
+
+class Words:
+    """The documents of a chunk in the order of doc_id, then text, as words with one space after each."""
+
+    def __init__(self, rows: pa.Table):
         rows = rows.select(["doc_id", "text"]).set_column(0, "doc_id", pc.fill_null(rows["doc_id"], LAST)).set_column(1, "text", pc.fill_null(rows["text"], ""))
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.width, self.n_buckets, self.ids = width, n_buckets, rows["doc_id"].to_numpy()
+        self.ids = rows["doc_id"].to_numpy()
         data, at = text_bytes(rows["text"])
         starts, ends, self.first = find_words(data, at, IS_SPACE)
-        # the words with one space after each, and as entries of the chunk's dictionary
         self.text, self.starts, self.ends = joined(data, starts, ends)
         self.n = len(starts)
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+
+
+class Chunk(Words):
+    """A chunk's documents and their parse as far as names are known; words are entries of the chunk's dictionary."""
+
+    def __init__(self, rows: pa.Table, width: int, n_buckets: int):
+        super().__init__(rows)
+        self.width, self.n_buckets = width, n_buckets
         offsets = pa.py_buffer(np.append(self.starts, len(self.text)).astype(np.int64))
         words = pa.Array.from_buffers(pa.large_binary(), self.n, [None, offsets, pa.py_buffer(self.text)]).dictionary_encode()
         self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
     def several(self, entry: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Of n entries, which occur in two documents."""
@@ -108,24 +125,28 @@ class Chunk:
         np.maximum.at(most, entry, doc)
         return least < most
 
-    def ask_words(self) -> tuple[Dealt, list[bytes], np.ndarray]:
+    def dealt_words(self) -> Dealt:
         data, at = text_bytes(self.words.cast(pa.large_binary()))
-        dealt = Dealt((word_hashes(data, at[:-1], at[1:] - 1) % U(self.n_buckets)).astype(np.int64), self.n_buckets)
-        return dealt, [b"".join(self.words.take(pa.array(o)).to_pylist()) for _, o in dealt.parts], self.several(self.code, self.doc, len(self.words))
+        return Dealt((word_hashes(data, at[:-1], at[1:] - 1) % U(self.n_buckets)).astype(np.int64), self.n_buckets)
 
-    def ask_symbols(self, p: Parse, asked: np.ndarray) -> tuple[Dealt, list[bytes], np.ndarray, np.ndarray]:
-        """What to ask for the new symbols, and where in it each of them is."""
+    def ask_words(self) -> tuple[Dealt, list[bytes], np.ndarray]:
+        """What to ask for the words: their bytes, a space after each."""
+        dealt = self.dealt_words()
+        data, at = text_bytes(self.words.take(pa.array(dealt.order)))
+        cut, raw = at[np.cumsum([0] + [len(o) for _, o in dealt.parts])].tolist(), data.tobytes()
+        return dealt, [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], self.several(self.code, self.doc, len(self.words))
+
+    def ask_symbols(self, p: Parse, asked: np.ndarray):
+        """The keys of the new symbols, where they are dealt, and which key each of the symbols has."""
         keys, entry = np.unique(p.names[asked], return_inverse=True)
-        dealt = Dealt(((keys >> U(48)) % U(self.n_buckets)).astype(np.int64), self.n_buckets)
-        return dealt, [_packed(keys[o], KEY_BYTES) for _, o in dealt.parts], self.several(entry, p.doc[asked], len(keys)), entry
+        return keys, Dealt(((keys >> U(48)) % U(self.n_buckets)).astype(np.int64), self.n_buckets), entry
 
     def parse(self, told: pa.Table | None, known: int, rounds: int):
         """Replay the rounds whose names are ``told``, levels up to ``known``; ends with what to ask next, if there is a next round."""
-        dealt, keys, several = self.ask_words()
         if known < 0:
-            return dealt, keys, several
-        names = np.zeros(len(self.words), U)
-        names[dealt.order] = _unpacked(dealt.answers(told, 0), NAME_BYTES)
+            return self.ask_words()
+        dealt, names = self.dealt_words(), np.zeros(len(self.words), U)
+        names[dealt.order] = _names(dealt, told, 0)
         self.names = names[self.code]
         self.alive = np.zeros(self.n, bool)
         if self.n >= self.width:
@@ -137,11 +158,11 @@ class Chunk:
         for level in range(1, rounds + 1):
             p = one_round(p, level)
             asked = p.fresh & self._fits(p)
-            dealt, keys, several, entry = self.ask_symbols(p, asked)
+            keys, dealt, entry = self.ask_symbols(p, asked)
             if level > known:
-                return dealt, keys, several
-            names = np.zeros(len(several), U)
-            names[dealt.order] = _unpacked(dealt.answers(told, level), NAME_BYTES)
+                return dealt, [_packed(keys[o], KEY_BYTES) for _, o in dealt.parts], self.several(entry, p.doc[asked], len(keys))
+            names = np.zeros(len(keys), U)
+            names[dealt.order] = _names(dealt, told, level)
             found = names[entry]
             p.names[p.fresh] = 0
             p.names[asked] = found
@@ -171,20 +192,22 @@ class Chunk:
     def sought(self):
         """The windows that are left, as stretches: bucket, first window and number of windows of each."""
         anchor = np.zeros(self.n, U)
-        for p in reversed(self.levels):
+        for p in self.levels:
             use = np.flatnonzero(self._fits(p) & (p.names != 0))
-            low, high, order = p.low[use], p.high[use], mix(p.names[use]) | U(1)
-            best = np.zeros(self.n, U)
+            low, high = p.low[use], p.high[use]
+            rare = U(31) - (p.names[use] >> U(4) & U(31))
+            order = (rare << U(59)) | (mix(p.names[use]) >> U(5)) | U(1)
             for k in range(self.width):
                 at = low - k
                 ok = (at >= 0) & (at >= high - self.width)
-                np.maximum.at(best, at[ok], order[ok])
-            anchor = np.where(anchor == 0, best, anchor)
+                ok[ok] = self.alive[at[ok]]
+                np.maximum.at(anchor, at[ok], order[ok])
         start = np.flatnonzero(self.alive)
+        anchor = anchor[start]
         first = np.ones(len(start), bool)
-        first[1:] = (start[1:] != start[:-1] + 1) | (anchor[start[1:]] != anchor[start[:-1]]) | (self.doc[start[1:]] != self.doc[start[:-1]])
+        first[1:] = (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (self.doc[start[1:]] != self.doc[start[:-1]])
         begin = np.flatnonzero(first)
-        return (anchor[start[begin]] % U(self.n_buckets)).astype(np.int64), start[begin], np.diff(np.append(begin, len(start)))
+        return (mix(anchor[begin]) % U(self.n_buckets)).astype(np.int64), start[begin], np.diff(np.append(begin, len(start)))
 
     def stretches(self):
         """The different stretches: where they are dealt, first window and windows of each, least document; and of all stretches the windows, and which one each is like."""
@@ -263,18 +286,19 @@ def _tell_names(n_buckets: int):
             rank = np.empty(len(found), np.int64)
             rank[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(rows["several"].to_pylist(), each, strict=True)])
-        times = np.bincount(which, weights=1 + several, minlength=len(found))  # a chunk asks a key once
-        names = np.where(times > 1, (rank * n_buckets + bucket) * 16 + level + 1, 0).astype(U)
-        if len(names) and int(names.max()) >> 8 * NAME_BYTES:
-            raise OverflowError("more names than NAME_BYTES can tell apart")
-        cut = np.concatenate([[0], np.cumsum(each)])
-        answer = [_packed(names[which[i:j]], NAME_BYTES) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        times = np.bincount(which, weights=1 + several, minlength=len(found)).astype(np.int64)  # a chunk asks a key once
+        common = np.minimum(np.frexp(times)[1], 31)  # its low bits tell how common a name is
+        if len(found) * n_buckets >> 54:
+            raise OverflowError("more names than 64 bits tell apart")
+        names = np.where(times > 1, (rank * n_buckets + bucket << 9) | (common << 4) | level + 1, 0).astype(U)
+        width, cut = _bytes_for(names), np.concatenate([[0], np.cumsum(each)])
+        answer = [_packed(names[which[i:j]], width) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), rows["level"].combine_chunks(), pa.array(answer, pa.binary())], ["chunk", "bucket", "level", "answer"])
 
     return run
 
 
-_SEEK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
+_SEEK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("width", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
 
 
 def _seek(width: int, rounds: int, n_buckets: int):
@@ -283,10 +307,16 @@ def _seek(width: int, rounds: int, n_buckets: int):
             return _SEEK.empty_table()
         chunk = Chunk(rows, width, n_buckets)
         chunk.parse(told, rounds, rounds)
-        dealt, start, size, least, *_ = chunk.stretches()
-        words = [_packed(chunk.names[_spans(start[o], size[o] + width - 1)], NAME_BYTES) for _, o in dealt.parts]
+        dealt, start, size, least, every, long, like = chunk.stretches()
+        n_bytes = _bytes_for(chunk.names)
+        words = [_packed(chunk.names[_spans(start[o], size[o] + width - 1)], n_bytes) for _, o in dealt.parts]
         sizes, docs = [size[o].astype("<i4").tobytes() for _, o in dealt.parts], [chunk.ids[least[o]].astype("<i8").tobytes() for _, o in dealt.parts]
-        return pa.table([[b for b, _ in dealt.parts], [key[0].as_py()] * len(words), words, sizes, docs], schema=_SEEK)
+        # and to itself, past the buckets: all stretches with the least document of each, and where in the answers it is
+        at = np.zeros(len(size), np.int64)
+        at[dealt.order] = np.cumsum(size[dealt.order]) - size[dealt.order]
+        mine = np.stack([every, long, least[like], at[like]]).astype("<i8" if chunk.n >> 31 else "<i4")
+        to = [b for b, _ in dealt.parts] + [n_buckets + key[0].as_py()]
+        return pa.table([to, [key[0].as_py()] * len(to), [n_bytes] * len(words) + [mine.itemsize], [*words, mine.tobytes()], [*sizes, b""], [*docs, b""]], schema=_SEEK)
 
     return run
 
@@ -312,9 +342,11 @@ def alike(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return group
 
 
-def _tell_windows(width: int, level: int):
-    def run(rows: pa.Table) -> pa.Table:
-        words = _unpacked(rows["words"].to_pylist(), NAME_BYTES)
+def _tell_windows(width: int, level: int, n_buckets: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py() >= n_buckets:  # what a chunk keeps for itself
+            return pa.table([rows["chunk"].combine_chunks(), pa.array([rows["width"][0].as_py()], pa.int32()), pa.array([level + 1], pa.int32()), rows["words"].combine_chunks()], ["chunk", "bucket", "level", "answer"])
+        words = np.concatenate([_unpacked([x], n) for x, n in zip(rows["words"].to_pylist(), rows["width"].to_pylist(), strict=True)])
         sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows["sizes"].to_pylist()]
         size, doc = np.concatenate(sizes), np.frombuffer(b"".join(rows["docs"].to_pylist()), "<i8")
         long = size + width - 1
@@ -323,28 +355,27 @@ def _tell_windows(width: int, level: int):
         least = np.full(int(group.max(initial=-1)) + 1, LAST)
         np.minimum.at(least, group, doc)
         earlier, cut = least[group] < doc, np.concatenate([[0], np.cumsum([x.sum() for x in sizes])])
-        answer = [np.packbits(earlier[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        answer = [int(j - i).to_bytes(8, "little") + np.packbits(earlier[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), pa.array([level] * len(answer), pa.int32()), pa.array(answer, pa.binary())], ["chunk", "bucket", "level", "answer"])
 
     return run
 
 
-def _remove(width: int, rounds: int, n_buckets: int):
+def _remove(width: int, level: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        chunk = Chunk(rows, width, n_buckets)
-        chunk.parse(told, rounds, rounds)
-        dealt, _, sent, least, start, size, like = chunk.stretches()
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(sent[o].sum())) for (_, o), x in zip(dealt.parts, dealt.answers(told, rounds + 1), strict=True)]
-        # the answers are in the order of the buckets; where each stretch's begin
-        at = np.zeros(len(sent), np.int64)
-        at[dealt.order] = np.cumsum(sent[dealt.order]) - sent[dealt.order]
+        chunk = Words(rows)
+        mine = told.filter(pc.equal(told["level"], level + 1))
+        start, size, least, at = np.frombuffer(mine["answer"][0].as_py(), f"<i{mine['bucket'][0].as_py()}").reshape(4, -1).astype(np.int64)
+        # a bucket's answer is padded to whole bytes; its number of windows is told with it
+        answers = told.filter(pc.equal(told["level"], level)).sort_by("bucket")["answer"].to_pylist()
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int.from_bytes(x[:8], "little")) for x in answers]
         earlier = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
         window, here = _spans(start, size), chunk.ids[np.repeat(chunk.doc[start], size)]
-        gone = window[earlier[_spans(at[like], size)] | (here > chunk.ids[np.repeat(least[like], size)])]
+        gone = window[earlier[_spans(at, size)] | (here > chunk.ids[np.repeat(least, size)])]
         kept = np.flatnonzero(~_covered(gone, gone + width, chunk.n))
         words = np.diff(chunk.first)
         text, begin, _ = joined(chunk.text, chunk.starts[kept], chunk.ends[kept])
@@ -378,11 +409,11 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
     for level in range(rounds + 1):
         having = chunks if told is None else chunks.cogroup(told.groupBy("chunk"))
         asked = having.applyInArrow(_ask(level, width, rounds, n_buckets), ASKED)
-        named = asked.groupBy("bucket", "level").applyInArrow(_tell_names(n_buckets), NAMED)
+        named = asked.groupBy("bucket", "level").applyInArrow(_tell_names(n_buckets), NAMED).repartition("chunk")  # so each round's names are sent once, whatever reads them
         told = named if told is None else told.unionByName(named)
     sought = chunks.cogroup(told.groupBy("chunk")).applyInArrow(_seek(width, rounds, n_buckets), SOUGHT)
-    told = told.unionByName(sought.groupBy("bucket").applyInArrow(_tell_windows(width, rounds + 1), NAMED))
-    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(_remove(width, rounds, n_buckets), "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    told = sought.groupBy("bucket").applyInArrow(_tell_windows(width, rounds + 1, n_buckets), NAMED)
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(_remove(width, rounds + 1), "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW, **columns) -> DataFrame:
