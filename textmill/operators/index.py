@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.analyzer import slots
+from ..functions.batches import analyze, slices
 from .rank import FIELD_NAMES, Stats
 
 DOC_COLUMNS = ("path", "title", "body", "ext", "size", "mtime")
@@ -18,45 +19,44 @@ POSTINGS = "field tinyint, term string, path string, tf int, positions array<int
 LENGTHS = tuple(f"len_{f}" for f in FIELD_NAMES)
 
 
+def _lengths(batches):
+    for x in slices(batches, list(FIELD_NAMES)):
+        counts = [pa.array(analyze(x.column(f)).lengths, pa.int32()) for f in FIELD_NAMES]
+        yield pa.RecordBatch.from_arrays([*x.columns, *counts], [*x.schema.names, *LENGTHS])
+
+
 def with_lengths(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number of tokens, subwords included, of each field."""
-    return docs.withColumns({f"len_{f}": F.size(F.flatten(slots(F.col(f)))) for f in FIELD_NAMES})
+    """``docs`` with the number of tokens, subwords included, of each field; counted where the documents are."""
+    docs = docs.drop(*LENGTHS)
+    return docs.mapInArrow(_lengths, T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType()) for c in LENGTHS)]))
 
 
 def _invert(batches):
-    """Rows (path, field, slots) to postings. A document is whole in a row, so its terms are grouped right here, in numpy."""
-    for x in batches:
-        outer = x.column("slots")
-        at = outer.offsets.to_numpy()
-        inner = outer.values.slice(at[0], at[-1] - at[0])
-        token_at = inner.offsets.to_numpy()
-        terms = inner.values.slice(token_at[0], token_at[-1] - token_at[0]).dictionary_encode()
-        row_of_slot = np.repeat(np.arange(x.num_rows), np.diff(at))
-        slot = np.repeat(np.arange(len(inner)), np.diff(token_at))
-        row, code = row_of_slot[slot], terms.indices.to_numpy().astype(np.int64)
-        order = np.argsort(row * max(len(terms.dictionary), 1) + code, kind="stable")  # positions stay in order
-        row, code, pos = row[order], code[order], (slot - (at[:-1] - at[0])[row_of_slot[slot]])[order]
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
-        length = np.bincount(row, minlength=x.num_rows)
-        tf = np.diff(np.concatenate([first, [len(row)]])) if len(row) else first
-        doc = pa.array(row[first])
-        yield pa.RecordBatch.from_arrays(
-            [
-                x.column("field").take(doc), terms.dictionary.take(pa.array(code[first])), x.column("path").take(doc), pa.array(tf, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(row)]]), pa.int32()), pa.array(pos, pa.int32())), pa.array(length[row[first]], pa.int32()),
-            ],
-            ["field", "term", "path", "tf", "positions", "len"],
-        )
+    """(path, title, body) to postings. A document is whole in a row, so its terms are grouped right here, in numpy."""
+    for x in slices(batches, list(FIELD_NAMES)):
+        for field, name in enumerate(FIELD_NAMES):
+            tokens = analyze(x.column(name))
+            order = np.argsort(tokens.row * max(len(tokens.terms), 1) + tokens.code, kind="stable")  # positions stay in order
+            row, code, pos = tokens.row[order], tokens.code[order], tokens.pos[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
+            ends = np.append(first, len(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(first), field), pa.int8()), tokens.terms.take(pa.array(code[first])), x.column("path").take(pa.array(row[first])), pa.array(np.diff(ends), pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos, pa.int32())), pa.array(tokens.lengths[row[first]], pa.int32()),
+                ],
+                ["field", "term", "path", "tf", "positions", "len"],
+            )
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """(field, term, path, tf, positions, len): one row for each term of each field of each document.
 
-    Tokens are made by column expressions and grouped by document in the same
-    task: no shuffle, and no row for each token.
+    Tokens are made and grouped by document in the Arrow batch that holds it:
+    no shuffle, and no row for each token. :mod:`..functions.analyzer` has the
+    same analysis as column expressions.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("field"), F.transform(slots(F.col(f)), lambda s: F.transform(s, lambda t: t["term"])).alias("slots")) for k, f in enumerate(FIELD_NAMES)]))
-    return docs.select("path", each.alias("x")).select("path", "x.field", "x.slots").mapInArrow(_invert, POSTINGS)
+    return docs.select(*FIELD_NAMES).mapInArrow(_invert, POSTINGS)
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:

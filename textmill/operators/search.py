@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..plans import syntax as ast
 from ..plans.bind import Leaf, Plan, bind
-from ..plans.compile import counting, has_filter, match_column, matched, needs_a_leaf, phrase_column, score_column, scored
+from ..plans.compile import counting, has_filter, match_column, matched, needs_a_leaf, phrase_column, required, score_column, scored
 from .index import Index
 from .rank import FIELD_NAMES, Params, Recency, field_weight
 
 SCORE_DIGITS = 9
+#: Paths that are broadcast at most, to leave out what cannot match before it is shuffled; and how much less than the rest they must be.
+SEED_PATHS, SEED_GAIN = 200_000, 4
 
 
 @dataclass
@@ -125,13 +127,33 @@ class Searcher:
         table = [(leaf.number, t.text, f, t.weight * t.idf) for leaf in self.leaves(queries) for t in leaf.terms for f in leaf.fields]
         if not table:
             return None
-        terms, fields = sorted({r[1] for r in table}), sorted({r[2] for r in table})
         # a row for each field of each term of a query: EXPANSION_LIMIT and the query's own length bound it
         leaves = self.index.docs.sparkSession.createDataFrame(table, "leaf int, term string, field tinyint, w double")
-        found = self.index.postings.where(F.col("field").isin(fields) & F.col("term").isin(terms)).join(F.broadcast(leaves), ["field", "term"])
+        found = self.postings_for(queries, {r[1] for r in table}, {r[2] for r in table}).join(F.broadcast(leaves), ["field", "term"])
         part = field_weight(self.params, self.index.stats, F.col("field"), F.col("tf"), F.col("len"))
         return found.select("path", "leaf", "term", "field", "tf", "len", "w", part.alias("part"))
 
+    def seed(self, queries: list[Query]) -> Leaf | None:
+        """Of the leaves that one query's matches must have, the rarest, if it leaves out most of the others' postings."""
+        if len(queries) != 1:
+            return None
+        leaves, must = queries[0].plan.leaves, required(queries[0].plan.root)
+        if not must:
+            return None
+        cost = lambda leaf: sum(leaf.postings[t] for t in set(leaf.seeds))
+        best = min(must, key=lambda leaf: (cost(leaf), leaf.number))
+        rest = sum(sum(leaf.postings.values()) for leaf in leaves) - cost(best)
+        return best if cost(best) <= SEED_PATHS and cost(best) * SEED_GAIN <= rest else None
+
+    def postings_for(self, queries: list[Query], terms: set[str], fields: set[int]) -> DataFrame:
+        """The postings of ``terms`` in ``fields``; where a rare leaf is required, only those of documents that it may match, so no frequent term is shuffled whole."""
+        found = self.index.postings.where(F.col("field").isin(sorted(fields)) & F.col("term").isin(sorted(terms)))
+        seed = self.seed(queries)
+        if seed is None:
+            return found
+        paths = self.index.postings.where(F.col("field").isin(list(seed.fields)) & F.col("term").isin(seed.seeds)).select("path")
+        return found.join(F.broadcast(paths), "path", "left_semi")  # at most SEED_PATHS, by the dictionary's count
+
     def term_score(self):
         """Of one term and document, over its fields: saturation comes after their sum."""
         total = F.sum("part")
@@ -144,7 +166,7 @@ class Searcher:
             return None
         terms = sorted({t for leaf in leaves for g in leaf.groups for t in g})
         fields = sorted({f for leaf in leaves for f in leaf.fields})
-        found = self.index.postings.where(F.col("field").isin(fields) & F.col("term").isin(terms)).select("path", "field", "term", "positions")
+        found = self.postings_for(queries, set(terms), set(fields)).select("path", "field", "term", "positions")
         places = found.groupBy("path", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         yes = F.filter(F.array(*[F.when(phrase_column(leaf), F.lit(leaf.number)) for leaf in leaves]), lambda x: x.isNotNull())
         return places.select("path", F.explode(yes).alias("leaf")).distinct()

@@ -36,6 +36,15 @@ class Leaf:
     terms: list[ScoredTerm] = field(default_factory=list)
     groups: list[list[str]] = field(default_factory=list)
     slop: int = 0
+    #: By term, the postings that it has in ``fields``; of what a leaf of terms matches, and for a phrase of its rarest term.
+    postings: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def seeds(self) -> list[str]:
+        """Terms of which a document that matches has one: all of them, or a phrase's rarest."""
+        if self.groups:
+            return [min((t for g in self.groups for t in g), key=lambda t: (self.postings[t], t))]
+        return [t.text for t in self.terms]
 
 
 @dataclass
@@ -163,12 +172,13 @@ class _Binder:
 
     def frequencies(self) -> None:
         """The df of a term is the largest of the fields in its scope."""
-        wanted = sorted({t.text for leaf in self.leaves for t in leaf.terms})
+        wanted = sorted({t.text for leaf in self.leaves for t in leaf.terms} | {t for leaf in self.leaves for g in leaf.groups for t in g})
         if not wanted:
             return
         rows = self.index.dictionary.where(F.col("term").isin(wanted)).groupBy("term", "field").agg(F.sum("df").alias("df")).collect()
         df = {(r["term"], r["field"]): r["df"] for r in rows}
         for leaf in self.leaves:
+            leaf.postings = {t: sum(df.get((t, f), 0) for f in leaf.fields) for t in [*(t.text for t in leaf.terms), *(t for g in leaf.groups for t in g)]}
             for t in leaf.terms:
                 t.df = max(df.get((t.text, f), 0) for f in leaf.fields)
                 t.idf = idf(self.index.stats.n, t.df)

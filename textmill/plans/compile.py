@@ -85,6 +85,13 @@ def needs_a_leaf(b: Bound) -> bool:
     return False
 
 
+def required(b: Bound) -> list[Leaf]:
+    """Leaves that every document that matches has."""
+    if b.kind == "leaf":
+        return [b.leaf]
+    return [x for c in b.children for x in required(c)] if b.kind == "and" else []
+
+
 def has_filter(b: Bound) -> bool:
     return b.kind == "filter" or any(has_filter(c) for c in b.children)
 
@@ -106,4 +113,4 @@ def phrase_column(leaf: Leaf) -> Column:
     return F.col("field").isin(*leaf.fields) & reduce(and_, (group(g) for g in leaf.groups))
 
 
-__all__ = ["Plan", "counting", "filter_column", "has_filter", "match_column", "matched", "needs_a_leaf", "phrase_column", "score_column", "scored"]
+__all__ = ["Plan", "counting", "filter_column", "has_filter", "match_column", "matched", "needs_a_leaf", "phrase_column", "required", "score_column", "scored"]

@@ -16,14 +16,15 @@ import socket
 import threading
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.index import LENGTHS, POSTINGS, Index, dictionary_of, postings_of
+from ..operators.index import LENGTHS, POSTINGS, Index, dictionary_of, postings_of, with_lengths
 
 #: Bodies above this many bytes are indexed but not stored.
 STORED_BODY = 1 << 20
@@ -162,18 +163,23 @@ class Store:
     def _write_segment(self, docs: DataFrame, postings: DataFrame | None = None) -> str:
         name = f"seg-{self.manifest.generation + 1:08d}-{uuid.uuid4().hex[:8]}"
         at = f"file://{(self.folder / name).absolute()}"
-        # kept on the executors' disks, as the range partitioning below reads them twice; what is lost is made again
-        made = (postings_of(docs) if postings is None else postings).persist(StorageLevel.DISK_ONLY)
-        if postings is None:
-            lengths = made.groupBy("path").agg(*[F.sum(F.when(F.col("field") == k, F.col("tf")).otherwise(0)).cast("int").alias(c) for k, c in enumerate(LENGTHS)])
-            docs = docs.join(lengths, "path", "left").fillna(0, list(LENGTHS))
         stored = F.when(F.octet_length("body") <= STORED_BODY, F.col("body"))
-        docs.withColumn("body", stored).select("path", "title", "body", "ext", "size", "mtime", "sha256", *LENGTHS).write.parquet(f"{at}/docs")
-        # sorted by term: a query's terms are found by the row groups' least and greatest terms
-        made.repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term", "path").write.parquet(f"{at}/postings")
-        made.unpersist()
-        kept = self._read([name], "postings", POSTINGS)
-        dictionary_of(kept).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/dict")
+        whole = with_lengths(docs) if postings is None else docs
+        made = postings_of(docs) if postings is None else postings
+
+        def write_docs() -> None:
+            whole.withColumn("body", stored).select("path", "title", "body", "ext", "size", "mtime", "sha256", *LENGTHS).write.parquet(f"{at}/docs")
+
+        def write_postings() -> None:
+            # by term, so that a query's terms are found by the row groups' least and greatest terms; a frequent term's postings are split by path.
+            # The ranges take a second pass over the documents, which costs less than keeping the postings for it
+            made.repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
+            kept = self._read([name], "postings", POSTINGS)
+            dictionary_of(kept).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/dict")
+
+        with ThreadPoolExecutor(2) as both:  # neither waits for the other's last tasks
+            for done in [both.submit(inheritable_thread_target(self.spark)(f)) for f in (write_docs, write_postings)]:
+                done.result()
         return name
 
     def _commit(self, new: Manifest) -> None:
