@@ -218,29 +218,29 @@ def test_snippets():
 
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
-    base = tmp_path_factory.mktemp("files")
-    (base / "normal.md").write_text("release notes one two three four five six seven eight alpha")
-    (base / ".gitignore").write_text("*.log\n")
-    (base / "skip.log").write_text("x")
-    (base / "bin.dat").write_bytes(b"\0")
-    (base / "gbk.txt").write_bytes(b"\xc4\xe3\xba\xc3")
-    (base / "big.md").write_text("x " * 400)
-    (base / "late.md").write_text("late")
+    base = tmp_path_factory.mktemp("harbour")
+    (base / "ferry.md").write_text("harbour timetable north south east west up down left quay")
+    (base / ".gitignore").write_text("*.tmp\n")
+    (base / "draft.tmp").write_text("x")
+    (base / "photo.raw").write_bytes(b"P\0")
+    (base / "latin.txt").write_bytes(b"Gr\xfc\xdfe")
+    (base / "novel.md").write_text("page " * 200)
+    (base / "tide.md").write_text("ebb")
     for p in base.iterdir():
-        os.utime(p, (1700000000, 1700000000))
+        os.utime(p, (1710000000, 1710000000))
     e = Engine(spark, base / ".searchindex", max_size=500)
     counts = e.index([base])
     assert counts["add"] == 3 and counts["skipped_ignored"] == 2  # the index folder too
-    (base / "late.md").write_text("changed later")
-    (base / "new.md").write_text("new")
+    (base / "tide.md").write_text("flood and ebb")
+    (base / "crane.md").write_text("crane")
     return e
 
 
 @pytest.mark.parametrize(("query", "path", "what"), [
-    ("x", "../y", "outside"), ("x", "gone.md", "missing_on_disk"), ("x", "skip.log", "ignored"), ("x", "big.md", "too_large"), ("x", "bin.dat", "binary"), ("x", "gbk.txt", "non_utf8"),
-    ("x", "new.md", "not_scanned"), ("changed", "late.md", "stale"), ("title:release", "normal.md", "field_mismatch"), ("release ext:go", "normal.md", "filter_fail"), ("-release alpha", "normal.md", "not_triggered"),
-    ('"release alpha"', "normal.md", "too far apart"), ('"notes release"', "normal.md", "another order"), ("releasx", "normal.md", "release (distance 1, body@0)"),
-    ("release missingword", "normal.md", "rank 1 of 1"), ("release", "normal.md", "matches the query"),
+    ("q", "../elsewhere", "outside"), ("q", "sunk.md", "missing_on_disk"), ("q", "draft.tmp", "ignored"), ("q", "novel.md", "too_large"), ("q", "photo.raw", "binary"), ("q", "latin.txt", "non_utf8"),
+    ("q", "crane.md", "not_scanned"), ("flood", "tide.md", "stale"), ("title:harbour", "ferry.md", "field_mismatch"), ("harbour ext:py", "ferry.md", "filter_fail"), ("-harbour quay", "ferry.md", "not_triggered"),
+    ('"harbour quay"', "ferry.md", "too far apart"), ('"timetable harbour"', "ferry.md", "another order"), ("harbout", "ferry.md", "harbour (distance 1, body@0)"),
+    ("harbour submarine", "ferry.md", "rank 1 of 1"), ("harbour", "ferry.md", "matches the query"),
 ])
 def test_why_not(engine, query, path, what):
     report = engine.why_not(query, path)
@@ -248,10 +248,10 @@ def test_why_not(engine, query, path, what):
 
 
 def test_results_and_http(engine):
-    found = engine.results("release OR late", explain=True)
+    found = engine.results("harbour OR ebb", explain=True)
     assert found["total"] == 2 and found["hits"][0]["explain"]["terms"] and not found["truncated"]
-    assert server.answer(engine, "/api/search?q=release&n=5")[1]["hits"][0]["path"] == "normal.md"
-    assert [server.answer(engine, t)[0] for t in ("/healthz", "/api/search", "/api/search?q=a&n=0", "/api/search?q=(", "/api/doc?path=normal.md", "/api/doc?path=no", "/api/why-not?q=a&path=b", "/x", "/api/stats")] == [200, 400, 400, 400, 200, 404, 200, 404, 200]
+    assert server.answer(engine, "/api/search?q=harbour&n=5")[1]["hits"][0]["path"] == "ferry.md"
+    assert [server.answer(engine, t)[0] for t in ("/healthz", "/api/search", "/api/search?q=a&n=0", "/api/search?q=(", "/api/doc?path=ferry.md", "/api/doc?path=no", "/api/why-not?q=a&path=b", "/x", "/api/stats")] == [200, 400, 400, 400, 200, 404, 200, 404, 200]
     from http.server import ThreadingHTTPServer
 
     with ThreadingHTTPServer(("127.0.0.1", 0), server.handler(engine)) as s:

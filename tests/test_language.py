@@ -2,43 +2,55 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.functions import batches
 from textmill.functions.analyzer import analyze, lower, slots
 from textmill.plans import syntax as ast
 from textmill.plans.syntax import QuerySyntaxError, parse, parse_size, parse_time, render
 
 #: Texts with their tokens: term, position, first and last byte, kind.
-TABLE = [
-    ("hello world", "hello 0 0 5 word, world 1 6 11 word"),
-    ("Go语言并发编程", "go 0 0 2 word, 语言 1 2 8 cjk, 言并 2 5 11 cjk, 并发 3 8 14 cjk, 发编 4 11 17 cjk, 编程 5 14 20 cjk"),
-    ("parseHTTPRequest", "parsehttprequest 0 0 16 word, parse 0 0 5 sub, http 1 5 9 sub, request 2 9 16 sub"),
-    ("HTTPRequest", "httprequest 0 0 11 word, http 0 0 4 sub, request 1 4 11 sub"),
-    ("snake_case_name", "snake 0 0 5 word, case 1 6 10 word, name 2 11 15 word"),
-    ("v2.1.3", "v2 0 0 2 word, 1 1 3 4 word, 3 2 5 6 word"),
-    ("v2Max x86", "v2max 0 0 5 word, v2 0 0 2 sub, max 1 2 5 sub, x86 2 6 9 word"),
-    ("Ｇｏｌａｎｇ１２３", "golang123 0 0 27 word"),
-    ("ＦｕｌｌＷｉｄｔｈ", "fullwidth 0 0 27 word, full 0 0 12 sub, width 1 12 27 sub"),
-    ("ｘ　ｙ", "x 0 0 3 word, y 1 6 9 word"),
-    ("擎", "擎 0 0 3 cjk"),
-    ("引擎", "引擎 0 0 6 cjk"),
-    ("e-mail: foo@bar.com", "e 0 0 1 word, mail 1 2 6 word, foo 2 8 11 word, bar 3 12 15 word, com 4 16 19 word"),
-    ("", ""),
-    ("... !!", ""),
-    ("a aBC", "a 0 0 1 word, abc 1 2 5 word, a 1 2 3 sub, bc 2 3 5 sub"),
-]
-
-
-@pytest.mark.parametrize(("text", "want"), TABLE)
-def test_analyze(text, want):
-    assert ", ".join(f"{t.text} {t.pos} {t.start} {t.end} {t.kind}" for t in analyze(text)) == want
+TABLE = {
+    "Ruhe, 2 Boote": [("ruhe", 0, 0, 4, "word"), ("2", 1, 6, 7, "word"), ("boote", 2, 8, 13, "word")],
+    "loadXMLFile": [("loadxmlfile", 0, 0, 11, "word"), ("load", 0, 0, 4, "sub"), ("xml", 1, 4, 7, "sub"), ("file", 2, 7, 11, "sub")],
+    "PDFViewer": [("pdfviewer", 0, 0, 9, "word"), ("pdf", 0, 0, 3, "sub"), ("viewer", 1, 3, 9, "sub")],
+    "max_row_id!": [("max", 0, 0, 3, "word"), ("row", 1, 4, 7, "word"), ("id", 2, 8, 10, "word")],
+    "r7.0": [("r7", 0, 0, 2, "word"), ("0", 1, 3, 4, "word")],
+    "k9Unit b52": [("k9unit", 0, 0, 6, "word"), ("k9", 0, 0, 2, "sub"), ("unit", 1, 2, 6, "sub"), ("b52", 2, 7, 10, "word")],
+    "Été": [("été", 0, 0, 5, "word")],
+    "雨": [("雨", 0, 0, 3, "cjk")],
+    "春夏秋冬": [("春夏", 0, 0, 6, "cjk"), ("夏秋", 1, 3, 9, "cjk"), ("秋冬", 2, 6, 12, "cjk")],
+    "Tee茶道z": [("tee", 0, 0, 3, "word"), ("茶道", 1, 3, 9, "cjk"), ("z", 2, 9, 10, "word")],
+    "ＡｂＣ　７": [("abc", 0, 0, 9, "word"), ("ab", 0, 0, 6, "sub"), ("c", 1, 6, 9, "sub"), ("7", 2, 12, 15, "word")],
+    "": [],
+    "?! -- ;": [],
+}
+
+
+@pytest.mark.parametrize("text", TABLE)
+def test_analyze(text):
+    assert [(t.text, t.pos, t.start, t.end, t.kind) for t in analyze(text)] == TABLE[text]
+
+
+def test_batches_agree_with_python():
+    rng = random.Random(6)
+    letters = "abcXYZ019 _-.éÉßİΣσ茶道雨タワー한Ａｂ１　ǅ\n😀𠀀〇ªⅠ"
+    texts = [None, *TABLE, "İΣ", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(500))]
+    tokens = batches.analyze(pa.array(texts))
+    terms, got = tokens.terms.to_pylist(), [[] for _ in texts]
+    for code, row, pos in zip(tokens.code, tokens.row, tokens.pos, strict=True):
+        got[row].append((pos, terms[code]))
+    assert [sorted(x) for x in got] == [sorted((t.pos, t.text) for t in analyze(x or "")) for x in texts]
+    assert all(x == sorted(x, key=lambda y: y[0]) for x in got)
+    assert len(batches.analyze(pa.array([], pa.string())).code) == 0
 
 
 def test_columns_agree_with_python(spark):
     rng = random.Random(5)
-    letters = "abcXYZ019 _-.éÉßİΣσ语言引擎タワー한Ａｂ１　ǅ\n"
-    texts = [t for t, _ in TABLE] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    letters = "abcXYZ019 _-.éÉßİΣσ茶道雨タワー한Ａｂ１　ǅ\n"
+    texts = [*TABLE] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
     rows = df.select("i", F.posexplode(slots(F.col("t"))).alias("pos", "h")).select("i", "pos", F.explode("h").alias("x")).select("i", "pos", "x.term", "x.kind").collect()
     got = {}
