@@ -172,7 +172,7 @@ def deleted_docs(spark, sf_dir):
 def html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = extract_html(pages.select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text")))
-    return out.select(F.col("path").cast("bigint").alias("page_id"), F.octet_length("title").cast("bigint").alias("title_bytes"), F.length(F.regexp_replace("body", "[^A-Za-z]", "")).cast("bigint").alias("body_letters"))
+    return out.select(F.col("path").cast("bigint").alias("page_id"), F.octet_length("title").cast("bigint").alias("title_bytes"), F.sha2("title", 256).alias("title_sha256"), F.sha2("body", 256).alias("body_sha256"))
 
 
 QUERIES = {
@@ -200,7 +200,22 @@ def _many() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: The entities that the pages have.
+_ENTITIES = (("middot", "chr(183)"), ("copy", "chr(169)"), ("nbsp", "chr(160)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"))
+
+
+def _unescaped(text: str) -> str:
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '&{name};', {char})"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+_VISIBLE = "h"
+for _what, _by in ((r"(?is)<title>.*?</title>|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>", "''"), (r"(?is)<(?:script|style)\b.*$", "''"), (r"(?i)<(?:br|p|div|li|h1|h2|tr)(?:[ \t\r\n/][^>]*)?>", "chr(10)"), ("<[^>]*>", "''"), ("<[^>]*$", "''")):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '{_what}', {_by}, 'g')"
+
 ORACLE_SQL = {
+    "extract_html": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT page_id, trim(" + _unescaped("regexp_extract(h, '(?is)<title>(.*?)</title>', 1)") + f") AS title, {_unescaped(_VISIBLE)} AS body FROM p) SELECT page_id, strlen(title) AS title_bytes, sha256(title) AS title_sha256, sha256(body) AS body_sha256 FROM t",
     **{f"search_{k}": c.top() for k, c in CASES.items()},
     "search_total": _WITH_OR_POUR.sql() + " SELECT count(*) AS total FROM found",
     "search_recency": Case("with", (_is("with"),)).sql() + f" SELECT path, title, round(score * (1 + 2.0 * pow(0.5, ({NOW} - mtime) / 86400.0 / 90.0)), 6) AS score FROM found ORDER BY round(score * (1 + 2.0 * pow(0.5, ({NOW} - mtime) / 86400.0 / 90.0)), 9) DESC, path LIMIT 10",
