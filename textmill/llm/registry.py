@@ -23,7 +23,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_quotation(spark, sf_dir):
-    return link_quotations(table(spark, sf_dir, "conversations"))
+    """Conversations without quotes; reply_to is -1 where a message answers none."""
+    return link_quotations(table(spark, sf_dir, "conversations")).fillna(-1, ["reply_to"])
 
 
 def op2_decontamination(spark, sf_dir):
@@ -76,6 +77,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # the tables quote nothing, so SQL says positions, default replies and copies; tests/llm has quotations by brute force
+    "op1_quotation": r"""
+        WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, count(*) AS copies FROM conversations GROUP BY ALL)
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn, role, trim(t, chr(10)) AS text,
+            coalesce(max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reply_to,
+            CAST(0 AS BIGINT) AS n_passages, CAST(0 AS BIGINT) AS n_linked, 0 AS max_depth, copies FROM m""",
     "op2_decontamination": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

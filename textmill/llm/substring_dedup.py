@@ -41,7 +41,7 @@ from .words import IS_SPACE, U, find_words, joined, mix, text_bytes, word_hashes
 
 WINDOW = 13
 #: Bytes of text in a chunk, and for each bucket of keys; chunks and buckets at least.
-CHUNK_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 32
+CHUNK_BYTES, BUCKET_BYTES, LEAST = 8 << 20, 16 << 20, 32
 #: Bytes of a key of a run or pair; equal ones in a bucket count as the same, which can only leave more windows to verify.
 KEY_BYTES = 6
 #: Stands for a null doc_id: after all others.
