@@ -1,6 +1,8 @@
 """Packing by exact round trip, classifiers by held-out accuracy, conversations by brute force, the pipeline by stages."""
 
 import itertools
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,6 +216,105 @@ def test_quotation_linking(spark):
     assert link_quotations(df.limit(0)).count() == 0
 
 
+def brute_links(messages):
+    """Conversations by plain loops: each different message once, by turn."""
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    one = Counter((c, t, r, x or "") for c, t, r, x in messages)
+    read = {}
+    for m in one:
+        own, quoted, gap = [], [], True
+        lines = m[3].split("\n")
+        marks = [re.match(r"(?:[ \t]*>)*", x).group() for x in lines]
+        for k, (mark, line) in enumerate(zip(marks, lines, strict=True)):
+            depth = mark.count(">")
+            if not depth:
+                if not (k + 1 < len(lines) and marks[k + 1] and re.fullmatch(r"\s*On\b.*\bwrote:\s*", line)):
+                    own.append((k, line))
+                gap = True
+            elif not line[len(mark):].strip():
+                gap = True
+            else:
+                if gap or quoted[-1][0] != depth:
+                    quoted.append((depth, []))
+                quoted[-1][1].append(norm(line[len(mark):]))
+                gap = False
+        blocks, last = [], None
+        for k, line in own:
+            if last is None or any(marks[i] for i in range(last, k)):
+                blocks.append([])
+            blocks[-1].append(line)
+            last = k
+        said = {norm("\n".join(x for _, x in own))}
+        for b in blocks:
+            said |= {norm("\n".join(b))} | {norm(x) for x in b} | {norm(x) for x in re.split(r"\n[ \t]*\n", "\n".join(b))}
+        read[m] = "\n".join(x for _, x in own).strip("\n"), quoted, said - {""}
+    out = Counter()
+    for m, copies in one.items():
+        conv, turn, role, _ = m
+        own, quoted, _ = read[m]
+        reply, linked, top = None, 0, max((d for d, _ in quoted), default=0) if conv is not None and turn is not None else 0
+        if conv is not None and turn is not None:
+            say = lambda x: min((n[1] for n in one if n[0] == conv and n[1] is not None and x in read[n][2]), default=turn)
+            at = {}
+            for depth, lines in quoted:
+                whole = say(" ".join(lines))
+                each = [say(x) for x in lines]
+                found = whole if whole < turn else max((x for x in each if x < turn), default=None)
+                if found is not None:
+                    linked += 1
+                    at.setdefault(depth, []).append(found)
+            earlier = [n[1] for n in one if n[0] == conv and n[1] is not None and n[1] < turn]
+            reply = max(at[min(at)]) if at else max(earlier, default=None)
+        out[(conv, turn, role, own, reply, len(quoted) if conv is not None and turn is not None else 0, linked, top, copies)] += 1
+    return out
+
+
+def generated_messages(seed):
+    rng, out = random.Random(seed), []
+    words = ["alpha", "Beta", "gamma", "delta", "eps", "zeta", "eta"]
+    for conv in range(6):
+        texts = []
+        for turn in range(rng.randint(1, 14)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if texts and rng.random() < 0.8:
+                    source = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(source))
+                    part = source[a : a + rng.randint(1, 4)] if rng.random() < 0.7 else source
+                    if rng.random() < 0.3:
+                        lines.append("On Tuesday x wrote:")
+                    mark = rng.choice([">", "> ", " > ", ">>"])
+                    lines += [mark + (x.upper() if rng.random() < 0.2 else x.replace(" ", "  ")) for x in part]
+                lines += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 3))] + [""] * rng.randint(0, 1)
+            texts.append("\n".join(lines))
+            out.append((conv, turn * rng.choice([1, 1, 700]), rng.choice("ab"), texts[-1]))
+    return out + [out[3], out[3], (None, 1, "a", "> alpha"), (1, None, "b", "> alpha\nbeta"), (1, None, "b", None), (2, 5, None, None), (2, 2, "a", "x " * 20000 + "\n> Beta")]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_quotation_linking_by_brute_force(spark, seed):
+    messages = generated_messages(seed)
+    df = spark.createDataFrame([(*m, "x", 1, "y", 2) for m in messages], "conv_id bigint, turn bigint, role string, text string, uid string, t int, hash string, block int").repartition(4)
+    rows = link_quotations(df).collect()
+    assert Counter((r.conv_id, r.turn, r.role, r.text, r.reply_to, r.n_passages, r.n_linked, r.max_depth, r.copies) for r in rows) == brute_links(messages)
+    by_conv = defaultdict(list)
+    for r in rows:
+        by_conv[r.conv_id].append((r.position, -1 if r.turn is None else r.turn))
+    assert all([p for p, _ in sorted(v)] == list(range(len(v))) and [t for _, t in sorted(v)] == sorted(t for _, t in v) for c, v in by_conv.items() if c is not None)
+
+
+def test_a_crowded_turn_is_numbered_in_parts(spark, monkeypatch):
+    from textmill.llm import quotation
+
+    monkeypatch.setattr(quotation, "BLOCK", 16)
+    messages = [(1, None, "a", f"m{k}") for k in range(300)] + [(1, t, "a", f"t{t} {k}") for t in (0, 3, 4, 90) for k in range(1 + 40 * (t == 4))] + [(2, t, "b", "x") for t in range(40)]
+    rows = link_quotations(spark.createDataFrame(messages, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()
+    one = sorted((r.position, r.turn, r.reply_to) for r in rows if r.conv_id == 1)
+    assert [p for p, *_ in one] == list(range(len(one)))
+    assert [t for _, t, _ in one] == [None] * 300 + [0, 3, *[4] * 41, 90] and {(t, x) for _, t, x in one} == {(None, None), (0, None), (3, 0), (4, 3), (90, 4)}
+    assert sorted((r.position, r.turn, r.reply_to) for r in rows if r.conv_id == 2) == [(t, t, t - 1 if t else None) for t in range(40)]
+
+
 def test_quote_levels():
     own, passages, says = parse("a\n> b\n> > c\n>>> d\n>\n> e\nf")
     assert own == "a\nf" and passages == [(1, ["b"]), (2, ["c"]), (3, ["d"]), (1, ["e"])] and {"a f", "a", "f"} <= set(says)
