@@ -44,6 +44,8 @@ WINDOW = 13
 CHUNK_BYTES, BUCKET_BYTES, LEAST = 8 << 20, 16 << 20, 32
 #: Bytes of a key of a run or pair; equal ones in a bucket count as the same, which can only leave more windows to verify.
 KEY_BYTES = 6
+#: Low bits of a name that are not its number: 4 for the level, 5 for how common it is.
+MARKS = 9
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -58,17 +60,21 @@ def rounds_for(width: int) -> int:
 
 
 def _packed(numbers: np.ndarray, width: int) -> bytes:
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The low bytes of the numbers, all first ones, then all second ones and so on: small numbers then compress well."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _bytes_for(numbers: np.ndarray) -> int:
     return max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
 
 
-def _unpacked(raw: list[bytes], width: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :width] = flat
+def _unpacked(raw: list[bytes], widths: list[int]) -> np.ndarray:
+    out = np.zeros((sum(len(x) // n for x, n in zip(raw, widths, strict=True)), 8), np.uint8)
+    at = 0
+    for x, n in zip(raw, widths, strict=True):
+        part = np.frombuffer(x, np.uint8).reshape(n, -1).T
+        out[at : at + len(part), :n] = part
+        at += len(part)
     return out.view("<u8")[:, 0]
 
 
@@ -90,8 +96,8 @@ class Dealt:
 
 def _names(dealt: Dealt, told: pa.Table, level: int) -> np.ndarray:
     """The names that came back, in the order in which the keys were dealt."""
-    parts = [_unpacked([x], len(x) // len(o)) for (_, o), x in zip(dealt.parts, dealt.answers(told, level), strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, U)
+    answers = dealt.answers(told, level)
+    return _unpacked(answers, [len(x) // len(o) for (_, o), x in zip(dealt.parts, answers, strict=True)])
 
 
 class Words:
@@ -273,8 +279,8 @@ def _tell_names(n_buckets: int):
         raw = rows["keys"].to_pylist()
         if level:
             each = [len(x) // KEY_BYTES for x in raw]
-            found, which = np.unique(_unpacked(raw, KEY_BYTES), return_inverse=True)
-            rank = np.arange(len(found))
+            found, which = np.unique(_unpacked(raw, [KEY_BYTES] * len(raw)), return_inverse=True)
+            order = np.arange(len(found))
         else:
             data = np.frombuffer(b"".join(raw), np.uint8)
             stop = np.flatnonzero(data == 0x20) + 1
@@ -283,14 +289,17 @@ def _tell_names(n_buckets: int):
             offsets = pa.py_buffer(np.concatenate([[0], stop]).astype(np.int64))
             words = pa.Array.from_buffers(pa.large_binary(), len(stop), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
             found, which = words.dictionary, words.indices.to_numpy()
-            rank = np.empty(len(found), np.int64)
-            rank[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
+            order = np.empty(len(found), np.int64)
+            order[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(rows["several"].to_pylist(), each, strict=True)])
         times = np.bincount(which, weights=1 + several, minlength=len(found)).astype(np.int64)  # a chunk asks a key once
-        common = np.minimum(np.frexp(times)[1], 31)  # its low bits tell how common a name is
-        if len(found) * n_buckets >> 54:
+        # small numbers for common keys; and the low bits tell how common a name is
+        rank = np.empty(len(found), np.int64)
+        rank[np.lexsort((order, -times))] = np.arange(len(found))
+        common = np.minimum(np.frexp(times)[1], 31)
+        if len(found) * n_buckets >> 63 - MARKS:
             raise OverflowError("more names than 64 bits tell apart")
-        names = np.where(times > 1, (rank * n_buckets + bucket << 9) | (common << 4) | level + 1, 0).astype(U)
+        names = np.where(times > 1, (rank * n_buckets + bucket << MARKS) | (common << 4) | level + 1, 0).astype(U)
         width, cut = _bytes_for(names), np.concatenate([[0], np.cumsum(each)])
         answer = [_packed(names[which[i:j]], width) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table([rows["chunk"].combine_chunks(), rows["bucket"].combine_chunks(), rows["level"].combine_chunks(), pa.array(answer, pa.binary())], ["chunk", "bucket", "level", "answer"])
@@ -308,15 +317,17 @@ def _seek(width: int, rounds: int, n_buckets: int):
         chunk = Chunk(rows, width, n_buckets)
         chunk.parse(told, rounds, rounds)
         dealt, start, size, least, every, long, like = chunk.stretches()
-        n_bytes = _bytes_for(chunk.names)
-        words = [_packed(chunk.names[_spans(start[o], size[o] + width - 1)], n_bytes) for _, o in dealt.parts]
+        numbers = chunk.names >> U(MARKS)  # words' numbers tell them apart
+        n_bytes = _bytes_for(numbers)
+        words = [_packed(numbers[_spans(start[o], size[o] + width - 1)], n_bytes) for _, o in dealt.parts]
         sizes, docs = [size[o].astype("<i4").tobytes() for _, o in dealt.parts], [chunk.ids[least[o]].astype("<i8").tobytes() for _, o in dealt.parts]
         # and to itself, past the buckets: all stretches with the least document of each, and where in the answers it is
         at = np.zeros(len(size), np.int64)
         at[dealt.order] = np.cumsum(size[dealt.order]) - size[dealt.order]
-        mine = np.stack([every, long, least[like], at[like]]).astype("<i8" if chunk.n >> 31 else "<i4")
+        mine = np.stack([np.diff(every, prepend=0), long, chunk.doc[every] - least[like], at[like]])
+        own_bytes = _bytes_for(mine)
         to = [b for b, _ in dealt.parts] + [n_buckets + key[0].as_py()]
-        return pa.table([to, [key[0].as_py()] * len(to), [n_bytes] * len(words) + [mine.itemsize], [*words, mine.tobytes()], [*sizes, b""], [*docs, b""]], schema=_SEEK)
+        return pa.table([to, [key[0].as_py()] * len(to), [n_bytes] * len(words) + [own_bytes], [*words, _packed(mine.ravel(), own_bytes)], [*sizes, b""], [*docs, b""]], schema=_SEEK)
 
     return run
 
@@ -346,7 +357,7 @@ def _tell_windows(width: int, level: int, n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         if key[0].as_py() >= n_buckets:  # what a chunk keeps for itself
             return pa.table([rows["chunk"].combine_chunks(), pa.array([rows["width"][0].as_py()], pa.int32()), pa.array([level + 1], pa.int32()), rows["words"].combine_chunks()], ["chunk", "bucket", "level", "answer"])
-        words = np.concatenate([_unpacked([x], n) for x, n in zip(rows["words"].to_pylist(), rows["width"].to_pylist(), strict=True)])
+        words = _unpacked(rows["words"].to_pylist(), rows["width"].to_pylist())
         sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows["sizes"].to_pylist()]
         size, doc = np.concatenate(sizes), np.frombuffer(b"".join(rows["docs"].to_pylist()), "<i8")
         long = size + width - 1
@@ -369,7 +380,9 @@ def _remove(width: int, level: int):
             return schema.empty_table()
         chunk = Words(rows)
         mine = told.filter(pc.equal(told["level"], level + 1))
-        start, size, least, at = np.frombuffer(mine["answer"][0].as_py(), f"<i{mine['bucket'][0].as_py()}").reshape(4, -1).astype(np.int64)
+        start, size, before, at = _unpacked(mine["answer"].to_pylist(), mine["bucket"].to_pylist()).astype(np.int64).reshape(4, -1)
+        start = np.cumsum(start)
+        least = chunk.doc[start] - before
         # a bucket's answer is padded to whole bytes; its number of windows is told with it
         answers = told.filter(pc.equal(told["level"], level)).sort_by("bucket")["answer"].to_pylist()
         bits = [np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int.from_bytes(x[:8], "little")) for x in answers]
