@@ -71,6 +71,17 @@ class WordIds:
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an id 0 after each text, and where each text begins (and the last ends)."""
+        if len(at) != 2 or len(data) <= 2 * SLICE:
+            return self._some(data, at)
+        # one long text: stretch by stretch, each up to a space
+        spaces = np.flatnonzero(IS_SPACE[data])
+        ends = spaces[np.unique(np.minimum(np.searchsorted(spaces, np.arange(SLICE, len(data), SLICE)), len(spaces) - 1))] if len(spaces) else spaces
+        cuts = np.unique(np.concatenate([at[:1], ends, at[1:]]))
+        ids = [self._some(data[i:j], np.array([0, j - i]))[0] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = np.concatenate([*(x[:-1] for x in ids), np.zeros(1, np.uint32)])
+        return out, np.array([0, len(out)])
+
+    def _some(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = find_words(data, at, IS_SPACE)
         different, one, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         new = np.flatnonzero(self._missing(different))

@@ -27,6 +27,9 @@ SHINGLE, THRESHOLD = 3, 3
 #: Pairs of one anchor, or of a task, that are compared at once.
 SMALL_RUN, CHUNK = 1 << 14, 1 << 21
 
+#: Shingles that are hashed at once.
+HASHED = 1 << 16
+
 #: For each byte a number whose 8 bytes are its 8 bits: sums of up to 255 of them count the bits.
 _SPREAD = np.array([sum(((b >> j) & 1) << 8 * j for j in range(8)) for b in range(256)], U)
 
@@ -40,7 +43,9 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     base = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
     begin = np.arange(int(n.sum())) + base
     stop = np.minimum(begin + SHINGLE, np.repeat(first[1:], n)) - 1
-    h = xxh64(text, s[begin], e[stop])
+    h = np.empty(len(begin), U)
+    for k in range(0, len(h), HASHED):
+        h[k : k + HASHED] = xxh64(text, s[begin[k : k + HASHED]], e[stop[k : k + HASHED]])
     out = np.zeros(len(words), U)
     if not len(h):
         return out

@@ -95,13 +95,16 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     sizes = ends - starts
     new = np.concatenate([[0], np.cumsum(sizes + 1)])
     out = np.full(new[-1], 0x20, np.uint8)
-    step = np.ones(int(sizes.sum()), np.int64)
-    if len(sizes):
-        lead = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        from_at, to_at = step.copy(), step
-        from_at[lead] = np.concatenate([starts[:1], starts[1:] - ends[:-1] + 1])
-        to_at[lead] = np.concatenate([[0], np.full(len(sizes) - 1, 2)])
-        out[np.cumsum(to_at)] = data[np.cumsum(from_at)]
+    if (starts[1:] >= ends[:-1]).all():  # in order, as words are found: a byte of mask for each byte
+        inside, word = np.zeros(len(data) + 1, np.int8), np.ones(len(out), bool)
+        inside[starts] += 1
+        inside[ends] -= 1
+        word[new[1:] - 1] = False
+        out[word] = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    else:
+        for k in range(int(sizes.max(initial=0))):
+            some = np.flatnonzero(sizes > k)
+            out[new[some] + k] = data[starts[some] + k]
     return out, new[:-1], new[:-1] + sizes
 
 
