@@ -3,8 +3,11 @@
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -356,6 +359,67 @@ def test_pipeline_stages(spark):
     assert packing.CAPACITY >= after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
 
 
+def write_tables(spark, folder, docs, labels, benchmark):
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        table.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_run_on_odd_rows(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, score double, _text string, lines string, fp bigint"
+    good = "This is a usual sentence of some words, and here is another one.\nA second line follows the first one, as lines do."
+    texts = [(1, good), (1, good), (2, good + "\nshared line of the site"), (3, "Something else entirely is said here.\nshared line of the site"), (3, "Something else entirely is said here.\nshared line of the site"), (4, None), (5, ""), (None, "No id has this text, which is kept."), (6, "x " * 60000), (7, "the leaked words of the test are these ten and two more tail")]
+    rng = random.Random(0)
+    texts += [(100 + k, " ".join(f"w{rng.randrange(900)}" for _ in range(40)) + "\nshared line of the site" * (k % 3 == 0)) for k in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 2 else "s", len(t or ""), "r", 0.5, "t", "l", 3) for i, t in texts], schema).repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, None, None)], "doc_id bigint, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "leaked words of the test are these ten and two"), (2, None), (None, "x")], "item_id bigint, text string")
+    sf = write_tables(spark, tmp_path / "odd", docs, labels, benchmark)
+    placed = corpus_pipeline.run(spark, sf).collect()
+    # no label says bad, so none is rejected; more than a tenth of the site's rows have the shared line
+    assert {r.doc_id for r in placed} == {1, 2, 3, 4, 6, 7, None, *range(100, 130)}  # 5 is a copy of 4; repeated rows stay once
+    pieces = Counter((r.doc_id, r.piece) for r in placed)
+    assert set(pieces.values()) == {1} and len(pieces) > 37
+    # with their texts: stage by stage
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf).checkpoint()
+        assert kept.columns == docs.columns
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert left[3] == "Something else entirely is said here." and left[2].endswith("shared line of the site") and left[7] == "the  more tail" and left[4] is None
+    by_sequence = defaultdict(list)
+    for r in placed:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in v) <= 2048 and [o for o, _ in sorted(v)] == np.cumsum([0, *(n for _, n in sorted(v))])[:-1].tolist() for v in by_sequence.values())
+
+
+def test_pipeline_run_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sf = write_tables(spark, tmp_path / "none", docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), spark.createDataFrame([], "item_id bigint, text string"))
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_one_very_long_text_takes_a_bounded_multiple(docs):
+    """30 MB in one row, in a process of its own each: what it takes beyond the text is asserted as a multiple of it."""
+    code = """
+import resource, sys, random, numpy as np, pyarrow as pa
+from textmill.llm import packing, quality, simhash
+rng = random.Random(0)
+words = ["w%05d" % rng.randrange(40000) for _ in range(100000)]
+text = " ".join(words * 43)[: 30 << 20]
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+ids = packing.word_ids(sys.argv[2])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+run = {"simhash": simhash._fingerprint, "packing": packing._cut(sys.argv[2], 2048, False), "quality": lambda b: [quality.Field(np.zeros(3 * quality.N_OWN), 0.0).score(*quality.text_bytes(x.column(1))) for x in b]}[sys.argv[1]]
+list(run(iter([batch])))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 / 30)
+"""
+    for name in ("simhash", "packing", "quality"):
+        done = subprocess.run([sys.executable, "-c", code, name, PATH], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2])
+        assert done.returncode == 0, done.stderr
+        assert float(done.stdout) < 24, (name, done.stdout)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     import duckdb

@@ -1,17 +1,20 @@
 """Operators on texts against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from textmill.llm import decontamination, simhash
+from textmill.llm import substring_dedup as substring
 from textmill.llm.components import connected, label
 from textmill.llm.decontamination import contamination, decontaminated, removal_spans
 from textmill.llm.exact_dedup import deduplicated, exact_dedup
@@ -84,6 +87,71 @@ def test_substring_dedup(docs, rows, nothing, width):
     assert without_repeats(nothing, width).count() == 0
 
 
+def passes(rows, width, n_chunks=5, n_buckets=3):
+    """The passes of substring deduplication in this process: (result, bytes sent)."""
+    rounds, rng = substring.rounds_for(width), random.Random(1)
+    dealt = [[] for _ in range(n_chunks)]
+    for r in rows:
+        rng.choice(dealt).append(r)
+    chunks = [pa.table({"doc_id": pa.array([i for i, _ in c], pa.int64()), "text": pa.array([t for _, t in c], pa.string())}) for c in dealt if c]
+    named = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("answer", pa.binary())])
+    told, sent = None, 0
+
+    def by(table, *columns):
+        places = defaultdict(list)
+        for k, key in enumerate(zip(*(table[c].to_pylist() for c in columns), strict=True)):
+            places[key].append(k)
+        return [(tuple(map(pa.scalar, key)), table.take(pa.array(rng.sample(v, len(v))))) for key, v in places.items()]
+
+    def each(f):
+        if told is None:
+            return pa.concat_tables([f((pa.scalar(k),), c) for k, c in enumerate(chunks)])
+        return pa.concat_tables([f((pa.scalar(k),), c, told.filter(pc.equal(told["chunk"], k))) for k, c in enumerate(chunks)])
+
+    for level in range(rounds + 1):
+        asked = each(substring._ask(level, width, rounds, n_buckets))
+        answers = [substring._tell_names(n_buckets)(*x).cast(named) for x in by(asked, "bucket", "level")]
+        told = pa.concat_tables([named.empty_table() if told is None else told, *answers])
+        sent += asked.nbytes + sum(x.nbytes for x in answers)
+    sought = each(substring._seek(width, rounds, n_buckets))
+    told = pa.concat_tables([named.empty_table(), *(substring._tell_windows(width, rounds + 1, n_buckets)(*x).cast(named) for x in by(sought, "bucket"))])
+    out = each(substring._remove(width, rounds + 1))
+    result = Counter((i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in zip(*(out[c].to_pylist() for c in out.column_names), strict=True))
+    return result, sent + sought.nbytes + told.nbytes
+
+
+def repeating_rows(n, seed=2):
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{k}_{j}" for j in range(rng.randint(10, 40))) for k in range(n // 8)]
+    return [(rng.randint(0, 2 * n), " ".join(rng.choice([f"x{rng.randint(0, n)}", rng.choice(passages), "a a a a", "b"]) for _ in range(rng.randint(0, 20)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("width", [2, 5, 13, 30])
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_substring_passes(rows, width, chunks):
+    for texts in (rows, repeating_rows(120), [(i, " ".join(random.Random(i).choice("abc") for _ in range(i))) for i in range(50)]):
+        assert passes(texts, width, chunks)[0] == brute_substrings(texts, width)
+
+
+def test_windows_whose_hashes_clash_are_told_apart(rows, monkeypatch):
+    monkeypatch.setattr(substring, "window_hashes", lambda words, at, width: np.zeros(len(at), U))
+    for texts in (rows, repeating_rows(100)):
+        assert passes(texts, 13)[0] == brute_substrings(texts, 13)
+
+
+def test_keys_that_clash_only_leave_more_to_verify(rows, monkeypatch):
+    monkeypatch.setattr(substring, "KEY_BYTES", 1)
+    assert passes(rows, 13)[0] == brute_substrings(rows, 13)
+
+
+def test_what_substring_passes_send_grows_with_the_text():
+    rng = random.Random(3)
+    passages = [" ".join(f"p{k}_{j}" for j in range(30)) for k in range(60)]
+    rows = [(i, " ".join(rng.choice([f"x{rng.randint(0, 2000)}", f"x{rng.randint(0, 50)}", rng.choice(passages)]) for _ in range(40))) for i in range(2400)]
+    sent = [passes(rows[: 600 * n], 13, 4 * n, 2 * n)[1] for n in (1, 2, 4)]
+    assert sent[1] < 2.3 * sent[0] and sent[2] < 4.8 * sent[0]
+
+
 def test_equal_contexts_give_equal_symbols():
     rng = np.random.default_rng(0)
     names = mix(np.arange(30).astype(U) + U(7))
