@@ -99,6 +99,20 @@ def test_scan_diff_and_commit(spark, folder):
     assert listing([Path("/usr")], folder)[0][0][4] == "outside_root"
 
 
+def test_scan_that_trusts_times(spark, folder):
+    store = Store(spark, folder / ".searchindex")
+    store.commit(scan(spark, [folder], folder, max_size=200).docs)
+    (folder / "new.md").write_text("new")
+    info = (folder / "a.md").stat()
+    (folder / "a.md").write_text("x" * info.st_size)
+    os.utime(folder / "a.md", (info.st_atime, info.st_mtime))  # a change that keeps size and time goes unseen
+    (folder / "sub" / "p.html").unlink()
+    found = scan(spark, [folder], folder, max_size=200, known=store.state())
+    assert [r.path for r in found.docs.collect()] == ["new.md"]
+    assert {r.path: r.change for r in found.diff(store.state()).collect()} == {"a.md": "unchanged", ".gitignore": "unchanged", "new.md": "add", "sub/p.html": "delete"}
+    found.release()
+
+
 def test_store_lifecycle(spark, tmp_path):
     store = Store(spark, tmp_path / "i")
     df = lambda *t: spark.createDataFrame(rows(*t), SCHEMA)

@@ -16,7 +16,12 @@ NOW = 1767225600
 
 
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as files: path, title, body, ext, size, mtime."""
+    """``documents`` as files: path, title, body, ext, size, mtime.
+
+    The tables have no titles, so the view makes one of the first line's first
+    80 characters, as the SQL does; that is what the view's title *is*. The body
+    is the whole text.
+    """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("", "source", F.lit("/"), "lang", F.lit("/doc"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
     title = F.substring(F.split("text", "\n", 2)[0], 1, 80)

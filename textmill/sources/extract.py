@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes at a file's head that are looked at for what no text has.
 HEAD = 8192
@@ -72,9 +73,11 @@ def docx_text(data: bytes) -> str:
 
 
 def _html(batches):
+    """Rows whose last column is a page's text to the same with title and body in its place."""
     for x in batches:
-        pairs = [html_text(t or "") for t in x.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([x.column("path"), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["path", "title", "body"])
+        pairs = [html_text(t or "") for t in x.column(x.num_columns - 1).to_pylist()]
+        found = [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*x.columns[:-1], *found], [*x.schema.names[:-1], "title", "body"])
 
 
 def stem(path: Column) -> Column:
@@ -89,8 +92,10 @@ def extension(path: Column) -> Column:
 
 
 def extract_html(files: DataFrame) -> DataFrame:
-    """(path, text) to (path, title, body); without a title, the file's name stands for it."""
-    out = files.select("path", "text").mapInArrow(_html, "path string, title string, body string")
+    """(path, text, ...) to the same with title and body instead of text; without a title, the file's name stands for it."""
+    kept = [f for f in files.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("title", T.StringType()), T.StructField("body", T.StringType())])
+    out = files.select(*[f.name for f in kept], "text").mapInArrow(_html, schema)
     return out.withColumn("title", F.coalesce("title", stem(F.col("path"))))
 
 
@@ -112,5 +117,4 @@ def extract(files: DataFrame) -> DataFrame:
     body = F.when(F.col("ext").isin(*MARKDOWN), markdown_body(F.col("text"))).otherwise(F.col("text"))
     title = F.when(F.col("ext").isin(*MARKDOWN), markdown_title(body))
     plain = plain.select(*kept, F.coalesce(title, stem(F.col("path"))).alias("title"), body.alias("body"))
-    web = files.where(pages)
-    return plain.unionByName(web.drop("text").join(extract_html(web), "path").select(*kept, "title", "body"))
+    return plain.unionByName(extract_html(files.where(pages)))

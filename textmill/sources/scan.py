@@ -37,6 +37,8 @@ class Scan:
     skipped: DataFrame
     roots: list[str] = field(default_factory=list)
     contents: DataFrame | None = None
+    #: Files that were not read, as size and time are those of a known state: path, mtime, sha256.
+    same: DataFrame | None = None
 
     def release(self) -> None:
         """Forget the contents that the executors keep for the two results; read again, they are made again."""
@@ -51,7 +53,8 @@ class Scan:
 
         Paths that are gone are deleted only under roots that were read.
         """
-        now = self.docs.select("path", F.col("mtime").alias("m"), F.col("sha256").alias("s"))
+        now = self.docs.select("path", "mtime", "sha256")
+        now = (now if self.same is None else now.unionByName(self.same)).toDF("path", "m", "s")
         before = state.select("path", "mtime", "sha256")
         both = now.join(before, "path", "full_outer")
         change = (
@@ -145,16 +148,25 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-def scan(spark: SparkSession, roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE, partitions: int | None = None) -> Scan:
-    """Read the files under ``roots``; paths are relative to ``base``. The tasks must see the same files as the driver."""
+def scan(spark: SparkSession, roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE, partitions: int | None = None, known: DataFrame | None = None) -> Scan:
+    """Read the files under ``roots``; paths are relative to ``base``. The tasks must see the same files as the driver.
+
+    All files are read and hashed, unless a ``known`` state (path, size, mtime,
+    sha256) is given: what has its size and time is then taken to be unchanged
+    and is not read, so a change that keeps both goes unseen.
+    """
     rows, read = listing(roots, base, max_size)
     if roots and not read:
         raise ScanError("no root could be read: " + ", ".join(map(str, roots)))
     files = spark.createDataFrame(rows, FILES)
     wanted = files.where(F.col("skip").isNull()).withColumn("ext", extension(F.col("path")))
+    same = None
+    if known is not None:
+        same = wanted.join(known.select("path", "size", "mtime", "sha256"), ["path", "size", "mtime"]).select("path", "mtime", "sha256")
+        wanted = wanted.join(same.select("path"), "path", "left_anti")
     n = partitions or spark.sparkContext.defaultParallelism
     # content is read once and kept for the two results
     contents = wanted.repartition(n, "path").mapInArrow(_read, "path string, ext string, size bigint, mtime bigint, sha256 string, text string, skip string").persist()
     docs = extract(contents.where(F.col("skip").isNull()).drop("skip")).select("path", "title", "body", "ext", "size", "mtime", "sha256")
     skipped = files.where(F.col("skip").isNotNull()).select("path", "skip").unionByName(contents.where(F.col("skip").isNotNull()).select("path", "skip"))
-    return Scan(docs, skipped, read, contents)
+    return Scan(docs, skipped, read, contents, same)

@@ -134,7 +134,10 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def _segments(self, part: str, schema: str) -> DataFrame:
-        return _union([self._read([n], part, schema).withColumn("segment", F.lit(n)) for n in self.manifest.segments]) if self.manifest.segments else self.spark.createDataFrame([], schema + ", segment string")
+        """The rows of all segments with the segment's name: one scan, however many segments there are."""
+        if not self.manifest.segments:
+            return self.spark.createDataFrame([], schema + ", segment string")
+        return self._read(self.manifest.segments, part, schema).withColumn("segment", F.regexp_extract("_metadata.file_path", r"/(seg-[^/]+)/[^/]+/[^/]+$", 1))
 
     def _deleted(self) -> DataFrame:
         return self._read(self.manifest.deletes, "", "path string, segment string")
@@ -319,10 +322,3 @@ class Store:
             if n := rows.count():
                 wrong.append(f"{n} {what}")
         return wrong + [f"left over: {n}" for n in self.orphans()]
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

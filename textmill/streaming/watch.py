@@ -55,12 +55,13 @@ class Watch:
         return self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
 
 
-def watch(spark: SparkSession, store: Store, roots: list[str | Path], base: str | Path, interval_s: float = INTERVAL_S, max_size: int = MAX_SIZE, debounce: bool = True, on_commit=None) -> Watch:
+def watch(spark: SparkSession, store: Store, roots: list[str | Path], base: str | Path, interval_s: float = INTERVAL_S, max_size: int = MAX_SIZE, debounce: bool = True, on_commit=None, trust_times: bool = False) -> Watch:
     """Start watching.
 
     File sources don't see deletions, so a clock drives the batches and each
     compares the folders with the index. With ``debounce``, changes wait until a
-    scan finds the same as the one before; what is committed is the latest. A
+    scan finds the same as the one before; what is committed is the latest. With
+    ``trust_times``, files of known size and time are not read again. A
     scan that can read no root, or a lock that another writer holds, is kept in
     ``failures`` and tried again at the next trigger.
     """
@@ -82,7 +83,7 @@ def watch(spark: SparkSession, store: Store, roots: list[str | Path], base: str
                 logging.getLogger(__name__).warning("nothing committed, to be tried again: %s", e)
 
     def step() -> None:
-        found = scan(spark, roots, base, max_size)
+        found = scan(spark, roots, base, max_size, known=store.refresh().state() if trust_times else None)
         try:
             if debounce:
                 changes = found.diff(store.refresh().state()).where("change <> 'unchanged'")
