@@ -8,14 +8,18 @@ and formats that scanning knows; stores are written to a folder of their own.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
+import time
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli, server
+from .engine import Engine
 from .functions.analyzer import analyze
 from .operators.index import Index
 from .operators.search import Searcher
@@ -226,6 +230,48 @@ def store_stats(spark, sf_dir):
     return spark.createDataFrame(out, "step string, docs bigint, deleted bigint, segments bigint, generation bigint, faults bigint")
 
 
+def _note_engine(spark, sf_dir) -> Engine:
+    engine = Engine(spark, _folder(spark) / "index")
+    engine.index(notes(spark, sf_dir))
+    return engine
+
+
+def results(spark, sf_dir):
+    """What the library, the HTTP interface and the command line answer to one query: the best five and the total."""
+    engine, out, printed = _note_engine(spark, sf_dir), [], []
+    cli.main(["search", '"en file"', "-n", "5", "--json", "--index", str(engine.store.folder)], spark, printed.append)
+    found = {"library": engine.results('"en file"', 5), "http": server.answer(engine, "/api/search?q=%22en%20file%22&n=5")[1], "command line": json.loads("\n".join(printed))}
+    for way, answer in found.items():
+        out += [(way, h["path"], answer["total"]) for h in answer["hits"]]
+    return spark.createDataFrame(out, "way string, path string, total bigint")
+
+
+def watch_state(spark, sf_dir):
+    """The state that a watch has committed of a folder of files, one a note, after half of them were changed and it was stopped."""
+    folder, seen = _folder(spark), []
+    rows = [(r["path"], r["body"]) for r in notes(spark, sf_dir).select("path", "body").toLocalIterator()]
+
+    def write(some, text):
+        for path, body in some:
+            (folder / path).parent.mkdir(parents=True, exist_ok=True)
+            (folder / path).write_text(text(body))
+
+    def committed(what, n):
+        until = time.time() + 120
+        while sum(counts.get(what, 0) for counts in list(seen)) < n and time.time() < until:
+            time.sleep(0.1)
+
+    write(rows, lambda body: body)
+    engine = Engine(spark, folder / ".searchindex")
+    running = engine.watch([folder], 0.2, on_commit=seen.append)
+    committed("add", len(rows))
+    changed = [r for r in rows if "/en/" in r[0]]
+    write(changed, lambda body: body + " neu")
+    committed("update", len(changed))
+    running.stop()
+    return engine.store.refresh().state().select("path", "size", "sha256")
+
+
 QUERIES = {
     **{f"notes_{k}": _matches(q) for k, (q, _) in MATCHES.items()},
     "notes_postings": note_postings,
@@ -233,6 +279,8 @@ QUERIES = {
     "snippet_word": _snippets("file -parse", False),
     "snippet_utf16": _snippets("wide* OR zzz~", True),
     "why_not": why_not,
+    "results": results,
+    "watch_state": watch_state,
     "scan_sniff": scan_sniff,
     "extract_files": extract_files,
     "scan_ignore": scan_ignore,
@@ -258,6 +306,9 @@ ORACLE_SQL = {
         concat_ws(',', CASE WHEN lang <> 'de' THEN 'filter_fail' END, CASE WHEN doc_id % 5 = 1 THEN 'not_triggered' END) AS statuses,
         CAST(CASE WHEN (lang <> 'de') <> (doc_id % 5 = 1) THEN 1 ELSE 0 END AS BIGINT) AS suggestions FROM notes WHERE doc_id < 4
         UNION ALL SELECT 'notes/none.txt', false, false, '', 0""",
+    "results": _NOTES + """, best AS (SELECT path, count(*) OVER () AS total FROM notes WHERE lang = 'en' ORDER BY path LIMIT 5)
+        SELECT way, path, total FROM best, (SELECT unnest(['library', 'http', 'command line']) AS way)""",
+    "watch_state": _NOTES + """, now AS (SELECT path, body || CASE WHEN lang = 'en' THEN ' neu' ELSE '' END AS body FROM notes) SELECT path, strlen(body) AS size, sha256(body) AS sha256 FROM now""",
     "scan_sniff": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf8' WHEN 1 THEN 'utf16le' WHEN 2 THEN 'binary' ELSE 'nonutf8' END AS kind,
         CASE WHEN doc_id % 4 < 2 THEN sha256(coalesce(text, '') || 'x') END AS text_sha256 FROM documents""",
     "extract_files": """SELECT 'd/f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.html' END AS path,
