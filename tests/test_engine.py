@@ -99,6 +99,27 @@ def test_scan_diff_and_commit(spark, folder):
     assert listing([Path("/usr")], folder)[0][0][4] == "outside_root"
 
 
+def test_tasks_walk_as_the_driver_does(spark, tmp_path, monkeypatch):
+    from textmill.sources import scan as module
+
+    for k in range(40):
+        file = tmp_path / f"a{k % 3}" / f"b{k % 5}" / f"c{k}" / f"f{k}.{'log' if k % 4 == 0 else 'md'}"
+        file.parent.mkdir(parents=True)
+        file.write_text(f"text {k}")
+    (tmp_path / ".gitignore").write_text("*.log\n/a2/b1\n")
+    (tmp_path / "a1" / "b0").mkdir(exist_ok=True)
+    (tmp_path / "a1" / ".searchignore").write_text("!*.log\nc7/\n")
+    (tmp_path / "a0" / "link").symlink_to(tmp_path / "a1")
+    want, read = listing([tmp_path], tmp_path)
+    for folders, rows in ((256, 10_000), (1, 10_000), (4, 10_000), (256, 3)):
+        monkeypatch.setattr(module, "FOLDERS", folders)
+        monkeypatch.setattr(module, "DRIVER_ROWS", rows)
+        files, roots = module.files_under(spark, [tmp_path], tmp_path)
+        assert sorted(tuple(r) for r in files.collect()) == want and roots == read
+    twice, _ = module.files_under(spark, [tmp_path, tmp_path / "a1"], tmp_path)
+    assert sorted(tuple(r)[0] for r in twice.collect()) == [r[0] for r in want]
+
+
 def test_scan_that_trusts_times(spark, folder):
     store = Store(spark, folder / ".searchindex")
     store.commit(scan(spark, [folder], folder, max_size=200).docs)

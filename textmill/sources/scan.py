@@ -1,13 +1,15 @@
-"""Folders to documents: a listing on the driver, everything about contents on the executors.
+"""Folders to documents: the driver begins the listing, executors do the rest.
 
-The driver walks names only, as ignore rules need a folder's context. Bytes are
-read, hashed, sniffed and extracted in tasks, and the comparison with what is
-indexed already is a join.
+The driver walks names until there are enough folders to deal out, each with the
+ignore rules above it; tasks walk what is below. Bytes are read, hashed, sniffed
+and extracted in tasks, and the comparison with what is indexed already is a
+join.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import stat
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -21,6 +23,8 @@ from .ignore import Levels, folder_rules, levels_of
 
 MAX_SIZE = 2 << 20
 SKIPS = ("ignored", "too_large", "binary", "non_utf8", "symlink", "read_error", "outside_root")
+#: Folders, or files, that the driver lists before tasks go on.
+FOLDERS, DRIVER_ROWS = 256, 10_000
 FILES = "path string, full string, size bigint, mtime bigint, skip string"
 STATE = "path string, size bigint, mtime bigint, sha256 string"
 
@@ -36,14 +40,14 @@ class Scan:
     docs: DataFrame
     skipped: DataFrame
     roots: list[str] = field(default_factory=list)
-    contents: DataFrame | None = None
+    kept: tuple[DataFrame, ...] = ()
     #: Files that were not read, as size and time are those of a known state: path, mtime, sha256.
     same: DataFrame | None = None
 
     def release(self) -> None:
-        """Forget the contents that the executors keep for the two results; read again, they are made again."""
-        if self.contents is not None:
-            self.contents.unpersist()
+        """Forget the names and contents that the executors keep for the two results; read again, they are made again."""
+        for rows in self.kept:
+            rows.unpersist()
 
     def skip_counts(self) -> DataFrame:
         return self.skipped.groupBy("skip").agg(F.count(F.lit(1)).alias("files"))
@@ -75,53 +79,102 @@ def relative(path: Path, base: Path) -> str | None:
         return None
 
 
-def listing(roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE) -> tuple[list[tuple], list[str]]:
-    """Files under ``roots`` as rows of FILES, in order of path, and the roots that could be read. Links are not followed."""
-    base, rows, read = Path(base).absolute(), [], []
+class Walk:
+    """Goes through folders; ``rows`` are those of FILES that it has met. Links are not followed."""
+
+    def __init__(self, base: str | Path, max_size: int = MAX_SIZE):
+        self.base, self.max_size, self.rows = Path(base).absolute(), max_size, []
 
-    def visit(full: Path, path: str, levels: Levels) -> None:
+    def visit(self, full: Path, path: str, levels: Levels) -> list[tuple[Path, str, Levels]]:
+        """A row for what is no folder; a folder that is not left out is returned."""
         try:
             info = full.lstat()
         except OSError:
-            rows.append((path, str(full), None, None, "read_error"))
-            return
+            self.rows.append((path, str(full), None, None, "read_error"))
+            return []
         if levels.ignored(path):
-            rows.append((path, str(full), None, None, "ignored"))
+            self.rows.append((path, str(full), None, None, "ignored"))
         elif stat.S_ISLNK(info.st_mode):
-            rows.append((path, str(full), None, None, "symlink"))
+            self.rows.append((path, str(full), None, None, "symlink"))
         elif stat.S_ISDIR(info.st_mode):
-            walk(full, path, levels)
+            return [(full, path, levels)]
         elif stat.S_ISREG(info.st_mode):
-            rows.append((path, str(full), info.st_size, int(info.st_mtime), "too_large" if info.st_size > max_size else None))
+            self.rows.append((path, str(full), info.st_size, int(info.st_mtime), "too_large" if info.st_size > self.max_size else None))
+        return []
 
-    def walk(folder: Path, path: str, levels: Levels) -> bool:
+    def open(self, folder: Path, path: str, levels: Levels) -> list[tuple[Path, str, Levels]] | None:
+        """The folders in a folder; None if it can't be read."""
         try:
             names = sorted(os.listdir(folder))
         except OSError:
-            rows.append((path, str(folder), None, None, "read_error"))
-            return False
-        inner = levels.below(folder_rules(folder, base))
-        for name in names:
-            visit(folder / name, f"{path}/{name}" if path else name, inner)
-        return True
-
-    for root in (Path(r).absolute() for r in roots):
-        path = relative(root, base)
-        if path is None:
-            rows.append((root.as_posix(), str(root), None, None, "outside_root"))
-            continue
-        path = "" if path == "." else path
-        above = levels_of(path, base) if path else Levels()
-        if root.is_dir():
-            if walk(root, path, above):
+            self.rows.append((path, str(folder), None, None, "read_error"))
+            return None
+        inner = levels.below(folder_rules(folder, self.base))
+        return [x for name in names for x in self.visit(folder / name, f"{path}/{name}" if path else name, inner)]
+
+    def begin(self, roots: list[str | Path]) -> tuple[list, list[str]]:
+        """The folders in ``roots``, and the roots that could be read."""
+        folders, read = [], []
+        for root in (Path(r).absolute() for r in roots):
+            path = relative(root, self.base)
+            if path is None:
+                self.rows.append((root.as_posix(), str(root), None, None, "outside_root"))
+                continue
+            path = "" if path == "." else path
+            above = levels_of(path, self.base) if path else Levels()
+            if root.is_dir():
+                inner = self.open(root, path, above)
+                if inner is not None:
+                    folders += inner
+                    read.append(path)
+            elif root.exists():
+                self.visit(root, path, above)
                 read.append(path)
-        elif root.exists():
-            visit(root, path, above)
-            read.append(path)
-        else:
-            rows.append((path, str(root), None, None, "read_error"))
-    rows = sorted({r[0]: r for r in rows}.values())
-    return rows, read
+            else:
+                self.rows.append((path, str(root), None, None, "read_error"))
+        return folders, read
+
+    def on(self, folders: list, most_folders: float = float("inf"), most_rows: float = float("inf")) -> list:
+        """Open folders, level by level, while there are few; those that are left."""
+        while folders and len(folders) < most_folders and len(self.rows) < most_rows:
+            folders = folders[1:] + (self.open(*folders[0]) or [])
+        return folders
+
+
+def listing(roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE) -> tuple[list[tuple], list[str]]:
+    """Files under ``roots`` as rows of FILES, in order of path, and the roots that could be read; all by this process."""
+    walk = Walk(base, max_size)
+    folders, read = walk.begin(roots)
+    walk.on(folders)
+    return sorted({r[0]: r for r in walk.rows}.values()), read
+
+
+def _walk_on(base: Path, max_size: int):
+    def run(batches):
+        for x in batches:
+            for folder in x.column(0).to_pylist():
+                walk, left = Walk(base, max_size), [pickle.loads(folder)]
+                while left:  # some rows at a time, as a folder can have any number below it
+                    left = walk.on(left, most_rows=10_000)
+                    columns = list(zip(*walk.rows, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "full", "size", "mtime", "skip"])
+                    walk.rows.clear()
+
+    return run
+
+
+def files_under(spark: SparkSession, roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE) -> tuple[DataFrame, list[str]]:
+    """As :func:`listing`, but the driver goes no further than FOLDERS folders or DRIVER_ROWS files; tasks walk what is below."""
+    walk = Walk(base, max_size)
+    folders, read = walk.begin(roots)
+    if roots and not read:
+        raise ScanError("no root could be read: " + ", ".join(map(str, roots)))
+    folders = walk.on(folders, FOLDERS, DRIVER_ROWS)
+    files = spark.createDataFrame(walk.rows, FILES)
+    if folders:
+        rest = spark.createDataFrame([(pickle.dumps(f),) for f in folders], "folder binary").repartition(len(folders))
+        files = files.unionByName(rest.mapInArrow(_walk_on(walk.base, max_size), FILES))
+    return files.dropDuplicates(["path"]) if len(roots) > 1 else files, read
 
 
 def _read(batches):
@@ -155,10 +208,8 @@ def scan(spark: SparkSession, roots: list[str | Path], base: str | Path, max_siz
     sha256) is given: what has its size and time is then taken to be unchanged
     and is not read, so a change that keeps both goes unseen.
     """
-    rows, read = listing(roots, base, max_size)
-    if roots and not read:
-        raise ScanError("no root could be read: " + ", ".join(map(str, roots)))
-    files = spark.createDataFrame(rows, FILES)
+    files, read = files_under(spark, roots, base, max_size)
+    files = files.persist()  # walked once, for what is read and for what is skipped
     wanted = files.where(F.col("skip").isNull()).withColumn("ext", extension(F.col("path")))
     same = None
     if known is not None:
@@ -169,4 +220,4 @@ def scan(spark: SparkSession, roots: list[str | Path], base: str | Path, max_siz
     contents = wanted.repartition(n, "path").mapInArrow(_read, "path string, ext string, size bigint, mtime bigint, sha256 string, text string, skip string").persist()
     docs = extract(contents.where(F.col("skip").isNull()).drop("skip")).select("path", "title", "body", "ext", "size", "mtime", "sha256")
     skipped = files.where(F.col("skip").isNotNull()).select("path", "skip").unionByName(contents.where(F.col("skip").isNotNull()).select("path", "skip"))
-    return Scan(docs, skipped, read, contents, same)
+    return Scan(docs, skipped, read, (files, contents), same)
