@@ -21,8 +21,10 @@ from .common import prepare, saved
 RATIO = 0.1
 #: Pages that make a line a repeated one.
 REPEATED = 2
-#: Parts that a host's pages are dealt to when they meet the host's boilerplate.
+#: Parts that a host's lines and pages are dealt to when they meet the host's total and boilerplate.
 SALTS = 16
+#: Hosts whose numbers of pages are broadcast at most.
+BROADCAST_HOSTS = 100_000
 #: Boilerplate marks (of 32 bytes) of all hosts that are broadcast at most.
 BROADCAST_MARKS = 200_000
 
@@ -54,11 +56,19 @@ def boilerplate(rows: DataFrame, ratio: float, min_pages: int = REPEATED) -> Dat
     pages = rows.where(F.col("host").isNotNull())
     marks = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.md5(x)))
     seen = pages.select("host", F.explode(marks).alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    frequent = seen.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") / F.col("pages") > ratio)
+    total = saved(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), rows.count())
+    frequent = _with_pages(seen.where(F.col("n") >= min_pages), total).where(F.col("n") / F.col("pages") > ratio)
     return frequent.groupBy("host").agg(F.collect_set("mark").alias("marks"))
 
 
+def _with_pages(seen: DataFrame, total: DataFrame) -> DataFrame:
+    """``seen`` with its host's pages. All lines of a host never meet in one task: the totals are broadcast where they are few, else sent to each part of a host."""
+    if total.count() <= BROADCAST_HOSTS:
+        return seen.join(F.broadcast(total), "host")
+    there = total.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return seen.withColumn("_salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).join(there, ["host", "_salt"]).drop("_salt")
+
+
 def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """``rows`` (any columns besides host and lines) with ``kept``: the lines that are not their host's boilerplate.
 
