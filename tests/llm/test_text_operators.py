@@ -404,7 +404,11 @@ def brute_pages(rows, ratio=0.1):
     return out
 
 
-def test_line_dedup_of_pages_of_all_kinds(spark):
+@pytest.mark.parametrize("most", [100_000, -1])
+def test_line_dedup_of_pages_of_all_kinds(spark, most, monkeypatch):
+    from textmill.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_HOSTS", most)
     rng = np.random.default_rng(0)
     rows = [(k, f"http://h{rng.integers(0, 6)}.example/x", "".join(f"<p>line {int(x)}</p>" for x in rng.geometric(0.08, 8))) for k in range(150)]
     rows += [rows[3], rows[3], (None, rows[4][1], "<p>line 1</p>"), (900, None, "<p>line 1</p>"), (901, "http://h1.example/", None), (902, "http://h1.example/", ""), (903, "http://h2.example/", "".join(f"<p>long {k}</p>" for k in range(20000)))]
