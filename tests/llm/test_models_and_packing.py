@@ -184,6 +184,26 @@ def test_toxicity_is_kneser_ney(spark):
         assert np.isclose(sum(model.word(w) for w in seen) + model.word("unheard"), 1)
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    """More documents of either class than a sample has; each has a word of its own, and what is looked up by bounds gives the plain scores."""
+    rng = random.Random(3)
+    learn = [i for i in range(12000) if zlib.crc32(str(i).encode()) % 3 != 1][:7200]
+    toxic = {i: int(k % 3 == 0) for k, i in enumerate(learn)}  # 2,400 and 4,800
+    text = lambda i: " ".join([f"own{i}", *(f"w{rng.randrange(40)}" for _ in range(8)), *(["vile", f"scum{i % 50}"] if toxic.get(i) and i % 4 else [])])
+    rows = [(i, text(i)) for i in learn] + [(20000 + i, f"vile scum{i} w{i} own{learn[i]} w3 unheard{i}") for i in range(60)] + [(None, None), (3, ""), (30000, "vile " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    models = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int"))
+    alone, _, _ = models.differences(*text_bytes(pa.array([" ".join(f"own{i}" for i in learn)])))
+    for label, n in ((1, 1600), (0, 3200)):  # two thirds of a class are counted, each with its own word
+        mine = np.array([toxic[i] == label for i in learn])
+        assert (((alone - models.unknown) * (1 if label else -1))[mine] > 0.01).sum() == n
+    want = dict(zip([t for _, t in rows], models.score(*text_bytes(pa.array([t for _, t in rows]))), strict=True))
+    got = toxicity.toxicity(docs, spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int"))
+    got = got.join(spark.createDataFrame([r for r in rows if r[0]], "doc_id bigint, text string").distinct(), "doc_id").collect()
+    assert len(got) >= len(rows) - 2 and all(abs(r.score - want[r.text]) < 1e-9 for r in got if r.doc_id != 3)
+    assert models.weights.any() and want["vile " * 500] > 0.7
+
+
 def test_margin_and_length():
     each, first = np.array([3.0, -1, 0.5, 2, 2]), np.array([0, 3, 3, 5])
     assert np.allclose(toxicity.Models.beyond(each, first, 1.0), [2 / np.sqrt(3), 0, 2 / np.sqrt(2)])

@@ -1,36 +1,43 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 8).
 
-A model of toxic and one of ordinary documents are learned from a bounded
-sample of labelled documents, each of words and of pairs of words. What is
+A model of toxic and one of ordinary documents are learned from all labelled
+documents that may be learned from, each of words and of pairs of words. What is
 counted is Kneser-Ney's number of different contexts that an expression occurs
 in, a context being a document; so neither repetition in a text nor copies of a
 text count. A count loses the discount of modified Kneser-Ney, which the counts
 of counts give, and what is taken away goes to the backoff: a pair's to its
 last word in the same class, a word's to one distribution that both classes
-share, in how many documents of the whole corpus each word occurs. These counts
-are a distributed table of all the corpus's words, so rare expressions of
-either class are smoothed by the same counts.
+share, in how many documents of the whole corpus each word occurs.
 
 A text is compared by the differences of the two classes' log-likelihoods, word
 by word, of either order. A toxic text is toxic in few of its words, and topic
 and language move all others a little; so what a difference exceeds a margin by
 is summed, and the sum is divided by the root of the text's length, by which
 sums of chance differences grow. The margin and a logistic function of both
-orders' values are fitted on the labelled documents that were not counted.
+orders' values are fitted on the third of the labelled documents that is not
+counted.
+
+All counts grow with the corpus and stay distributed tables. Tasks hold three
+arrays of a fixed size, which bound every difference from above: only words
+whose bound exceeds the margin, which alone can add to a sum, are sent to the
+tables to be looked up. Bounds that are too high cost a look-up and change no
+result.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, trimmed
-from .labels import remainder, training_sample
+from .common import forget, freeing, lookup, packed, prepare, saved, slices, trimmed
+from .labels import remainder, thirds, training_sample  # noqa: F401 (a bounded sample is what tests compare with)
 from .words import IS_BREAK, LOWER, U, find_words, mix, text_bytes, word_hashes
 
-#: Labelled documents that are learned from, at most: toxic and ordinary.
+#: Bound of a sample (training_sample) to compare with, toxic and ordinary; the models are learned from all labelled documents.
 PER_CLASS = {1: 2000, 0: 4000}
 THRESHOLD = 0.7
 #: Margins, in units of log-likelihood, of which the labels choose one.
@@ -39,7 +46,13 @@ MARGINS = tuple(k / 2 for k in range(11))
 USUAL = 0.75
 #: Different words that a task combines before it sends their counts (16 bytes each).
 COMBINED = 1 << 20
+#: Slots of each array of bounds, as a power of two; a slot's byte says the highest level in it.
+SLOT_BITS = 23
+#: Pairs are looked up in rounds, of about ROUND_PAIRS each but ROUNDS at most, so that only a round's shuffles are on disk at a time.
+ROUNDS, ROUND_PAIRS = 4, 1 << 20
 _START = U(0x9E3779B97F4A7C15)
+#: The bounds that levels mean; differences above the last have the highest, below the first the lowest.
+_LEVELS = np.append(-8 + np.arange(255) / 8, np.inf)
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,17 +69,14 @@ def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(before * U(0xD1342543DE82EF95) + h)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``wanted`` are in the sorted ``keys``, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return place, keys[place] == wanted
-
-
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney's discounts of counts 1, 2, and 3 or more, between 0 and the count, from the counts of counts."""
-    n = [0, *((counts == k).sum() for k in range(1, 5))]
+    return _discounts([(counts == k).sum() for k in range(1, 5)])
+
+
+def _discounts(times) -> np.ndarray:
+    """The same, of how many counts are 1, 2, 3 and 4."""
+    n = [0, *times]
     out = USUAL * np.arange(1.0, 4.0)
     if n[1] and n[2]:
         y = n[1] / (n[1] + 2 * n[2])
@@ -77,107 +87,50 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-class Counts:
-    """One class: in how many different documents each word and each pair occurs, and what the discounts leave."""
-
-    def __init__(self, h: np.ndarray, before: np.ndarray, first: np.ndarray):
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(U)
-        self.words, self.n, _ = _in_documents(h, doc)
-        self.pairs, self.m, one = _in_documents(pair(before, h), doc)
-        self.contexts, self.last = before[one], h[one]
-        self.total = max(self.n.sum(), 1)
-        taken = np.minimum(self.n, discounts(self.n)[np.minimum(self.n, 3).astype(int) - 1]) if len(self.n) else self.n
-        self.kept, self.left = (self.n - taken) / self.total, taken.sum() / self.total if len(self.n) else 1.0
-        # by context: the sum of its pairs' counts, and the share that its discounts take
-        self.known, at = np.unique(self.contexts, return_inverse=True)
-        taken = discounts(self.m)[np.minimum(self.m, 3).astype(int) - 1] if len(self.m) else self.m
-        sums = np.bincount(at, weights=self.m, minlength=len(self.known))
-        self.rest = np.bincount(at, weights=taken, minlength=len(self.known)) / np.maximum(sums, 1)
-        self.pair_kept = (self.m - taken) / np.maximum(sums, 1)[at]
-
-    def word(self, wanted: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """P(word), given the words' shared probabilities."""
-        place, there = find(self.words, wanted)
-        return np.where(there, self.kept[place] if len(self.kept) else 0.0, 0.0) + self.left * shared
-
-    def backoff(self, contexts: np.ndarray) -> np.ndarray:
-        """The share of a context that goes to the word alone; all of it where the class has not seen the context."""
-        place, there = find(self.known, contexts)
-        return np.where(there, self.rest[place] if len(self.rest) else 1.0, 1.0)
-
-    def pair(self, wanted: np.ndarray, contexts: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """P(word | context), given P(word)."""
-        place, there = find(self.pairs, wanted)
-        return np.where(there, self.pair_kept[place] if len(self.pair_kept) else 0.0, 0.0) + self.backoff(contexts) * word
-
-
-def _in_documents(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys, in how many documents each occurs, and where each is first."""
-    found, one, at = np.unique(keys, return_index=True, return_inverse=True)
-    each = np.unique(at.astype(np.int64) * (int(doc.max(initial=0)) + 1) + doc.astype(np.int64))
-    return found, np.bincount(each // (int(doc.max(initial=0)) + 1), minlength=len(found)).astype(float), one
-
+# counts of the classes
 
-class Models:
-    """Both classes' models as differences of log-probabilities. ``vocabulary`` has the words of either class, ``shared`` their probabilities in the corpus."""
-
-    def __init__(self, vocabulary: np.ndarray, toxic: Counts, ordinary: Counts, shared: np.ndarray):
-        both = toxic, ordinary
-        self.vocabulary = vocabulary
-        low = [c.word(vocabulary, shared) for c in both]
-        self.words, self.unknown = np.log(low[0] / low[1]), float(np.log(toxic.left / ordinary.left))
-        self.contexts = np.union1d(toxic.known, ordinary.known)
-        self.rest = np.log(toxic.backoff(self.contexts) / ordinary.backoff(self.contexts))
-        self.pairs, one = np.unique(np.concatenate([c.pairs for c in both]), return_index=True)
-        context, last = (np.concatenate(x)[one] for x in ([c.contexts for c in both], [c.last for c in both]))
-        at = find(vocabulary, last)[0]
-        high = [c.pair(self.pairs, context, p[at]) for c, p in zip(both, low, strict=True)]
-        self.bigrams = np.log(high[0] / high[1])
-        self.margin, self.scale, self.weights = 0.0, np.ones(2), np.zeros(3)
+def _in_documents(keys: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, where each is first, and in how many toxic and ordinary documents each occurs."""
+    found, one, at = np.unique(keys, return_index=True, return_inverse=True)
+    key, doc = np.divmod(np.unique(at.astype(np.int64) * max(len(y), 1) + doc), max(len(y), 1))
+    return found, one, np.stack([np.bincount(key[y[doc] == k], minlength=len(found)) for k in (1, 0)], 1)
 
-    def differences(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every word: log P(word | toxic) - log P(word | ordinary), alone and after the word before; and each text's first word."""
-        h, before, first = words_of(data, at)
-        where, known = find(self.vocabulary, h)
-        alone = np.where(known, self.words[where] if len(self.words) else 0.0, self.unknown)
-        there, seen = find(self.contexts, before)
-        after = alone + np.where(seen, self.rest[there] if len(self.rest) else 0.0, 0.0)
-        there, seen = find(self.pairs, pair(before, h))
-        return alone, np.where(seen, self.bigrams[there] if len(self.bigrams) else 0.0, after), first
 
-    @staticmethod
-    def beyond(each: np.ndarray, first: np.ndarray, margin: float) -> np.ndarray:
-        """By text: what the differences exceed the margin by, summed, over the root of the text's words; 0 for texts without words."""
-        total = np.concatenate([[0], np.cumsum(np.maximum(each - margin, 0))])
-        return (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))
+def _combined(parts: list) -> list:
+    """Counts of equal expressions added; an expression is (is it a word, context, last word)."""
+    kind, context, last, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((last, context, kind))
+    kind, context, last, n = kind[order], context[order], last[order], n[order]
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (context[1:] != context[:-1]) | (last[1:] != last[:-1])
+    at = np.flatnonzero(new)
+    return [(kind[at], context[at], last[at], np.add.reduceat(n, at) if len(at) else n)]
 
-    def _values(self, each: tuple, margin: float) -> np.ndarray:
-        alone, after, first = each
-        return np.sqrt(np.stack([self.beyond(alone, first, margin), self.beyond(after, first, margin)], 1))
-
-    def fit(self, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
-        """The margin and the logistic function under which the labels are likeliest, by Newton's steps with a ridge."""
-        if not len(y) or y.min() == y.max():
-            return
-        each, best, ridge = self.differences(data, at), -np.inf, np.diag([0.1, 0.1, 1e-3])
-        for margin in MARGINS:
-            x = self._values(each, margin)
-            scale = np.where(x.std(0) > 0, x.std(0), 1.0)
-            z, w = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(3)
-            for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
-                step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-                w = w + step
-                if np.abs(step).max() < 1e-9:
-                    break
-            p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -60, 60))), 1e-12, 1 - 1e-12)
-            likelihood = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum() - 0.5 * w @ ridge @ w
-            if likelihood > best:
-                best, self.margin, self.scale, self.weights = likelihood, margin, scale, w
 
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = self._values(self.differences(data, at), self.margin) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -60, 60)))
+@trimmed
+def _class_counts(batches):
+    """Of (label, text): in how many documents of either class words (c null) and pairs (c, w) occur; combined while a task has at most COMBINED."""
+    held, size = [], 0
+    for x in slices(batches, 1):
+        y = x.column(0).to_numpy()
+        h, before, first = words_of(*text_bytes(x.column(1)))
+        doc = np.repeat(np.arange(len(y)), np.diff(first))
+        for kind, keys in ((True, h), (False, pair(before, h))):
+            _, one, n = _in_documents(keys, doc, y)
+            held.append((np.full(len(one), kind), np.zeros(len(one), U) if kind else before[one], h[one], n))
+            size += len(one)
+        if size > 2 * COMBINED:
+            held = _combined(held)
+            size = len(held[0][0])
+            if size > COMBINED:
+                yield _expressions(*held[0])
+                held, size = [], 0
+    if held:
+        yield _expressions(*_combined(held)[0])
+
+
+def _expressions(kind, context, last, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64), mask=kind), pa.array(last.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])], ["c", "w", "toxic", "ordinary"])
 
 
 @trimmed
@@ -209,54 +162,239 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return some.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _known(vocabulary: np.ndarray):
-    """The rows of document counts whose words are in the vocabulary, by their places there."""
+# bounds
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _level(values) -> np.ndarray:
+    """The lowest level whose bound is not below the value."""
+    return np.searchsorted(_LEVELS, np.asarray(values) + 1e-9).astype(np.uint8)
+
+
+def _highest(rows: DataFrame, key, least: int) -> np.ndarray:
+    """The highest level of ``rows``' last column in each slot, ``least`` at least; ``key`` makes keys of the columns before."""
 
     def run(batches):
+        held = np.zeros(1 << SLOT_BITS, np.uint8)
         for x in batches:
-            place, known = find(vocabulary, x.column(0).to_numpy().view(U))
-            yield pa.RecordBatch.from_arrays([pa.array(place[known]), x.column(1).filter(pa.array(known))], ["place", "n"])
+            np.maximum.at(held, _slots(key(*(c.to_numpy().view(U) for c in x.columns[:-1]))), _level(x.column(x.num_columns - 1).to_numpy()))
+        slot = np.flatnonzero(held > least)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(held[slot].astype(np.int16))], ["slot", "level"])
 
-    return run
+    found = rows.mapInArrow(trimmed(run), "slot int, level smallint").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
+    out = np.full(1 << SLOT_BITS, least, np.uint8)
+    out[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Models from two thirds of the sample, shared counts from all of ``docs``, the logistic function from the last third."""
-    sample = training_sample(docs, labels, "toxic", remainder(F.col("doc_id"), 3) != 1, per_class, id_col, text_col)
-    y = sample["label"].to_numpy().astype(float)
-    number = np.zeros(len(y), np.int64)
-    for k in (0, 1):
-        number[y == k] = np.arange((y == k).sum())
-    counted = number % 3 < 2
-    # a text that several documents of a class have is counted once
-    seen, texts = set(), sample["text"].to_pylist()
-    alone = np.array([bool(c) and not ((k, t) in seen or seen.add((k, t))) for c, k, t in zip(counted, y, texts, strict=True)], bool)
-    parts, all_words = [], []
-    for k in (1, 0):
-        h, before, first = words_of(*text_bytes(sample["text"].filter(pa.array(alone & (y == k)))))
-        parts.append(Counts(h, before, first))
-        all_words.append(parts[-1].words)
-    vocabulary = np.union1d(*all_words)
-    corpus = document_counts(docs, text_col).checkpoint()
-    n_words, n_all = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # the difference of a word that the sample lacks is that of the classes' backoffs, whatever its shared probability: only the sample's words are asked for
-    found = corpus.mapInArrow(_known(vocabulary), "place bigint, n bigint").toArrow()
-    documents = np.zeros(len(vocabulary))
-    documents[found["place"].to_numpy()] = found["n"].to_numpy()
-    shared = (documents + 1) / (n_all + n_words + 1)
-    models = Models(vocabulary, *parts, shared)
-    models.fit(*text_bytes(sample["text"].filter(pa.array(~counted))), y[~counted])
-    return models
+def _same(keys: np.ndarray) -> np.ndarray:
+    return keys
 
 
-def _score(models):
+class Bounds:
+    """What differences of words, of the backoff after contexts, and of pairs that toxic documents have are at most, by slots of their hashes."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray):
+        self.words, self.contexts, self.pairs = words, contexts, pairs
+
+    def may_exceed(self, margin: float, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """False only where neither difference exceeds the margin. A pair that no toxic document has differs by its backoff's difference at most."""
+        alone = _LEVELS[self.words[_slots(h)]]
+        return (alone + np.maximum(_LEVELS[self.contexts[_slots(before)]], 0) > margin) | (_LEVELS[self.pairs[_slots(pair(before, h))]] > max(margin, _LEVELS[0]))
+
+
+def _scan(bounds, margin: float):
+    """Of rows whose last column is a text: the others, the number of words, and the different pairs (c, w) that may exceed the margin, each with its number k."""
+
     def run(batches):
-        for x in slices(batches, 2):
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(models.value.score(*text_bytes(x.column(2))))], ["doc_id", "held_out", "score"])
+        for x in slices(batches, -1):
+            h, before, first = words_of(*text_bytes(x.column(x.num_columns - 1)))
+            at = np.flatnonzero(bounds.value.may_exceed(margin, before, h))
+            doc = np.repeat(np.arange(x.num_rows), np.diff(first))[at]
+            order = np.lexsort((h[at], before[at], doc))
+            doc, c, w = doc[order], before[at][order], h[at][order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+            one = np.flatnonzero(new)
+            k = np.diff(np.append(one, len(doc)))
+            ends = pa.array(np.searchsorted(doc[one], np.arange(x.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (c[one].view(np.int64), w[one].view(np.int64), k.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(np.diff(first).astype(np.int64)), *lists], [*x.schema.names[:-1], "n_words", "c", "w", "k"])
 
     return trimmed(run)
 
 
+class Models:
+    """Both classes' models: tables of words, contexts and pairs, and what is fitted on the documents that were not counted.
+
+    ``words`` has (w, toxic, ordinary): probabilities; ``contexts`` (c, and of either class the sum of counts and the
+    backoff's share); ``pairs`` (c, w, toxic, ordinary): counts of documents, of which the discounts are taken.
+    """
+
+    def __init__(self, words: DataFrame, contexts: DataFrame, pairs: DataFrame, taken: tuple, unknown: float):
+        self.words, self.contexts, self.pairs, self.taken, self.unknown = words, contexts, pairs, taken, unknown
+        self.margin, self.scale, self.weights, self.bounds = 0.0, np.ones(2), np.zeros(3), None
+
+    def _differing(self, rows: DataFrame, mine=None) -> DataFrame:
+        """``rows`` with (c, w) and the pair's counts (null: unseen), with alone and after: the differences of w alone and after c. ``mine`` is a condition on c that all have."""
+        words = self.words.select("w", F.col("toxic").alias("_pt"), F.col("ordinary").alias("_po"))
+        found = rows.join(words, "w", "left").join((self.contexts if mine is None else self.contexts.where(mine)), "c", "left")
+        high = [(F.col(n) - _taken(n, self.taken[i])) / F.greatest(F.col(s), F.lit(1)) + F.col(b) * F.col(p) for i, (n, s, b, p) in enumerate((("toxic", "sum_t", "rest_t", "_pt"), ("ordinary", "sum_o", "rest_o", "_po")))]
+        alone = F.coalesce(F.log(F.col("_pt") / F.col("_po")), F.lit(self.unknown))
+        after = F.when(F.col("toxic").isNull(), alone + F.coalesce(F.log(F.col("rest_t") / F.col("rest_o")), F.lit(0.0))).otherwise(F.log(high[0] / high[1]))
+        return found.select(*[c for c in rows.columns if c not in ("toxic", "ordinary")], alone.alias("alone"), after.alias("after"))
+
+    def bound(self) -> None:
+        """Make the bounds."""
+        with freeing(self.words.sparkSession):
+            toxic = self._differing(self.pairs.where(F.col("toxic") > 0)).select("c", "w", "after")
+            self.bounds = self.words.sparkSession.sparkContext.broadcast(Bounds(
+                _highest(self.words.select("w", F.log(F.col("toxic") / F.col("ordinary")).alias("v")), _same, int(_level(self.unknown))),
+                _highest(self.contexts.select("c", F.log(F.col("rest_t") / F.col("rest_o")).alias("v")), _same, int(_level(0.0))),
+                _highest(toxic, pair, 0),
+            ))
+
+    def sums(self, scanned: DataFrame, margins, total: int) -> DataFrame:
+        """By row of the ``total`` pairs that :func:`_scan` found for the least of the ``margins``: the array of what both differences exceed each margin by, summed."""
+        each = scanned.select("row", F.explode(F.arrays_zip("c", "w", "k")).alias("t")).select("row", "t.c", "t.w", "t.k")
+        bounds, least = self.bounds, min(margins)
+
+        def asked(batches):
+            for x in batches:
+                yield x.filter(pa.array(bounds.value.may_exceed(least, *(x.column(i).to_numpy().view(U) for i in (0, 1)))))
+
+        beyond = [F.sum(F.col("k") * F.greatest(F.col(v) - m, F.lit(0.0))) for m in margins for v in ("alone", "after")]
+        rounds, parts = min(ROUNDS, max(1, -(-total // ROUND_PAIRS))), []
+        for r in range(rounds):
+            mine = F.pmod(F.col("c"), F.lit(rounds)) == r
+            pairs = self.pairs.where(mine).mapInArrow(asked, self.pairs.schema)
+            different = each.where(mine).groupBy("c", "w").agg(F.count(F.lit(1)).alias("n_rows"))
+            values = packed(self._differing(different.join(pairs, ["c", "w"], "left"), mine).where(F.greatest("alone", "after") > least))
+            found = lookup(each.where(mine), values, ["c", "w"], "n_rows", max(total, 1), "row").where(F.col("alone").isNotNull())
+            parts.append(packed(found.groupBy("row").agg(F.array(*beyond).alias("beyond"))))
+            del values, found
+            forget(scanned.sparkSession)
+        if rounds == 1:
+            return parts[0]
+        return functools.reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.array(*[F.sum(F.col("beyond")[i]) for i in range(2 * len(margins))]).alias("beyond"))
+
+    def measured(self, rows: DataFrame, margins) -> tuple[DataFrame, int]:
+        """``rows``, whose last column is a text, with x instead of it, and their number; x: for each margin the root of either order's sum over the root of the text's words."""
+        names = rows.columns[:-1]
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_words bigint, c array<bigint>, w array<bigint>, k array<int>"])
+        scanned = packed(rows.mapInArrow(_scan(self.bounds, min(margins)), schema).withColumn("row", F.monotonically_increasing_id()))
+        n_rows, total = scanned.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+        none = F.array(*[F.lit(0.0)] * (2 * len(margins)))
+        out = scanned.select(*names, "n_words", "row").join(self.sums(scanned, margins, total), "row", "left")
+        return out.select(*names, F.transform(F.coalesce("beyond", none), lambda v: F.sqrt(v / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))).alias("x")), n_rows
+
+    def fit(self, rows: DataFrame) -> None:
+        """The margin and the logistic function under which the labels of ``rows`` (label, text) are likeliest, by Newton's steps with a ridge."""
+        self.bound()
+        x, n_rows = self.measured(rows, MARGINS)
+        self.margin, self.scale, self.weights = _newton(saved(x, n_rows))
+
+    def differences(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word of some texts: log P(word | toxic) - log P(word | ordinary), alone and after the word before; and each text's first word."""
+        h, before, first = words_of(data, at)
+        asked = pa.table({"at": np.arange(len(h)), "c": before.view(np.int64), "w": h.view(np.int64)})
+        rows = self.words.sparkSession.createDataFrame(asked)
+        found = self._differing(rows.join(self.pairs, ["c", "w"], "left")).select("at", "alone", "after").toArrow().sort_by("at")
+        return found["alone"].to_numpy(), found["after"].to_numpy(), first
+
+    @staticmethod
+    def beyond(each: np.ndarray, first: np.ndarray, margin: float) -> np.ndarray:
+        """By text: what the differences exceed the margin by, summed, over the root of the text's words; 0 for texts without words."""
+        total = np.concatenate([[0], np.cumsum(np.maximum(each - margin, 0))])
+        return (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))
+
+    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of some texts, which the driver holds; :func:`toxicity` scores tables."""
+        alone, after, first = self.differences(data, at)
+        x = np.sqrt(np.stack([self.beyond(alone, first, self.margin), self.beyond(after, first, self.margin)], 1)) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -60, 60)))
+
+
+def _taken(n: str, d: np.ndarray):
+    """What the discounts take of a count."""
+    return F.when(F.col(n) >= 3, float(d[2])).when(F.col(n) == 2, float(d[1])).when(F.col(n) == 1, float(d[0])).otherwise(0.0)
+
+
+def _newton(rows: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """The likeliest margin, its scale and weights for (label, x); of each step the sums over all rows are gathered, ten numbers a margin."""
+    n_margins, ridge = len(MARGINS), np.diag([0.1, 0.1, 1e-3])
+    none = 0.0, np.ones(2), np.zeros(3)
+
+    def gathered(of, size):
+        def run(batches):
+            total = np.zeros(size)
+            for b in batches:
+                if b.num_rows:
+                    total += of(b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(b.num_rows, n_margins, 2)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        return np.sum([np.array(r.v) for r in rows.select("label", "x").mapInArrow(run, "v array<double>").collect()] or [np.zeros(size)], 0)
+
+    n, ones, *first = gathered(lambda y, x: np.concatenate([[len(y), y.sum()], x.sum(0).ravel()]), 2 + 2 * n_margins)
+    if not 0 < ones < n:
+        return none
+    mean = np.array(first).reshape(n_margins, 2) / n
+    scale = np.sqrt(gathered(lambda y, x: ((x - mean) ** 2).sum(0), 2 * n_margins).reshape(n_margins, 2) / n)
+    scale = np.where(scale > 0, scale, 1.0)
+    w, going = np.zeros((n_margins, 3)), np.ones(n_margins, bool)
+
+    def sums(y, x):
+        z = np.concatenate([x / scale, np.ones((len(y), n_margins, 1))], 2)
+        p = 1 / (1 + np.exp(-np.clip((z * w).sum(2), -60, 60)))
+        sure = np.clip(p, 1e-12, 1 - 1e-12)
+        slope, bend = np.einsum("nmi,nm->mi", z, y[:, None] - p), np.einsum("nmi,nm,nmj->mij", z, p * (1 - p), z)
+        likelihood = (y[:, None] * np.log(sure) + (1 - y[:, None]) * np.log(1 - sure)).sum(0)
+        return np.concatenate([slope, bend.reshape(n_margins, 9), likelihood[:, None]], 1)
+
+    for step in range(51):
+        now = gathered(sums, 13 * n_margins).reshape(n_margins, 13)
+        if step == 50 or not going.any():
+            break
+        for m in np.flatnonzero(going):
+            move = np.linalg.solve(now[m, 3:12].reshape(3, 3) + ridge, now[m, :3] - ridge @ w[m])
+            w[m] = w[m] + move
+            going[m] = np.abs(move).max() >= 1e-9
+    best = int(np.argmax(now[:, 12] - 0.5 * np.einsum("mi,ij,mj->m", w, ridge, w)))
+    return MARGINS[best], scale[best], w[best]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """Models from two thirds of the labelled documents, shared counts from all of ``docs``, the logistic function from the last third."""
+    counted, rest = thirds(docs, labels, "toxic", remainder(F.col("doc_id"), 3) != 1, id_col, text_col)
+    # a text that several documents of a class have is counted once
+    counts = packed(counted.select("label", "text").distinct().mapInArrow(_class_counts, "c bigint, w bigint, toxic bigint, ordinary bigint").groupBy("c", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    numbers = {}
+    of = [F.coalesce(F.sum(x), F.lit(0)) for k in ("toxic", "ordinary") for x in (F.col(k), *((F.col(k) == i).cast("int") for i in range(1, 5)), (F.col(k) >= 3).cast("int"))]
+    for r in counts.groupBy(F.col("c").isNull()).agg(*of).collect():
+        numbers[r[0]] = np.array(r[1:]).reshape(2, 6)
+    words, pairs = (numbers.get(k, np.zeros((2, 6), int)) for k in (True, False))
+    corpus = packed(document_counts(docs, text_col))
+    n_words, n_all = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # a word that neither class has differs by the classes' backoffs, whatever its shared probability
+    shared, of, left = (F.coalesce(F.col("n"), F.lit(0)) + 1) / F.lit(float(n_all + n_words + 1)), [], []
+    for k, x in zip(("toxic", "ordinary"), words, strict=True):
+        d, total = _discounts(x[1:5]), float(max(x[0], 1))
+        left.append(float(d @ [x[1], x[2], x[5]]) / total if x[0] else 1.0)
+        of.append(((F.col(k) - _taken(k, d)) / total + left[-1] * shared).alias(k))
+    known = packed(counts.where(F.col("c").isNull()).join(corpus.withColumnRenamed("word", "w"), "w", "left").select("w", *of))
+    pair_counts, taken = counts.where(F.col("c").isNotNull()), tuple(_discounts(x[1:5]) for x in pairs)
+    sums = [F.sum(x).alias(f"{name}_{k[0]}") for k, d in zip(("toxic", "ordinary"), taken, strict=True) for name, x in (("sum", F.col(k)), ("taken", _taken(k, d)))]
+    contexts = pair_counts.groupBy("c").agg(*sums)
+    contexts = packed(contexts.select("c", *[x for k in "to" for x in (F.col(f"sum_{k}"), F.when(F.col(f"sum_{k}") > 0, F.col(f"taken_{k}") / F.col(f"sum_{k}")).otherwise(1.0).alias(f"rest_{k}"))]))
+    models = Models(known, contexts, pair_counts, taken, float(np.log(left[0] / left[1])))
+    del counts
+    models.fit(rest.select("label", "text"))
+    forget(docs.sparkSession)
+    return models
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
@@ -267,8 +405,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    # its size is bounded by the sample's: 16 bytes a different word and pair
-    models = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
+    models = fit(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (remainder(F.col(id_col), 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_score(models), "doc_id bigint, held_out boolean, score double")
+    if models.weights.any():
+        x, _ = models.measured(rows, [models.margin])
+        z = sum((F.col("x")[i] * float(models.weights[i] / models.scale[i]) for i in (0, 1)), F.lit(float(models.weights[2])))
+        out = x.select("doc_id", "held_out", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(60.0)), F.lit(-60.0))))).alias("score"))
+    else:
+        out = rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
