@@ -204,6 +204,49 @@ def test_toxicity_learns_from_all_labelled_documents(spark):
     assert models.weights.any() and want["vile " * 500] > 0.7
 
 
+def made_rows(spark, run):
+    """What ``run`` returns, and how many rows the Python and Generate nodes of its plans made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done, n = store.executionsCount(), 0
+    out = run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in range(done, store.executionsCount()):
+        e = store.executionsList().apply(i)
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name().startswith(("MapInArrow", "Generate")):
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                n += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return out, n
+
+
+def test_toxicity_reads_each_pair_as_often_in_many_rounds(spark, monkeypatch):
+    """A round's pairs are read in that round alone; scores don't depend on the number of rounds."""
+    rng = random.Random(5)
+    learn = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = lambda i: " ".join([*(f"w{rng.randrange(60)}" for _ in range(80)), *["vile", "scum"] * (i % 4 == 1)])
+    rows = [(i, text(i)) for i in range(900)] + [(None, None), (1000, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in learn], "doc_id bigint, toxic int")
+    models = toxicity.fit(docs, labels)
+    assert models.weights.any()
+    rows = docs.select("doc_id", "text")
+    made, x = {}, {}
+    for rounds, size in ((1, 1 << 40), (3, None), (4, 1)):
+        if size is None:  # three rounds of four parts, one of which has two
+            monkeypatch.setattr(toxicity, "ROUNDS", 3)
+            size = 1
+        else:
+            monkeypatch.setattr(toxicity, "ROUNDS", 4)
+        monkeypatch.setattr(toxicity, "ROUND_PAIRS", size)
+        got, made[rounds] = made_rows(spark, lambda: models.measured(rows, toxicity.MARGINS)[0].collect())
+        x[rounds] = sorted(((-1 if r.doc_id is None else r.doc_id), *r.x) for r in got)
+    assert len(x[1]) == len(rows.collect()) and any(sum(v[1:]) > 1 for v in x[1])
+    assert np.allclose(x[1], x[3], atol=1e-12) and np.allclose(x[1], x[4], atol=1e-12)
+    assert made[1] > 100_000 and made[4] < 1.5 * made[1]
+
+
 def test_margin_and_length():
     each, first = np.array([3.0, -1, 0.5, 2, 2]), np.array([0, 3, 3, 5])
     assert np.allclose(toxicity.Models.beyond(each, first, 1.0), [2 / np.sqrt(3), 0, 2 / np.sqrt(2)])

@@ -97,13 +97,17 @@ def saved(rows: DataFrame, at_most: int | None) -> DataFrame:
     return rows.coalesce(_tasks(rows.sparkSession, -(-at_most // FILE_ROWS))).checkpoint()
 
 
+def _compressed(x: pa.RecordBatch) -> pa.Array:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, x.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(x)
+    return pa.array([out.getvalue().to_pybytes()], pa.binary())
+
+
 def _pack(batches):
     for x in batches:
         if x.num_rows:
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, x.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(x)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+            yield pa.RecordBatch.from_arrays([_compressed(x)], ["batch"])
 
 
 def _unpack(batches):
@@ -118,6 +122,40 @@ def packed(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(trimmed(_pack), "batch binary").checkpoint().mapInArrow(_unpack, rows.schema)
 
 
+def in_parts(x: pa.RecordBatch, part: np.ndarray):
+    """The rows of ``x`` by part, as :class:`Dealt` takes them."""
+    for p in np.unique(part):
+        mine = x.filter(pa.array(part == p))
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([mine.num_rows], pa.int64()), _compressed(mine)], ["part", "n", "batch"])
+
+
+class Dealt:
+    """A checkpoint like that of :func:`packed`, of rows in parts, which may differ in their columns; parts that are not asked for are not unpacked."""
+
+    SCHEMA = "part int, n bigint, batch binary"
+
+    def __init__(self, batches: DataFrame):
+        with freeing(batches.sparkSession):
+            self._batches = batches.checkpoint()
+
+    @classmethod
+    def by(cls, rows: DataFrame, part) -> Dealt:
+        """``rows`` by the integer column ``part``, which is not kept."""
+
+        def run(batches):
+            for x in batches:
+                yield from in_parts(x.select(x.schema.names[:-1]), x.column(x.num_columns - 1).to_numpy())
+
+        return cls(rows.withColumn("_part", part.cast("int")).mapInArrow(trimmed(run), cls.SCHEMA))
+
+    def of(self, parts, schema) -> DataFrame:
+        return self._batches.where(F.col("part").isin(*parts)).select("batch").mapInArrow(_unpack, schema)
+
+    def numbers(self) -> dict[int, int]:
+        """How many rows each part has that has any."""
+        return dict(self._batches.groupBy("part").agg(F.sum("n")).collect())
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark's cleaner see which tables nobody holds any longer: it deletes shuffles, and checkpoints where it may, only after a collection on the driver."""
     gc.collect()

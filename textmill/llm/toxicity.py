@@ -30,10 +30,11 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, freeing, lookup, packed, prepare, saved, slices, trimmed
+from .common import Dealt, forget, freeing, in_parts, lookup, packed, prepare, saved, slices, trimmed
 from .labels import remainder, thirds, training_sample  # noqa: F401 (a bounded sample is what tests compare with)
 from .words import IS_BREAK, LOWER, U, find_words, mix, text_bytes, word_hashes
 
@@ -50,6 +51,10 @@ COMBINED = 1 << 20
 SLOT_BITS = 23
 #: Pairs are looked up in rounds, of about ROUND_PAIRS each but ROUNDS at most, so that only a round's shuffles are on disk at a time.
 ROUNDS, ROUND_PAIRS = 4, 1 << 20
+#: Tables of pairs and contexts are dealt by context into a part for each of ROUNDS, so that a round reads its own parts alone; words, or documents, are another part.
+PARTS, OTHERS = range(ROUNDS), ROUNDS
+_CONTEXTS = "c bigint, sum_t bigint, rest_t double, sum_o bigint, rest_o double"
+_COUNTS = "c bigint, w bigint, toxic bigint, ordinary bigint"
 _START = U(0x9E3779B97F4A7C15)
 #: The bounds that levels mean; differences above the last have the highest, below the first the lowest.
 _LEVELS = np.append(-8 + np.arange(255) / 8, np.inf)
@@ -205,23 +210,35 @@ class Bounds:
         return (alone + np.maximum(_LEVELS[self.contexts[_slots(before)]], 0) > margin) | (_LEVELS[self.pairs[_slots(pair(before, h))]] > max(margin, _LEVELS[0]))
 
 
+def _part(c):
+    """The part of a context, a column or an array."""
+    return c.view(np.int64) % len(PARTS) if isinstance(c, np.ndarray) else F.pmod(c, F.lit(len(PARTS)))
+
+
 def _scan(bounds, margin: float):
-    """Of rows whose last column is a text: the others, the number of words, and the different pairs (c, w) that may exceed the margin, each with its number k."""
+    """Of rows whose last column is a text, dealt: (row, c, w, k), the different pairs of a row that may exceed the margin, each with its number; and as OTHERS the other columns, the number of words and row."""
 
     def run(batches):
-        for x in slices(batches, -1):
-            h, before, first = words_of(*text_bytes(x.column(x.num_columns - 1)))
-            at = np.flatnonzero(bounds.value.may_exceed(margin, before, h))
-            doc = np.repeat(np.arange(x.num_rows), np.diff(first))[at]
-            order = np.lexsort((h[at], before[at], doc))
-            doc, c, w = doc[order], before[at][order], h[at][order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-            one = np.flatnonzero(new)
-            k = np.diff(np.append(one, len(doc)))
-            ends = pa.array(np.searchsorted(doc[one], np.arange(x.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (c[one].view(np.int64), w[one].view(np.int64), k.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(np.diff(first).astype(np.int64)), *lists], [*x.schema.names[:-1], "n_words", "c", "w", "k"])
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            docs, pairs = [], []
+            for x in slices([batch], -1):
+                h, before, first = words_of(*text_bytes(x.column(x.num_columns - 1)))
+                at = np.flatnonzero(bounds.value.may_exceed(margin, before, h))
+                doc = np.repeat(np.arange(row, row + x.num_rows), np.diff(first))[at]
+                order = np.lexsort((h[at], before[at], doc))
+                doc, c, w = doc[order], before[at][order], h[at][order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+                one = np.flatnonzero(new)
+                docs.append((np.diff(first), np.arange(row, row + x.num_rows)))
+                pairs.append((doc[one], c[one], w[one], np.diff(np.append(one, len(doc)))))
+                row += x.num_rows
+            if docs:
+                n_words, rows = (pa.array(np.concatenate(v).astype(np.int64)) for v in zip(*docs, strict=True))
+                doc, c, w, k = (np.concatenate(v) for v in zip(*pairs, strict=True))
+                yield from in_parts(pa.RecordBatch.from_arrays([*batch.columns[:-1], n_words, rows], [*batch.schema.names[:-1], "n_words", "row"]), np.full(batch.num_rows, OTHERS))
+                yield from in_parts(pa.RecordBatch.from_arrays([pa.array(doc), pa.array(c.view(np.int64)), pa.array(w.view(np.int64)), pa.array(k.astype(np.int32))], ["row", "c", "w", "k"]), _part(c))
 
     return trimmed(run)
 
@@ -230,17 +247,17 @@ class Models:
     """Both classes' models: tables of words, contexts and pairs, and what is fitted on the documents that were not counted.
 
     ``words`` has (w, toxic, ordinary): probabilities; ``contexts`` (c, and of either class the sum of counts and the
-    backoff's share); ``pairs`` (c, w, toxic, ordinary): counts of documents, of which the discounts are taken.
+    backoff's share); ``counts`` (c, w, toxic, ordinary): of pairs, in how many documents, of which the discounts are taken.
     """
 
-    def __init__(self, words: DataFrame, contexts: DataFrame, pairs: DataFrame, taken: tuple, unknown: float):
-        self.words, self.contexts, self.pairs, self.taken, self.unknown = words, contexts, pairs, taken, unknown
+    def __init__(self, words: DataFrame, contexts: Dealt, counts: Dealt, taken: tuple, unknown: float):
+        self.words, self.contexts, self.counts, self.taken, self.unknown = words, contexts, counts, taken, unknown
         self.margin, self.scale, self.weights, self.bounds = 0.0, np.ones(2), np.zeros(3), None
 
-    def _differing(self, rows: DataFrame, mine=None) -> DataFrame:
-        """``rows`` with (c, w) and the pair's counts (null: unseen), with alone and after: the differences of w alone and after c. ``mine`` is a condition on c that all have."""
+    def _differing(self, rows: DataFrame, parts=PARTS) -> DataFrame:
+        """``rows`` with (c, w) and the pair's counts (null: unseen), with alone and after: the differences of w alone and after c. All c are of ``parts``."""
         words = self.words.select("w", F.col("toxic").alias("_pt"), F.col("ordinary").alias("_po"))
-        found = rows.join(words, "w", "left").join((self.contexts if mine is None else self.contexts.where(mine)), "c", "left")
+        found = rows.join(words, "w", "left").join(self.contexts.of(parts, _CONTEXTS), "c", "left")
         high = [(F.col(n) - _taken(n, self.taken[i])) / F.greatest(F.col(s), F.lit(1)) + F.col(b) * F.col(p) for i, (n, s, b, p) in enumerate((("toxic", "sum_t", "rest_t", "_pt"), ("ordinary", "sum_o", "rest_o", "_po")))]
         alone = F.coalesce(F.log(F.col("_pt") / F.col("_po")), F.lit(self.unknown))
         after = F.when(F.col("toxic").isNull(), alone + F.coalesce(F.log(F.col("rest_t") / F.col("rest_o")), F.lit(0.0))).otherwise(F.log(high[0] / high[1]))
@@ -249,16 +266,15 @@ class Models:
     def bound(self) -> None:
         """Make the bounds."""
         with freeing(self.words.sparkSession):
-            toxic = self._differing(self.pairs.where(F.col("toxic") > 0)).select("c", "w", "after")
+            toxic = self._differing(self.counts.of(PARTS, _COUNTS).where(F.col("toxic") > 0)).select("c", "w", "after")
             self.bounds = self.words.sparkSession.sparkContext.broadcast(Bounds(
                 _highest(self.words.select("w", F.log(F.col("toxic") / F.col("ordinary")).alias("v")), _same, int(_level(self.unknown))),
-                _highest(self.contexts.select("c", F.log(F.col("rest_t") / F.col("rest_o")).alias("v")), _same, int(_level(0.0))),
+                _highest(self.contexts.of(PARTS, _CONTEXTS).select("c", F.log(F.col("rest_t") / F.col("rest_o")).alias("v")), _same, int(_level(0.0))),
                 _highest(toxic, pair, 0),
             ))
 
-    def sums(self, scanned: DataFrame, margins, total: int) -> DataFrame:
+    def sums(self, scanned: Dealt, margins, total: int) -> DataFrame:
         """By row of the ``total`` pairs that :func:`_scan` found for the least of the ``margins``: the array of what both differences exceed each margin by, summed."""
-        each = scanned.select("row", F.explode(F.arrays_zip("c", "w", "k")).alias("t")).select("row", "t.c", "t.w", "t.k")
         bounds, least = self.bounds, min(margins)
 
         def asked(batches):
@@ -268,14 +284,15 @@ class Models:
         beyond = [F.sum(F.col("k") * F.greatest(F.col(v) - m, F.lit(0.0))) for m in margins for v in ("alone", "after")]
         rounds, parts = min(ROUNDS, max(1, -(-total // ROUND_PAIRS))), []
         for r in range(rounds):
-            mine = F.pmod(F.col("c"), F.lit(rounds)) == r
-            pairs = self.pairs.where(mine).mapInArrow(asked, self.pairs.schema)
-            different = each.where(mine).groupBy("c", "w").agg(F.count(F.lit(1)).alias("n_rows"))
+            mine = PARTS[r::rounds]
+            each = scanned.of(mine, "row bigint, c bigint, w bigint, k int")
+            pairs = self.counts.of(mine, _COUNTS).mapInArrow(asked, _COUNTS)
+            different = each.groupBy("c", "w").agg(F.count(F.lit(1)).alias("n_rows"))
             values = packed(self._differing(different.join(pairs, ["c", "w"], "left"), mine).where(F.greatest("alone", "after") > least))
-            found = lookup(each.where(mine), values, ["c", "w"], "n_rows", max(total, 1), "row").where(F.col("alone").isNotNull())
+            found = lookup(each, values, ["c", "w"], "n_rows", max(total, 1), "row").where(F.col("alone").isNotNull())
             parts.append(packed(found.groupBy("row").agg(F.array(*beyond).alias("beyond"))))
             del values, found
-            forget(scanned.sparkSession)
+            forget(self.words.sparkSession)
         if rounds == 1:
             return parts[0]
         return functools.reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.array(*[F.sum(F.col("beyond")[i]) for i in range(2 * len(margins))]).alias("beyond"))
@@ -283,11 +300,12 @@ class Models:
     def measured(self, rows: DataFrame, margins) -> tuple[DataFrame, int]:
         """``rows``, whose last column is a text, with x instead of it, and their number; x: for each margin the root of either order's sum over the root of the text's words."""
         names = rows.columns[:-1]
-        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_words bigint, c array<bigint>, w array<bigint>, k array<int>"])
-        scanned = packed(rows.mapInArrow(_scan(self.bounds, min(margins)), schema).withColumn("row", F.monotonically_increasing_id()))
-        n_rows, total = scanned.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+        scanned = Dealt(rows.mapInArrow(_scan(self.bounds, min(margins)), Dealt.SCHEMA))
+        numbers = scanned.numbers()
+        n_rows, total = numbers.get(OTHERS, 0), sum(numbers.get(p, 0) for p in PARTS)
+        docs = scanned.of([OTHERS], ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_words bigint", "row bigint"]))
         none = F.array(*[F.lit(0.0)] * (2 * len(margins)))
-        out = scanned.select(*names, "n_words", "row").join(self.sums(scanned, margins, total), "row", "left")
+        out = docs.join(self.sums(scanned, margins, total), "row", "left")
         return out.select(*names, F.transform(F.coalesce("beyond", none), lambda v: F.sqrt(v / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))).alias("x")), n_rows
 
     def fit(self, rows: DataFrame) -> None:
@@ -301,7 +319,7 @@ class Models:
         h, before, first = words_of(data, at)
         asked = pa.table({"at": np.arange(len(h)), "c": before.view(np.int64), "w": h.view(np.int64)})
         rows = self.words.sparkSession.createDataFrame(asked)
-        found = self._differing(rows.join(self.pairs, ["c", "w"], "left")).select("at", "alone", "after").toArrow().sort_by("at")
+        found = self._differing(rows.join(self.counts.of(PARTS, _COUNTS), ["c", "w"], "left")).select("at", "alone", "after").toArrow().sort_by("at")
         return found["alone"].to_numpy(), found["after"].to_numpy(), first
 
     @staticmethod
@@ -369,10 +387,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Models from two thirds of the labelled documents, shared counts from all of ``docs``, the logistic function from the last third."""
     counted, rest = thirds(docs, labels, "toxic", remainder(F.col("doc_id"), 3) != 1, id_col, text_col)
     # a text that several documents of a class have is counted once
-    counts = packed(counted.select("label", "text").distinct().mapInArrow(_class_counts, "c bigint, w bigint, toxic bigint, ordinary bigint").groupBy("c", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    counts = counted.select("label", "text").distinct().mapInArrow(_class_counts, _COUNTS).groupBy("c", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counts = Dealt.by(counts, F.coalesce(_part(F.col("c")), F.lit(OTHERS)))
     numbers = {}
     of = [F.coalesce(F.sum(x), F.lit(0)) for k in ("toxic", "ordinary") for x in (F.col(k), *((F.col(k) == i).cast("int") for i in range(1, 5)), (F.col(k) >= 3).cast("int"))]
-    for r in counts.groupBy(F.col("c").isNull()).agg(*of).collect():
+    for r in counts.of([*PARTS, OTHERS], _COUNTS).groupBy(F.col("c").isNull()).agg(*of).collect():
         numbers[r[0]] = np.array(r[1:]).reshape(2, 6)
     words, pairs = (numbers.get(k, np.zeros((2, 6), int)) for k in (True, False))
     corpus = packed(document_counts(docs, text_col))
@@ -383,13 +402,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         d, total = _discounts(x[1:5]), float(max(x[0], 1))
         left.append(float(d @ [x[1], x[2], x[5]]) / total if x[0] else 1.0)
         of.append(((F.col(k) - _taken(k, d)) / total + left[-1] * shared).alias(k))
-    known = packed(counts.where(F.col("c").isNull()).join(corpus.withColumnRenamed("word", "w"), "w", "left").select("w", *of))
-    pair_counts, taken = counts.where(F.col("c").isNotNull()), tuple(_discounts(x[1:5]) for x in pairs)
+    known = packed(counts.of([OTHERS], _COUNTS).join(corpus.withColumnRenamed("word", "w"), "w", "left").select("w", *of))
+    taken = tuple(_discounts(x[1:5]) for x in pairs)
     sums = [F.sum(x).alias(f"{name}_{k[0]}") for k, d in zip(("toxic", "ordinary"), taken, strict=True) for name, x in (("sum", F.col(k)), ("taken", _taken(k, d)))]
-    contexts = pair_counts.groupBy("c").agg(*sums)
-    contexts = packed(contexts.select("c", *[x for k in "to" for x in (F.col(f"sum_{k}"), F.when(F.col(f"sum_{k}") > 0, F.col(f"taken_{k}") / F.col(f"sum_{k}")).otherwise(1.0).alias(f"rest_{k}"))]))
-    models = Models(known, contexts, pair_counts, taken, float(np.log(left[0] / left[1])))
-    del counts
+    contexts = counts.of(PARTS, _COUNTS).groupBy("c").agg(*sums)
+    contexts = Dealt.by(contexts.select("c", *[x for k in "to" for x in (F.col(f"sum_{k}"), F.when(F.col(f"sum_{k}") > 0, F.col(f"taken_{k}") / F.col(f"sum_{k}")).otherwise(1.0).alias(f"rest_{k}"))]), _part(F.col("c")))
+    models = Models(known, contexts, counts, taken, float(np.log(left[0] / left[1])))
     models.fit(rest.select("label", "text"))
     forget(docs.sparkSession)
     return models
