@@ -77,10 +77,10 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int64)), pa.py_buffer(flat)])
 
 
-def analyze(texts: pa.Array) -> Tokens:
-    kinds, lower = _tables()
+def _places(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Code points; and of tokens, in no order, where they start and end there, their text and their position."""
+    kinds, _ = _tables()
     points, at = _code_points(texts)
-    n_rows = len(texts)
     kind = kinds[points]
     group = np.minimum(kind, 2)  # break, CJK, word
     edge = np.zeros(len(points) + 1, bool)
@@ -123,11 +123,21 @@ def analyze(texts: pa.Array) -> Tokens:
         s = np.repeat(starts[runs], n) + nth
         e = np.minimum(s + 2, np.repeat(ends[runs], n))
         token_start, token_end, token_row, token_pos = [*token_start, s], [*token_end, e], [*token_row, np.repeat(row[runs], n)], [*token_pos, np.repeat(base[runs], n) + nth]
-    s, e, r, p = (np.concatenate(x) for x in (token_start, token_end, token_row, token_pos))
-    if len(token_start) > 1:
+    return points, *(np.concatenate(x) for x in (token_start, token_end, token_row, token_pos))
+
+
+def lengths(texts: pa.Array) -> np.ndarray:
+    """The number of tokens of each text; no term is made for it."""
+    return np.bincount(_places(texts)[3], minlength=len(texts))
+
+
+def analyze(texts: pa.Array) -> Tokens:
+    n_rows = len(texts)
+    points, s, e, r, p = _places(texts)
+    if len(r) and (r[1:] < r[:-1]).any():  # identifiers' parts and CJK pairs stand behind the words
         order = np.lexsort((p, r))
         s, e, r, p = s[order], e[order], r[order], p[order]
-    low = lower[points]
+    low = _tables()[1][points]
     data = np.frombuffer(low.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
     byte = np.concatenate([[0], np.cumsum(1 + (low >= 0x80).astype(np.int64) + (low >= 0x800) + (low >= 0x10000))])
     terms = _gather(data, byte[s], byte[e]).dictionary_encode()

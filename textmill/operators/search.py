@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.wanted import Wanted
 from ..plans import syntax as ast
-from ..plans.bind import Leaf, Plan, bind
+from ..plans.bind import Leaf, Plan, bind_all
 from ..plans.compile import counting, has_filter, match_column, matched, needs_a_leaf, phrase_column, required, score_column, scored
 from .index import Index
 from .rank import FIELD_NAMES, Params, Recency, field_weight
@@ -29,7 +30,7 @@ class Query:
 
     @cached_property
     def plan(self) -> Plan:
-        return bind(self.node, self.searcher.index)
+        return self.searcher.bind([self])[0]
 
     @property
     def truncated(self) -> bool:
@@ -70,7 +71,8 @@ class Query:
     def explain(self, k: int = 10, recency: Recency | None = None) -> DataFrame:
         """The hits with n, boost, final score and, for each term that counts, weight, df, idf, contribution and fields."""
         s, plan = self.searcher, self.plan
-        best = self.hits(k, recency)
+        best = s.index.docs.sparkSession.createDataFrame([tuple(r) for r in self.hits(k, recency).select("path", "score").collect()], "path string, score double")  # k rows
+        s = s.within(best)
         active = {leaf.number: when for leaf, when in counting(plan.root, match_column(plan.root))}
         rows = s.term_rows([self])
         if rows is None or not active:
@@ -81,10 +83,13 @@ class Query:
         use = F.lit(False)
         for k, _ in active.items():
             use = use | ((F.col("leaf") == k) & F.col(f"a{k}"))
-        info = s.index.docs.sparkSession.createDataFrame([(leaf.number, t.text, t.weight, t.df, t.idf) for leaf in plan.leaves for t in leaf.terms], "leaf int, term string, weight double, df bigint, idf double")
+        info = F.broadcast(s.index.docs.sparkSession.createDataFrame([(leaf.number, t.text, t.weight, t.df, t.idf) for leaf in plan.leaves for t in leaf.terms], _INFO))  # the query's own terms
+        for leaf in plan.leaves:
+            if leaf.expansion is not None:
+                info = info.union(s.expanded(leaf))
         fields = F.array_sort(F.collect_list(F.struct("field", "tf", "len")))
         per = each.where(use).groupBy("path", "leaf", "term", "score", "raw").agg(s.term_score().alias("contribution"), fields.alias("fields"))
-        per = per.join(F.broadcast(info), ["leaf", "term"])  # the query's own terms
+        per = per.join(info, ["leaf", "term"])
         named = F.transform("fields", lambda x: F.struct(F.element_at(F.array(*map(F.lit, FIELD_NAMES)), x["field"].cast("int") + 1).alias("field"), x["tf"].alias("tf"), x["len"].alias("len")))
         per = per.withColumn("fields", named)
         terms = F.array_sort(F.collect_list(F.struct("leaf", "term", "weight", "df", "idf", "contribution", "fields")))
@@ -94,12 +99,25 @@ class Query:
         return out.select("path", F.col("score").alias("final"), boost.alias("boost"), F.lit(s.index.stats.n).cast("bigint").alias("n"), F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
 
 
+_INFO = "leaf int, term string, weight double, df bigint, idf double"
 _TERMS = "array<struct<leaf: int, term: string, weight: double, df: bigint, idf: double, contribution: double, fields: array<struct<field: string, tf: int, len: int>>>>"
 
 
 class Searcher:
-    def __init__(self, index: Index, params: Params = Params()):
-        self.index, self.params = index, params
+    """With ``whole``, prefixes and fuzzy terms stand for all terms that they fit, however many; else the binder's limit holds."""
+
+    def __init__(self, index: Index, params: Params = Params(), whole: bool = False):
+        self.index, self.params, self.whole = index, params, whole
+        self.every = index
+
+    def within(self, paths: DataFrame) -> Searcher:
+        """A searcher of the few documents in ``paths`` alone, with terms and statistics of all."""
+        out = Searcher(self.index.within(paths), self.params, self.whole)
+        out.every = self.every
+        return out
+
+    def bind(self, queries: list[Query]) -> list[Plan]:
+        return bind_all([x.node for x in queries], self.index, self.whole)
 
     def query(self, query: str | ast.Node) -> Query:
         node = ast.parse(query) if isinstance(query, str) else query
@@ -115,21 +133,34 @@ class Searcher:
         out = {}
         for x in queries:
             for leaf in x.plan.leaves:
-                same = (leaf.fields, tuple((t.text, t.weight) for t in leaf.terms), tuple(map(tuple, leaf.groups)), leaf.slop)
+                same = (leaf.fields, tuple((t.text, t.weight) for t in leaf.terms), tuple(map(tuple, leaf.groups)), leaf.slop, leaf.expansion)
                 # a query that repeats a leaf keeps both: each is explained on its own
                 if len(queries) > 1:
                     leaf.number = known.setdefault(same, len(known))
                 out.setdefault(leaf.number, leaf)
         return list(out.values())
 
+    def expanded(self, leaf: Leaf) -> DataFrame:
+        """(leaf, term, weight, df, idf) of the terms that a leaf's expansion stands for."""
+        terms = self.every.entries(Wanted(leaf.fields, expansions=(leaf.expansion,))).groupBy("term").agg(F.max("df").alias("df"))
+        idf = F.log1p((F.lit(self.every.stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return terms.select(F.lit(leaf.number).alias("leaf"), "term", leaf.expansion.weight().alias("weight"), "df", idf.alias("idf"))
+
     def term_rows(self, queries: list[Query]) -> DataFrame | None:
         """Postings of the terms of all queries, with leaf, the leaf's factor w, and the share that the posting adds."""
-        table = [(leaf.number, t.text, f, t.weight * t.idf) for leaf in self.leaves(queries) for t in leaf.terms for f in leaf.fields]
-        if not table:
+        leaves, parts = self.leaves(queries), []
+        table = [(leaf.number, t.text, f, t.weight * t.idf) for leaf in leaves for t in leaf.terms for f in leaf.fields]
+        if table:
+            # a row for each field of each term of a query: EXPANSION_LIMIT and the query's own length bound it
+            listed = self.index.docs.sparkSession.createDataFrame(table, "leaf int, term string, field tinyint, w double")
+            parts.append(self.postings_for(queries, {r[1] for r in table}, {r[2] for r in table}).join(F.broadcast(listed), ["field", "term"]))
+        for leaf in leaves:
+            if leaf.expansion is not None:
+                terms = self.expanded(leaf).select("leaf", "term", (F.col("weight") * F.col("idf")).alias("w"))
+                parts.append(self.spared(queries, self.index.find(Wanted(leaf.fields, expansions=(leaf.expansion,)))).join(terms, "term"))
+        if not parts:
             return None
-        # a row for each field of each term of a query: EXPANSION_LIMIT and the query's own length bound it
-        leaves = self.index.docs.sparkSession.createDataFrame(table, "leaf int, term string, field tinyint, w double")
-        found = self.postings_for(queries, {r[1] for r in table}, {r[2] for r in table}).join(F.broadcast(leaves), ["field", "term"])
+        found = reduce(DataFrame.unionByName, [p.select("path", "leaf", "term", "field", "tf", "len", "w") for p in parts])
         part = field_weight(self.params, self.index.stats, F.col("field"), F.col("tf"), F.col("len"))
         return found.select("path", "leaf", "term", "field", "tf", "len", "w", part.alias("part"))
 
@@ -138,6 +169,7 @@ class Searcher:
         if len(queries) != 1:
             return None
         leaves, must = queries[0].plan.leaves, required(queries[0].plan.root)
+        must = [leaf for leaf in must if leaf.expansion is None]  # how many postings these have was not looked up
         if not must:
             return None
         cost = lambda leaf: sum(leaf.postings[t] for t in set(leaf.seeds))
@@ -147,11 +179,13 @@ class Searcher:
 
     def postings_for(self, queries: list[Query], terms: set[str], fields: set[int]) -> DataFrame:
         """The postings of ``terms`` in ``fields``; where a rare leaf is required, only those of documents that it may match, so no frequent term is shuffled whole."""
-        found = self.index.postings.where(F.col("field").isin(sorted(fields)) & F.col("term").isin(sorted(terms)))
+        return self.spared(queries, self.index.find(Wanted(tuple(sorted(fields)), tuple(sorted(terms)))))
+
+    def spared(self, queries: list[Query], found: DataFrame) -> DataFrame:
         seed = self.seed(queries)
         if seed is None:
             return found
-        paths = self.index.postings.where(F.col("field").isin(list(seed.fields)) & F.col("term").isin(seed.seeds)).select("path")
+        paths = self.index.find(Wanted(seed.fields, tuple(sorted(seed.seeds)))).select("path")
         return found.join(F.broadcast(paths), "path", "left_semi")  # at most SEED_PATHS, by the dictionary's count
 
     def term_score(self):
@@ -188,7 +222,7 @@ class Searcher:
         for leaf in self.leaves(queries):
             mine = F.col("leaf") == leaf.number
             columns.append(F.coalesce(F.max(mine), F.lit(False)).alias(matched(leaf)))
-            if leaf.terms:
+            if leaf.scores:
                 columns.append(F.sum(F.when(mine, F.col("score")).otherwise(0.0)).alias(scored(leaf)))
         found = None
         if parts:
@@ -206,6 +240,8 @@ class Searcher:
     def search_many(self, queries: list[str], k: int = 10) -> DataFrame:
         """The best k of each query in one job: query, rank, path, score, total. One scan of the postings serves all."""
         bound = [self.query(q) for q in queries]
+        for x, plan in zip(bound, self.bind(bound), strict=True):
+            x.plan = plan
         found = self.scored(bound)
         each = F.filter(
             F.array(*[F.when(match_column(x.plan.root), F.struct(F.lit(q).alias("q"), score_column(x.plan.root).alias("score"))) for q, x in enumerate(bound)]),

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import CJK, SUB, WORD, Token, analyze
+from ..functions.wanted import Expansion, Wanted
 from ..operators.index import Index
 from ..operators.rank import FIELD_NAMES, idf
 from . import syntax as ast
 
-#: Terms that all the prefixes and fuzzy terms of one query may stand for.
+#: Terms that all the prefixes and fuzzy terms of one query may stand for, unless the searcher expands them whole.
 EXPANSION_LIMIT = 1024
 #: The edit distance for terms of up to so many characters; 2 for longer ones.
 AUTO_FUZZY = ((2, 0), (5, 1))
-LEAST_FUZZY_WEIGHT = 0.05
 
 
 @dataclass
@@ -29,16 +28,22 @@ class ScoredTerm:
 
 @dataclass
 class Leaf:
-    """Matches a document that has any of ``terms`` in ``fields``; or, if there are ``groups``, all of these in one field."""
+    """Matches a document that has any of ``terms`` in ``fields``, or any that ``expansion`` stands for; or, if there are ``groups``, all of these in one field."""
 
     number: int
     fields: tuple[int, ...]
     terms: list[ScoredTerm] = field(default_factory=list)
     groups: list[list[str]] = field(default_factory=list)
     slop: int = 0
+    #: Of any number of terms, which the driver never lists.
+    expansion: Expansion | None = None
     #: By term, the postings that it has in ``fields``; of what a leaf of terms matches, and for a phrase of its rarest term.
     postings: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def scores(self) -> bool:
+        return bool(self.terms) or self.expansion is not None
+
     @property
     def seeds(self) -> list[str]:
         """Terms of which a document that matches has one: all of them, or a phrase's rarest."""
@@ -62,11 +67,6 @@ class Plan:
     truncated: bool
 
 
-def byte_string(text: Column) -> Column:
-    """The text's UTF-8 bytes as a string of as many characters, so that edits are counted in bytes."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-
 @dataclass
 class _Part:
     """What a query word is made of: a word, or a stretch of CJK pairs."""
@@ -93,8 +93,8 @@ def _parts(tokens: list[Token]) -> list[_Part]:
 
 
 class _Binder:
-    def __init__(self, index: Index):
-        self.index, self.leaves, self.left, self.truncated = index, [], EXPANSION_LIMIT, False
+    def __init__(self, index: Index, whole: bool = False):
+        self.index, self.whole, self.leaves, self.left, self.truncated = index, whole, [], EXPANSION_LIMIT, False
 
     def leaf(self, fields, **kw) -> Bound:
         leaf = Leaf(len(self.leaves), fields, **kw)
@@ -134,22 +134,21 @@ class _Binder:
             return self.leaf(fields, groups=[part.terms])
         if plain and part.cjk and len(text) == 1:
             # a single character stands for all pairs that have it
-            return self.expand(fields, (F.length("term") == 2) & F.col("term").contains(text), F.lit(1.0))
+            return self.expand(fields, Expansion("pair", text))
         if prefix:
-            return self.expand(fields, F.col("term").startswith(text), F.lit(1.0))
+            return self.expand(fields, Expansion("prefix", text))
         if fuzzy is not None:
             most = fuzzy if fuzzy >= 0 else next((d for n, d in AUTO_FUZZY if len(text) <= n), 2)
             if most:
-                size = len(text.encode())
-                distance = F.levenshtein(byte_string(F.col("term")), byte_string(F.lit(text)), most)
-                near = F.octet_length("term").between(size - most, size + most) & (distance >= 0)
-                return self.expand(fields, near, F.greatest(F.lit(LEAST_FUZZY_WEIGHT), 1.0 - distance / float(size)))
+                return self.expand(fields, Expansion("near", text, most))
         return self.leaf(fields, terms=[ScoredTerm(text, 1.0)])
 
-    def expand(self, fields, condition: Column, weight: Column) -> Bound:
-        """A leaf for the terms of the dictionary that meet ``condition``: the first by field and term that the limit leaves room for."""
-        found = self.index.dictionary.where(F.col("field").isin(*fields) & condition).groupBy("term").agg(F.min("field").alias("f"))
-        rows = found.select("term", "f", weight.alias("w")).orderBy("f", "term").limit(self.left + 1).collect()
+    def expand(self, fields, expansion: Expansion) -> Bound:
+        """A leaf for the terms of the dictionary that ``expansion`` stands for: all, or the first by field and term that the limit leaves room for."""
+        if self.whole:
+            return self.leaf(fields, expansion=expansion)
+        found = self.index.entries(Wanted(fields, expansions=(expansion,))).groupBy("term").agg(F.min("field").alias("f"))
+        rows = found.select("term", "f", expansion.weight().alias("w")).orderBy("f", "term").limit(self.left + 1).collect()
         if len(rows) > self.left:
             self.truncated, rows = True, rows[: self.left]
         self.left -= len(rows)
@@ -170,22 +169,32 @@ class _Binder:
             last = t.pos
         return self.leaf(fields, groups=groups, slop=slop) if groups else Bound("none")
 
-    def frequencies(self) -> None:
-        """The df of a term is the largest of the fields in its scope."""
-        wanted = sorted({t.text for leaf in self.leaves for t in leaf.terms} | {t for leaf in self.leaves for g in leaf.groups for t in g})
-        if not wanted:
-            return
-        rows = self.index.dictionary.where(F.col("term").isin(wanted)).groupBy("term", "field").agg(F.sum("df").alias("df")).collect()
-        df = {(r["term"], r["field"]): r["df"] for r in rows}
-        for leaf in self.leaves:
-            leaf.postings = {t: sum(df.get((t, f), 0) for f in leaf.fields) for t in [*(t.text for t in leaf.terms), *(t for g in leaf.groups for t in g)]}
-            for t in leaf.terms:
-                t.df = max(df.get((t.text, f), 0) for f in leaf.fields)
-                t.idf = idf(self.index.stats.n, t.df)
-
-
-def bind(node: ast.Node, index: Index) -> Plan:
-    binder = _Binder(index)
-    root = binder.bind(node)
-    binder.frequencies()
-    return Plan(root, binder.leaves, binder.truncated)
+
+def frequencies(index: Index, leaves: list[Leaf]) -> None:
+    """Look up the terms of all ``leaves``, at once. The df of a term is the largest of the fields in its scope."""
+    wanted = sorted({t.text for leaf in leaves for t in leaf.terms} | {t for leaf in leaves for g in leaf.groups for t in g})
+    if not wanted:
+        return
+    fields = tuple(sorted({f for leaf in leaves for f in leaf.fields}))
+    rows = index.entries(Wanted(fields, tuple(wanted))).groupBy("term", "field").agg(F.sum("df").alias("df")).collect()
+    df = {(r["term"], r["field"]): r["df"] for r in rows}
+    for leaf in leaves:
+        leaf.postings = {t: sum(df.get((t, f), 0) for f in leaf.fields) for t in [*(t.text for t in leaf.terms), *(t for g in leaf.groups for t in g)]}
+        for t in leaf.terms:
+            t.df = max(df.get((t.text, f), 0) for f in leaf.fields)
+            t.idf = idf(index.stats.n, t.df)
+
+
+def bind_all(nodes: list[ast.Node], index: Index, whole: bool = False) -> list[Plan]:
+    """Plans of several queries; their terms are looked up in one job."""
+    plans = []
+    for node in nodes:
+        binder = _Binder(index, whole)
+        root = binder.bind(node)
+        plans.append(Plan(root, binder.leaves, binder.truncated))
+    frequencies(index, [leaf for p in plans for leaf in p.leaves])
+    return plans
+
+
+def bind(node: ast.Node, index: Index, whole: bool = False) -> Plan:
+    return bind_all([node], index, whole)[0]

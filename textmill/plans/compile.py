@@ -52,7 +52,7 @@ def match_column(b: Bound) -> Column:
 def score_column(b: Bound) -> Column:
     """AND adds its children, OR those that match; NOT, phrases and filters are worth nothing."""
     match b.kind:
-        case "leaf" if b.leaf.terms:
+        case "leaf" if b.leaf.scores:
             return F.coalesce(F.col(scored(b.leaf)), F.lit(0.0))
         case "and":
             return reduce(add, (score_column(c) for c in b.children))
@@ -65,7 +65,7 @@ def counting(b: Bound, when: Column) -> list[tuple[Leaf, Column]]:
     """The leaves whose scores count, and when they do."""
     match b.kind:
         case "leaf":
-            return [(b.leaf, when)] if b.leaf.terms else []
+            return [(b.leaf, when)] if b.leaf.scores else []
         case "and":
             return [x for c in b.children for x in counting(c, when)]
         case "or":

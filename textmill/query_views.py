@@ -73,7 +73,7 @@ MATCHES = {
 
 
 def _matches(query: str):
-    return lambda spark, sf_dir: Searcher(Index.of(notes(spark, sf_dir))).query(query).matches().select("path")
+    return lambda spark, sf_dir: Searcher(Index.of(notes(spark, sf_dir)), whole=True).query(query).matches().select("path")
 
 
 def note_postings(spark, sf_dir):
