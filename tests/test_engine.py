@@ -354,3 +354,28 @@ def test_watch_goes_on_after_a_failed_scan(spark, tmp_path):
     assert wait_for(lambda: seen)
     running.stop()
     assert seen[0] == {"add": 1}
+
+
+def test_a_commit_reads_texts_twice_and_a_merge_moves_no_posting(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(body):
+        read.add(1)
+        return body
+
+    docs = spark.createDataFrame(rows(*[(f"d{k:02d}.md", f"word{k} common " * (k + 1)) for k in range(40)]), SCHEMA).repartition(4, "path")
+    store = Store(spark, tmp_path / "s")
+    store.commit(docs.withColumn("body", F.udf(counted, "string")("body")))
+    assert read.value == 2 * 40  # for lengths and for postings; not for ranges of terms
+    store.commit(docs.where("path < 'd10.md'").withColumn("body", F.lit("common new")), docs.where("path > 'd35.md'"))
+    for names in ([store.manifest.segments[0]], store.manifest.segments):
+        plan = store._postings(names)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = sorted(map(tuple, store.index().postings.select("field", "term", "path", "tf", "len").collect()))
+    assert store.check() == [] and len({r[2] for r in want}) == 36
+    store.compact()
+    assert sorted(map(tuple, store.index().postings.select("field", "term", "path", "tf", "len").collect())) == want
+    assert [w for w in store.check() if not w.startswith("left over")] == [] and len(store.manifest.segments) == 1
+    for file in (store.folder / store.manifest.segments[0] / "postings").glob("part-*.parquet"):
+        keys = [(r.field, r.term.encode()) for r in spark.read.parquet(f"file://{file}").select("field", "term").collect()]
+        assert keys == sorted(keys)

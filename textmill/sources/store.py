@@ -18,6 +18,7 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark import inheritable_thread_target
@@ -31,6 +32,9 @@ STORED_BODY = 1 << 20
 #: Segments that make a merge, in one tier of like size; tiers grow by this factor from TIER_BYTES on.
 FAN_IN, TIER_BYTES = 8, 8 << 10
 HEARTBEAT_S, STALE_S = 5, 30
+#: Deleted paths that are broadcast at most; of more, Spark decides how they meet what they leave out.
+GONE_PATHS = 1_000_000
+_POSTING = ("field", "term", "path", "tf", "positions", "len")
 DOCS = "path string, title string, body string, ext string, size bigint, mtime bigint, sha256 string, len_path int, len_title int, len_body int"
 
 
@@ -114,6 +118,7 @@ class Store:
         self.spark, self.folder = spark, Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
         self.manifest, self._lock = self._load(), None
+        self._counted: tuple[list[str], dict[str, int]] = ([], {})
 
     def _load(self) -> Manifest:
         file = self.folder / "manifest.json"
@@ -137,27 +142,45 @@ class Store:
         """The rows of all segments with the segment's name: one scan, however many segments there are."""
         if not self.manifest.segments:
             return self.spark.createDataFrame([], schema + ", segment string")
-        return self._read(self.manifest.segments, part, schema).withColumn("segment", F.regexp_extract("_metadata.file_path", r"/(seg-[^/]+)/[^/]+/[^/]+$", 1))
+        return self._read(self.manifest.segments, part, schema).withColumn("segment", F.substring_index(F.substring_index("_metadata.file_path", "/", -3), "/", 1))
 
     def _deleted(self) -> DataFrame:
         return self._read(self.manifest.deletes, "", "path string, segment string")
 
+    def _lost(self) -> dict[str, int]:
+        """By segment, how many of its documents are deleted."""
+        if self._counted[0] != self.manifest.deletes:
+            rows = self._deleted().groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a segment
+            self._counted = (list(self.manifest.deletes), {r["segment"]: r["n"] for r in rows})
+        return self._counted[1]
+
+    def _gone(self, segment: str | None = None) -> DataFrame:
+        """(path, segment) of what is deleted, or the paths of one segment."""
+        gone = self._deleted().distinct() if segment is None else self._deleted().where(F.col("segment") == segment).select("path").distinct()
+        n = sum(self._lost().values()) if segment is None else self._lost()[segment]
+        return F.broadcast(gone) if n <= GONE_PATHS else gone
+
+    def _postings(self, names: list[str]) -> DataFrame:
+        """Postings of live documents. Segments that have lost none are one scan; each other is one, and needs no name on its rows to leave out its own."""
+        lost = self._lost() if self.manifest.deletes else {}
+        whole = [n for n in names if n not in lost]
+        parts = [self._read(whole, "postings", POSTINGS)] if whole or not names else []
+        parts += [self._read([n], "postings", POSTINGS).join(self._gone(n), "path", "left_anti").select(*_POSTING) for n in names if n in lost]
+        return reduce(DataFrame.unionByName, parts)
+
     def _docs(self) -> DataFrame:
         docs = self._segments("docs", DOCS)
         if not self.manifest.deletes:
             return docs.withColumn("live", F.lit(True))
-        gone = self._deleted().distinct().withColumn("gone", F.lit(True))
+        gone = self._gone().withColumn("gone", F.lit(True))
         return docs.join(gone, ["path", "segment"], "left").withColumn("live", F.col("gone").isNull()).drop("gone")
 
     def index(self) -> Index:
         """The generation that this store has open. A deleted document's postings count, but find nothing."""
-        postings = self._segments("postings", POSTINGS)
+        postings = self._postings(self.manifest.segments)  # a path can be in two segments, dead in the older
         docs = self._docs()
-        if self.manifest.deletes:
-            # a path can be in two segments, dead in the older
-            postings = postings.join(self._deleted().distinct(), ["path", "segment"], "left_anti")
         dictionary = self._segments("dict", "field tinyint, term string, df bigint, total_tf bigint").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
-        return Index(docs.drop("segment"), postings.drop("segment"), dictionary, bool(self.manifest.deletes))
+        return Index(docs.drop("segment"), postings, dictionary, bool(self.manifest.deletes))
 
     def state(self) -> DataFrame:
         """(path, size, mtime, sha256) of live documents."""
@@ -174,11 +197,11 @@ class Store:
             whole.withColumn("body", stored).select("path", "title", "body", "ext", "size", "mtime", "sha256", *LENGTHS).write.parquet(f"{at}/docs")
 
         def write_postings() -> None:
-            # by term, so that a query's terms are found by the row groups' least and greatest terms; a frequent term's postings are split by path.
-            # The ranges take a second pass over the documents, which costs less than keeping the postings for it
-            made.repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
+            # each file by term, so that a query's terms are found by the pages' least and greatest terms. Files follow the documents:
+            # no posting is shuffled, and none is made a second time for ranges of terms
+            made.sortWithinPartitions("field", "term").write.parquet(f"{at}/postings")
             kept = self._read([name], "postings", POSTINGS)
-            dictionary_of(kept).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/dict")
+            dictionary_of(kept).sortWithinPartitions("field", "term").write.parquet(f"{at}/dict")
 
         with ThreadPoolExecutor(2) as both:  # neither waits for the other's last tasks
             for done in [both.submit(inheritable_thread_target(self.spark)(f)) for f in (write_docs, write_postings)]:
@@ -253,10 +276,7 @@ class Store:
         """One segment of the live rows of ``names``: postings are copied, never made anew from stored bodies."""
         keep = [n for n in self.manifest.segments if n not in names]
         docs = self._docs().where("live").where(F.col("segment").isin(names))
-        postings = self._segments("postings", POSTINGS).where(F.col("segment").isin(names))
-        if self.manifest.deletes:
-            postings = postings.join(self._deleted().distinct(), ["path", "segment"], "left_anti")
-        merged = self._write_segment(docs.drop("live", "segment"), postings.drop("segment"))
+        merged = self._write_segment(docs.drop("live", "segment"), self._postings(names))
         # deletes of merged segments have been carried out; those of others stay
         dead = self.manifest.deletes if keep else []
         self._commit(Manifest(segments=[*keep, merged], deletes=list(dead)))
@@ -311,11 +331,16 @@ class Store:
         if wrong:
             return wrong
         docs, postings = self._segments("docs", DOCS), self._segments("postings", POSTINGS)
+        # a file has documents' postings together, so most of this sum is made before it is shuffled
+        fields = postings.groupBy("path", "segment", "field").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("tf") != F.size("positions"), 1)).alias("odd"), F.sum("tf").alias("tf"), F.first("len").alias("len"))
+        known = docs.select("path", "segment", F.lit(True).alias("known")).distinct()
+        sums = fields.join(known, ["path", "segment"], "left").agg(
+            F.sum(F.when(F.col("known").isNull(), F.col("n"))).alias("postings without a document"), F.sum("odd").alias("postings whose tf is not their number of positions"),
+            F.count(F.when(F.col("tf") != F.col("len"), 1)).alias("fields whose tf do not add up to their length"),
+        )
+        wrong += [f"{n} {what}" for what, n in sums.first().asDict().items() if n]
         tests = {
             "paths that are live twice": self._docs().where("live").groupBy("path").count().where("count > 1"),
-            "postings without a document": postings.join(docs, ["path", "segment"], "left_anti"),
-            "postings whose tf is not their number of positions": postings.where(F.col("tf") != F.size("positions")),
-            "fields whose tf do not add up to their length": postings.groupBy("path", "segment", "field").agg(F.sum("tf").alias("n"), F.first("len").alias("len")).where("n <> len"),
             "dictionary entries that differ from the postings": dictionary_of(postings).join(self._segments("dict", "field tinyint, term string, df bigint, total_tf bigint").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf")), ["field", "term", "df", "total_tf"], "left_anti"),
         }
         for what, rows in tests.items():
