@@ -18,7 +18,7 @@ from textmill.operators.snippet import Matcher, build
 from textmill.plans.syntax import parse
 from textmill.sources.extract import docx_text, extract, html_text, sniff
 from textmill.sources.ignore import Levels, parse_rules
-from textmill.sources.scan import ScanError, listing, scan
+from textmill.sources.scan import ScanError, Walk, files_under, listing, scan
 from textmill.sources.store import Conflict, Locked, Manifest, Store, WriterLock
 
 SCHEMA = "path string, title string, body string, ext string, size bigint, mtime bigint"
@@ -379,3 +379,19 @@ def test_a_commit_reads_texts_twice_and_a_merge_moves_no_posting(spark, tmp_path
     for file in (store.folder / store.manifest.segments[0] / "postings").glob("part-*.parquet"):
         keys = [(r.field, r.term.encode()) for r in spark.read.parquet(f"file://{file}").select("field", "term").collect()]
         assert keys == sorted(keys)
+
+
+def test_a_large_folder_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("textmill.sources.scan.PART_NAMES", 50)
+    (tmp_path / "a" / "sub").mkdir(parents=True)
+    (tmp_path / ".gitignore").write_text("n7*.txt\n")
+    for k in range(180):
+        (tmp_path / "a" / f"n{k}.txt").write_text(f"text {k}")
+    (tmp_path / "a" / "sub" / "deep.md").write_text("# deep")
+    (tmp_path / "b.txt").write_text("b")
+    walk = Walk(tmp_path, parts=[])
+    assert not walk.on(walk.begin([tmp_path])[0]) and len(walk.rows) < 10 and len(walk.parts) == 4  # the driver has looked at no file of the large folder
+    files, read = files_under(spark, [tmp_path], tmp_path)
+    want, _ = listing([tmp_path], tmp_path)
+    assert sorted(tuple(r) for r in files.collect()) == want and len(want) == 183 and read == [""]
+    assert sum(r[4] == "ignored" for r in want) == 11

@@ -246,28 +246,40 @@ def results(spark, sf_dir):
     return spark.createDataFrame(out, "way string, path string, total bigint")
 
 
+def _written(folder: Path):
+    """A function of Arrow batches of paths and texts that writes these as files below ``folder``."""
+
+    def run(batches):
+        for x in batches:
+            for path, body in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                (folder / path).parent.mkdir(parents=True, exist_ok=True)
+                (folder / path).write_text(body)
+            yield pa.RecordBatch.from_arrays([pa.array([x.num_rows], pa.int64())], ["n"])
+
+    return run
+
+
 def watch_state(spark, sf_dir):
     """The state that a watch has committed of a folder of files, one a note, after half of them were changed and it was stopped."""
     folder, seen = _folder(spark), []
-    rows = [(r["path"], r["body"]) for r in notes(spark, sf_dir).select("path", "body").toLocalIterator()]
+    rows, engine = notes(spark, sf_dir).select("path", "body"), Engine(spark, folder / ".searchindex")
 
-    def write(some, text):
-        for path, body in some:
-            (folder / path).parent.mkdir(parents=True, exist_ok=True)
-            (folder / path).write_text(text(body))
+    def write(some):
+        """The files, written by tasks, as a scan's tasks read them; how many."""
+        n = spark.sparkContext.defaultParallelism
+        return some.repartition(n).mapInArrow(_written(folder), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def committed(what, n):
-        until = time.time() + 120
-        while sum(counts.get(what, 0) for counts in list(seen)) < n and time.time() < until:
+        """Wait, however long it takes, unless the watch has ended."""
+        while sum(counts.get(what, 0) for counts in list(seen)) < n:
+            if not running.query.isActive:
+                raise RuntimeError(f"the watch ended: {running.query.exception()}")
             time.sleep(0.1)
 
-    write(rows, lambda body: body)
-    engine = Engine(spark, folder / ".searchindex")
+    added = write(rows)
     running = engine.watch([folder], 0.2, on_commit=seen.append)
-    committed("add", len(rows))
-    changed = [r for r in rows if "/en/" in r[0]]
-    write(changed, lambda body: body + " neu")
-    committed("update", len(changed))
+    committed("add", added)
+    committed("update", write(rows.where(F.col("path").contains("/en/")).withColumn("body", F.concat("body", F.lit(" neu")))))
     running.stop()
     return engine.store.refresh().state().select("path", "size", "sha256")
 

@@ -25,6 +25,8 @@ MAX_SIZE = 2 << 20
 SKIPS = ("ignored", "too_large", "binary", "non_utf8", "symlink", "read_error", "outside_root")
 #: Folders, or files, that the driver lists before tasks go on.
 FOLDERS, DRIVER_ROWS = 256, 10_000
+#: Names of one folder that are looked at together; a folder that the driver opens and that has more is dealt out in parts.
+PART_NAMES = 2_000
 FILES = "path string, full string, size bigint, mtime bigint, skip string"
 STATE = "path string, size bigint, mtime bigint, sha256 string"
 
@@ -82,8 +84,8 @@ def relative(path: Path, base: Path) -> str | None:
 class Walk:
     """Goes through folders; ``rows`` are those of FILES that it has met. Links are not followed."""
 
-    def __init__(self, base: str | Path, max_size: int = MAX_SIZE):
-        self.base, self.max_size, self.rows = Path(base).absolute(), max_size, []
+    def __init__(self, base: str | Path, max_size: int = MAX_SIZE, parts: list | None = None):
+        self.base, self.max_size, self.rows, self.parts = Path(base).absolute(), max_size, [], parts
 
     def visit(self, full: Path, path: str, levels: Levels) -> list[tuple[Path, str, Levels]]:
         """A row for what is no folder; a folder that is not left out is returned."""
@@ -110,6 +112,12 @@ class Walk:
             self.rows.append((path, str(folder), None, None, "read_error"))
             return None
         inner = levels.below(folder_rules(folder, self.base))
+        if self.parts is not None and len(names) > PART_NAMES:
+            self.parts += [(folder, path, inner, names[k : k + PART_NAMES]) for k in range(0, len(names), PART_NAMES)]
+            return []
+        return self.look(folder, path, inner, names)
+
+    def look(self, folder: Path, path: str, inner: Levels, names: list[str]) -> list[tuple[Path, str, Levels]]:
         return [x for name in names for x in self.visit(folder / name, f"{path}/{name}" if path else name, inner)]
 
     def begin(self, roots: list[str | Path]) -> tuple[list, list[str]]:
@@ -153,8 +161,9 @@ def _walk_on(base: Path, max_size: int):
     def run(batches):
         for x in batches:
             for folder in x.column(0).to_pylist():
-                walk, left = Walk(base, max_size), [pickle.loads(folder)]
-                while left:  # some rows at a time, as a folder can have any number below it
+                walk, work = Walk(base, max_size), pickle.loads(folder)
+                left = walk.look(*work) if len(work) == 4 else [work]
+                while left or walk.rows:  # some rows at a time, as a folder can have any number below it
                     left = walk.on(left, most_rows=10_000)
                     columns = list(zip(*walk.rows, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "full", "size", "mtime", "skip"])
@@ -165,11 +174,11 @@ def _walk_on(base: Path, max_size: int):
 
 def files_under(spark: SparkSession, roots: list[str | Path], base: str | Path, max_size: int = MAX_SIZE) -> tuple[DataFrame, list[str]]:
     """As :func:`listing`, but the driver goes no further than FOLDERS folders or DRIVER_ROWS files; tasks walk what is below."""
-    walk = Walk(base, max_size)
+    walk = Walk(base, max_size, parts=[])
     folders, read = walk.begin(roots)
     if roots and not read:
         raise ScanError("no root could be read: " + ", ".join(map(str, roots)))
-    folders = walk.on(folders, FOLDERS, DRIVER_ROWS)
+    folders = walk.on(folders, FOLDERS, DRIVER_ROWS) + walk.parts
     files = spark.createDataFrame(walk.rows, FILES)
     if folders:
         rest = spark.createDataFrame([(pickle.dumps(f),) for f in folders], "folder binary").repartition(len(folders))

@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.scan import MAX_SIZE, Scan, ScanError, scan
@@ -66,7 +67,7 @@ def watch(spark: SparkSession, store: Store, roots: list[str | Path], base: str
     ``failures`` and tried again at the next trigger.
     """
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    last: list[frozenset] = []
+    last: list[tuple] = []
     running = Watch()
     # the clock's offsets; beside the index, where all machines of a cluster see them
     running._state = store.folder / f"watch-{uuid.uuid4().hex}"
@@ -87,11 +88,13 @@ def watch(spark: SparkSession, store: Store, roots: list[str | Path], base: str
         try:
             if debounce:
                 changes = found.diff(store.refresh().state()).where("change <> 'unchanged'")
-                # names and hashes of what has changed since the last commit, not of the corpus
-                now = frozenset((r["path"], r["change"], r["sha256"]) for r in changes.join(found.docs.select("path", "sha256"), "path", "left").toLocalIterator())
+                # of the names and hashes of what has changed since the last commit, their number and two sums stand for them
+                each = changes.join(found.docs.select("path", "sha256"), "path", "left")
+                sums = [F.coalesce(F.sum(F.xxhash64("path", "change", F.coalesce("sha256", F.lit("")), F.lit(k)).cast("decimal(20,0)")), F.lit(0)) for k in range(2)]
+                now = tuple(each.agg(F.count(F.lit(1)), *sums).first())
                 settled = bool(last) and last[0] == now
                 last[:] = [now]
-                if not now or not settled:
+                if not now[0] or not settled:
                     return
             counts = apply_changes(store, found)
         finally:
